@@ -91,7 +91,7 @@ def _last(x, lengths):
     return x[lengths - 1, np.arange(x.shape[1])]
 
 
-def advance(high, low, close, lengths, state):
+def advance(high, low, close, lengths, state, trend=True):
     """Advance a (bars, symbols) block; returns ({output: block}, new state)."""
     bars = close.shape[0]
     step = np.arange(bars)[:, None]
@@ -133,7 +133,9 @@ def advance(high, low, close, lengths, state):
         stoch = np.where(spread > 0, 100.0 * (rsi - bottom) / spread,
                          np.where(np.isnan(spread), np.nan, 0.0))
 
-    seeded, band = _supertrend(high, low, close, pc, q["atr14"], alive, state[_BAND])
+    seeded, band = np.ones_like(close), state[_BAND]
+    if trend:
+        seeded, band = _supertrend(high, low, close, pc, q["atr14"], alive, band)
     out = {
         "ema20": q["ema20"], "ema50": q["ema50"], "ema200": q["ema200"],
         "macd": line, "macd_signal": signal, "macd_hist": hist,
@@ -199,7 +201,8 @@ def advance_rows(pdf: pd.DataFrame, starts: np.ndarray, lengths: np.ndarray,
         step = np.arange(size.max())[:, None]
         take = np.minimum(starts[group][None, :] + step, len(pdf) - 1)
         keep = step < size[None, :]
-        out, state[:, group] = advance(high[take], low[take], close[take], size, state[:, group])
+        out, state[:, group] = advance(high[take], low[take], close[take], size, state[:, group],
+                                       "supertrend_seeded" in wanted)
         for name in wanted:
             flat[name][take[keep]] = out[name][keep]
     return flat, state

@@ -64,7 +64,12 @@ class Ind:
         return F.lag(c, k).over(self.w)
 
     def sma(self, n: int) -> Column:
-        return self.over(F.avg("close"), n)
+        """Short averages by sliding frame; long ones as a difference of two running sums,
+        whose cost per bar does not grow with n."""
+        if n < 50:
+            return self.over(F.avg("close"), n)
+        older = F.sum("close").over(self.w.rowsBetween(Window.unboundedPreceding, -n))
+        return F.when(self.i >= n - 1, (F.sum("close").over(self.upto) - nz(older)) / n)
 
     def true_range(self) -> Column:
         pc = self.lag("close")
@@ -127,6 +132,10 @@ class Ind:
     def resistance(self, n: int = 50) -> Column:
         return F.max("high").over(frame(n, self.keys))
 
+    def tail(self, agg, expr: Column, n: int) -> Column:
+        """Aggregate over the newest n bars, on every row of the key; needs columns i and n."""
+        return agg(F.when(F.col("i") >= F.col("n") - n, expr)).over(self.whole)
+
     def std(self, n: int = 5) -> Column:
         return self.over(F.stddev_pop("close"), n)
 

@@ -45,6 +45,10 @@ VETO_BELOW, UPGRADE_FROM, SOCIAL_BOOST = -0.40, 0.35, 0.15
 KERNELS = ["macd_hist", "atr14", "adx", "plus_di", "minus_di", "supertrend"]
 
 
+EXTRA = {"sma50": lambda x: x.sma(50), "sma200": lambda x: x.sma(200), "prev_close": lambda x: x.lag("close")}
+TAILS = {"support": lambda x: x.tail(F.min, c("low"), 50), "resistance": lambda x: x.tail(F.max, c("high"), 50)}
+
+
 # ── simple engine ───────────────────────────────────────────────────────────────────
 def component_panel(bars: DataFrame, seeded_supertrend: bool = False, keep=()) -> DataFrame:
     """The four score components of every bar (C01–C04): one exchange, one Python pass."""
@@ -52,10 +56,11 @@ def component_panel(bars: DataFrame, seeded_supertrend: bool = False, keep=()) -
     bb = ind.bollinger()
     base = I.indexed(I.clustered(bars)).withColumns({
         "bb_upper": bb["bb_upper"], "bb_lower": bb["bb_lower"],
-        "sma50": ind.sma(50), "sma200": ind.sma(200), "prev_close": ind.lag("close"),
-        "support": ind.support(), "resistance": ind.resistance()})
-    kept = ["i", "n", "bb_upper", "bb_lower", "sma50", "sma200", "prev_close",
-            "support", "resistance", *keep]
+        **{k: v(ind) for k, v in EXTRA.items() if k in keep}})
+    tails = {k: v(ind) for k, v in TAILS.items() if k in keep}
+    if tails:
+        base = base.withColumns(tails)
+    kept = ["i", "n", "bb_upper", "bb_lower", *keep]
     trend = "supertrend_seeded" if seeded_supertrend else "supertrend"
     d = I.kernels(base, [k for k in KERNELS if k != "supertrend"] + [trend], keep=kept)
     strength = nz(clip((c("adx") - 15.0) / 25.0, 0.0, 1.0))
@@ -105,7 +110,8 @@ def pct_change(last: Column, prev: Column) -> Column:
 def latest_components(bars: DataFrame, min_bars: int = 1, seeded_supertrend: bool = False) -> DataFrame:
     """Newest bar per symbol with rounded components; the flag rides through the kernel,
     so no second exchange is needed."""
-    d = component_panel(bars, seeded_supertrend).where((c("i") == c("n") - 1) & (c("n") >= min_bars))
+    d = component_panel(bars, seeded_supertrend, keep=[*EXTRA, *TAILS])
+    d = d.where((c("i") == c("n") - 1) & (c("n") >= min_bars))
     return d.withColumns({p: rnd(c(p), 4) for p in PARTS}).withColumn("score", bar_score())
 
 
@@ -127,24 +133,35 @@ def simple_signals(bars: DataFrame, seeded_supertrend: bool = False) -> DataFram
 
 
 # ── regime engine ───────────────────────────────────────────────────────────────────
-def factor_panel(bars: DataFrame, lookback: int = 400) -> DataFrame:
-    """Windowed and recursive inputs of the four factor scores on the last `lookback` bars."""
+_NEEDS = {   # windows, then windows over those, then kernel outputs, per factor
+    "meanrev": (["bb_mid", "bb_upper", "bb_lower", "sma20", "sma50", "sma200", "std5", "prev_close", "tp_mean"],
+                ["prev_upper", "prev_lower", "tp_dev"], ["stoch_rsi"]),
+    "trend": ([], [], ["macd_hist", "plus_di", "minus_di", "adx", "atr10", "slope20", "slope50", "slope200"]),
+    "momentum": (["roc", "mom", "willr", "obv", "cmf"], ["obv4"], []),
+    "whales": (["ad", "cmf", "obv", "vwap", "mfi"], ["ad1", "obv1"], ["macd", "macd_signal"]),
+}
+
+
+def factor_panel(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
+    """Windowed and recursive inputs of the asked factor scores on the last `lookback` bars."""
     ind = I.Ind()
     base = I.with_tp_flow(I.indexed(I.last_n(I.clustered(bars), lookback)), ind)
-    bb = ind.bollinger()
-    base = base.withColumns({
-        **bb, "sma20": ind.sma(20), "sma50": ind.sma(50), "sma200": ind.sma(200),
-        "cci": ind.cci(), "std5": ind.std(5), "prev_close": ind.lag("close"),
+    first = {
+        **ind.bollinger(), "sma20": ind.sma(20), "sma50": ind.sma(50), "sma200": ind.sma(200),
+        "tp_mean": ind.tail(F.avg, c("tp"), 20), "std5": ind.std(5), "prev_close": ind.lag("close"),
         "roc": ind.roc(), "mom": ind.mom(), "willr": ind.willr(), "obv": ind.obv(),
-        "ad": ind.ad_line(), "cmf": ind.cmf(), "vwap": ind.vwap(), "mfi": I.mfi(ind)})
-    base = base.withColumns({
+        "ad": ind.ad_line(), "cmf": ind.cmf(), "vwap": ind.vwap(), "mfi": I.mfi(ind)}
+    second = {
         "prev_upper": ind.lag("bb_upper"), "prev_lower": ind.lag("bb_lower"),
-        "obv1": ind.lag("obv"), "obv4": ind.lag("obv", 4), "ad1": ind.lag("ad")})
-    kept = ["i", "n", "bb_mid", "bb_upper", "bb_lower", "prev_upper", "prev_lower", "sma20", "sma50",
-            "sma200", "cci", "std5", "prev_close", "roc", "mom", "willr", "obv", "obv1", "obv4", "ad",
-            "ad1", "cmf", "vwap", "mfi"]
-    return I.kernels(base, ["stoch_rsi", "macd", "macd_signal", "macd_hist", "plus_di", "minus_di",
-                            "adx", "atr10", "slope20", "slope50", "slope200"], keep=kept)
+        "tp_dev": ind.tail(F.avg, F.abs(c("tp") - c("tp_mean")), 20),
+        "obv1": ind.lag("obv"), "obv4": ind.lag("obv", 4), "ad1": ind.lag("ad")}
+    want = [dict.fromkeys(x for p in parts for x in _NEEDS[p][k]) for k in range(3)]
+    base = base.withColumns({"prev_close": first["prev_close"], **{k: first[k] for k in want[0]}})
+    base = base.withColumns({k: second[k] for k in want[1]}) if want[1] else base
+    kept = list(dict.fromkeys(["i", "n", "tp", "prev_close", *want[0], *want[1]]))
+    if not want[2]:
+        return base.select("symbol", "ts", *I.OHLCV, *kept)
+    return I.kernels(base, list(want[2]), keep=kept)
 
 
 def vote(test: Column, up: Column, otherwise=-1.0) -> Column:
@@ -156,9 +173,10 @@ def meanrev_score() -> Column:
     """Six counter-trend rules on the newest bar."""
     price, prev = c("close"), c("prev_close")
     stretch = (price - c("sma20")) / c("sma20")
+    cci = (c("tp") - c("tp_mean")) / (0.015 * c("tp_dev"))
     rule = [
         F.when(c("stoch_rsi") > 0.8, -1.0).when(c("stoch_rsi") < 0.2, 1.0),
-        F.when(c("cci") > 100, -1.0).when(c("cci") < -100, 1.0),
+        F.when(c("tp_dev") > 0, F.when(cci > 100, -1.0).when(cci < -100, 1.0)),
         F.when(price <= c("bb_lower"), 1.0).when(price >= c("bb_upper"), -1.0),
         F.when((prev <= c("prev_lower")) & (price >= c("bb_mid")), 1.0)
         .when((prev >= c("prev_upper")) & (price <= c("bb_mid")), -1.0),
@@ -191,33 +209,35 @@ def flow_score() -> Column:
     return F.when(c("n") >= 35, total).otherwise(0.0)
 
 
-def factor_scores(bars: DataFrame, lookback: int = 400) -> DataFrame:
+def factor_scores(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
     """Mean-reversion, trend, momentum and flow scores per symbol.
 
     The trend score divides by full-history deviations, so one map-side-combined
     aggregate reduces every symbol to a row before anything moves."""
-    d = factor_panel(bars, lookback)
+    d = factor_panel(bars, lookback, parts)
     newest = c("i") == c("n") - 1
-    mid = (c("high") + c("low")) / 2
-    band = (F.when(c("close") > mid + 3 * c("atr10"), 1.0)
-            .when(c("close") < mid - 3 * c("atr10"), -1.0).otherwise(0.0))
-    d = d.withColumn("di", c("plus_di") - c("minus_di")).withColumn("hist", c("macd_hist")).withColumn("band", band)
+    score = {"meanrev": meanrev_score, "momentum": momentum_score, "whales": flow_score}
+    agg = [F.max("n").alias("n"), F.max(F.when(newest, c("close"))).alias("last_close"),
+           F.max(F.when(newest, c("prev_close"))).alias("prev_close")]
+    agg += [F.max(F.when(newest, f())).alias(k) for k, f in score.items() if k in parts]
     wide = ["hist", "di", "slope20", "slope50", "slope200"]
-    agg = [F.stddev_samp(x).alias(f"{x}_sd") for x in wide]
-    agg += [F.max(F.when(newest, c(x))).alias(x) for x in [*wide, "adx", "band"]]
-    agg += [F.max(F.when(newest, e)).alias(k) for k, e in
-            {"meanrev": meanrev_score(), "momentum": momentum_score(), "whales": flow_score()}.items()]
-    g = d.groupBy("symbol").agg(F.max("n").alias("n"), F.max(F.when(newest, c("close"))).alias("last_close"),
-                                F.max(F.when(newest, c("prev_close"))).alias("prev_close"), *agg)
-
-    def z(x):
-        sd = c(f"{x}_sd")
-        return nz(F.when(sd > 0, c(x) / (sd + 1e-9)).otherwise(c(x)))
-
-    part = {"adx": nz(c("adx") / 100.0), "band": c("band"), **{x: z(x) for x in wide}}
-    total = sum((part[k] * w for k, w in TREND_WEIGHT.items()), F.lit(0.0)) / sum(TREND_WEIGHT.values())
-    return g.select("symbol", "n", "last_close", "prev_close", "meanrev",
-                    F.when(c("n") >= 200, total).otherwise(0.0).alias("trend"), "momentum", "whales")
+    if "trend" in parts:
+        mid = (c("high") + c("low")) / 2
+        band = (F.when(c("close") > mid + 3 * c("atr10"), 1.0)
+                .when(c("close") < mid - 3 * c("atr10"), -1.0).otherwise(0.0))
+        d = d.withColumns({"di": c("plus_di") - c("minus_di"), "hist": c("macd_hist"), "band": band})
+        agg += [F.stddev_samp(x).alias(f"{x}_sd") for x in wide]
+        agg += [F.max(F.when(newest, c(x))).alias(x) for x in [*wide, "adx", "band"]]
+    g = d.groupBy("symbol").agg(*agg)
+    if "trend" in parts:
+        def z(x):
+            sd = c(f"{x}_sd")
+            return nz(F.when(sd > 0, c(x) / (sd + 1e-9)).otherwise(c(x)))
+
+        part = {"adx": nz(c("adx") / 100.0), "band": c("band"), **{x: z(x) for x in wide}}
+        total = sum((part[k] * w for k, w in TREND_WEIGHT.items()), F.lit(0.0)) / sum(TREND_WEIGHT.values())
+        g = g.withColumn("trend", F.when(c("n") >= 200, total).otherwise(0.0))
+    return g.select("symbol", "n", "last_close", "prev_close", *parts)
 
 
 def regimes(sliced: DataFrame, keys: list[str], history: str = "slice28") -> DataFrame:

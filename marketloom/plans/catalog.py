@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
-from . import panel, pattern_queries, signal_queries  # noqa: F401
+from . import panel, pattern_queries, scalar_queries, signal_queries, source_queries  # noqa: F401
 from .registry import ABOUT, CATALOG, spark_queries, sql_texts  # noqa: F401

@@ -57,11 +57,12 @@ def build(sql: str) -> str:
 # ── bars ────────────────────────────────────────────────────────────────────────────
 fragment("bars", """
 SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, date_trunc('week', l_shipdate) AS ts,
-  first(l_extendedprice/l_quantity ORDER BY l_shipdate,l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity) AS open,
+  arg_min(l_extendedprice/l_quantity, k) AS open,
   max(l_extendedprice/l_quantity) AS high, min(l_extendedprice/l_quantity) AS low,
-  last(l_extendedprice/l_quantity ORDER BY l_shipdate,l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity) AS close,
+  arg_max(l_extendedprice/l_quantity, k) AS close,
   sum(l_quantity) AS volume
-FROM lineitem GROUP BY 1,2""")
+FROM (SELECT *, (isodow(l_shipdate)-1)*1152921504606846976 + l_orderkey*32768 + l_linenumber*4096
+   + (l_partkey*31 + CAST(floor(l_extendedprice*100+0.5) AS BIGINT) + CAST(l_quantity AS BIGINT)) % 4096 AS k FROM lineitem) GROUP BY 1,2""")
 
 fragment("hbars", """
 SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,

@@ -115,7 +115,7 @@ WHERE l.i=l.n-1""")
 
 for _name, _col in (("score_meanrev", "meanrev"), ("score_trend", "trend"), ("score_momentum", "momentum"), ("score_flow", "whales")):
     query(_name, f"SELECT symbol, R5({_col}) AS score FROM factors")(
-        lambda m, p=_col: S.factor_scores(m.bars).select("symbol", rnd(c(p), 5).alias("score")))
+        lambda m, p=_col: S.factor_scores(m.bars, parts=(p,)).select("symbol", rnd(c(p), 5).alias("score")))
 
 fragment("slc", """
 SELECT symbol || '#' || CAST(blk AS VARCHAR) AS symbol, ts, high, low, close, volume, i - (172+blk*28) AS i, pc, ph, pl FROM (
