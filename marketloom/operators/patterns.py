@@ -242,17 +242,19 @@ class Structural(_Group):
             "channel": ("Channel Up", wide & band & up, "Channel Down", tight & band & down),
             "double": ("Double Top", (hi >= hp) & (hi >= hn) & dip & calm,
                        "Double Bottom", (lo <= lp) & (lo <= ln) & bump & calm)}
-        recent = I.frame(self.window)
-        return {f"s_{k}": F.max(F.when(t2, F.struct("i", day(c("ts")).alias("d"), F.lit(n2).alias("label")))
-                                .when(t1, F.struct("i", day(c("ts")).alias("d"), F.lit(n1).alias("label"))))
-                .over(recent) for k, (n1, t1, n2, t2) in found.items()}
+        # one long per hit: time and side, so the newest hit is a plain maximum
+        stamp = F.unix_timestamp("ts") * 2
+        return {f"h_{k}": F.when(t2, stamp + 1).when(t1, stamp) for k, (_, t1, _, t2) in found.items()}
+
+    def third(self):
+        return {k: self.ind.tail(F.max, c("h" + k[1:]), self.window) for k in self.keep}
 
     keep = ["s_head", "s_multiple", "s_triangle", "s_wedge", "s_channel", "s_double"]
     labels = [PATTERNS[k][0] for k in range(18, 30)]
 
     def rows(self):
-        return [_row(self.labels[2 * j + side], c(f"{k}.label") == self.labels[2 * j + side],
-                     date=c(f"{k}.d")) for j, k in enumerate(self.keep) for side in (0, 1)]
+        return [_row(self.labels[2 * j + side], F.pmod(c(k), F.lit(2)) == side,
+                     date=day(F.timestamp_seconds(F.floor(c(k) / 2)))) for j, k in enumerate(self.keep) for side in (0, 1)]
 
 
 ALL = (Bollinger, MacdCross, AverageCross, Rsi, VolumeSpike, Candles, Structural)

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import f2, lookup, nz, rnd
 from ..sources.landing import top_rank
+from .kg import contained
 
 c = F.col
 # Rule thresholds and vocabularies.
@@ -171,9 +172,11 @@ def portfolio(holdings: DataFrame, watchlist: DataFrame, signals: DataFrame, ale
 def intel(signals: DataFrame, alerts: DataFrame, nodes: DataFrame, companies: DataFrame, k_alerts: int = 8, k_hits: int = 6) -> DataFrame:
     """Everything known about a ticker in one row."""
     a = top_alerts(alerts, k_alerts).groupBy("ticker").agg(F.array_sort(F.collect_list("title")).alias("alerts"))
-    names = nodes.select(F.explode(F.array_union(F.array(F.lower("canonical_name")), F.transform("aliases", lambda x: F.lower(x)))).alias("n"), "id", "confidence")
-    t = signals.select("ticker").join(companies, "ticker", "left")
-    hits = top_rank(t.select("ticker", F.lower("name").alias("n")).join(names, "n"), ["ticker"], [c("confidence").desc(), c("id")], k_hits)
+    names = nodes.select(F.explode(F.array_union(F.array(F.lower("canonical_name")), F.transform("aliases", lambda x: F.lower(x)))).alias("hay"), "id", "confidence")
+    t = signals.select("ticker").join(companies.select("ticker", F.lower("name").alias("needle")), "ticker")
+    inside = contained(t.select(c("needle").alias("text")), names.select(c("hay").alias("text")), [])
+    hits = t.join(inside, "needle").join(names, "hay").select("ticker", "id", "confidence").distinct()
+    hits = top_rank(hits, ["ticker"], [c("confidence").desc(), c("id")], k_hits)
     h = hits.groupBy("ticker").agg(F.array_sort(F.collect_list("id")).alias("entities"))
     return signals.join(companies, "ticker", "left").join(a, "ticker", "left").join(h, "ticker", "left")
 

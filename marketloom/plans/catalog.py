@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
-from . import panel, pattern_queries, scalar_queries, signal_queries, source_queries  # noqa: F401
+from . import (  # noqa: F401
+    news_queries, panel, pattern_queries, scalar_queries, signal_queries, source_queries)
 from .registry import ABOUT, CATALOG, spark_queries, sql_texts  # noqa: F401
