@@ -130,8 +130,12 @@ def name_index(nodes: DataFrame) -> DataFrame:
 # ── resolution ──────────────────────────────────────────────────────────────────────
 def _grams(t: Column, q: int = 3) -> Column:
     """Distinct substrings of length 1 (only for matching needles shorter than q), 2 and q."""
-    parts = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda k, n=n: F.substr(t, k, F.lit(n))))
-             .otherwise(F.array().cast("array<string>")) for n in (1, 2, q)]
+    def cut(n):
+        at = F.sequence(F.lit(1), F.length(t) - (n - 1))
+        return F.when(F.length(t) >= n, F.transform(at, lambda k: F.substr(t, k, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    parts = [cut(n) for n in (1, 2, q)]
     return F.array_distinct(F.concat(*parts))
 
 
