@@ -183,39 +183,46 @@ def resolve(queries: DataFrame, nodes: DataFrame, tiers: tuple[int, ...] = (1, 2
     Names are reduced to distinct texts with their smallest id first; every tier is an
     equi-join on text, gram or token, and only queries still open reach the next tier."""
     by = ["entity_type"]
-    q = queries.select("name", "entity_type").distinct().withColumn("norm", normalize_name(c("name")))
-    names = name_index(nodes)
-    text = names.where(c("norm_name") != "").groupBy(*by, c("norm_name").alias("text")).agg(F.min("id").alias("id"))
-    found = None
-    open_q = q
-
-    def close(hits, tier):
-        nonlocal found, open_q
-        hits = hits.select("name", "entity_type", "id", F.lit(tier).alias("tier"))
-        found = hits if found is None else found.union(hits)
-        open_q = open_q.join(hits.select("name", "entity_type"), ["name", "entity_type"], "left_anti")
-
+    d = queries.select("name", "entity_type").distinct().withColumn("norm", normalize_name(c("name")))
+    text = name_index(nodes).where(c("norm_name") != "").groupBy(*by, c("norm_name").alias("text")).agg(F.min("id").alias("id"))
+    if 3 in tiers or 4 in tiers:
+        text = cut_lineage(text)
+    none = F.lit(None).cast("string")
     if 1 in tiers:
-        close(open_q.join(text.withColumnRenamed("text", "norm"), [*by, "norm"]), 1)
+        d = d.join(text.select(*by, c("text").alias("norm"), c("id").alias("id1")), [*by, "norm"], "left")
+    else:
+        d = d.withColumn("id1", none)
     if 2 in tiers:
         keys = nodes.select("entity_type", canonical_key(c("canonical_name")).alias("key"), "id").where(c("key") != "")
-        keys = keys.groupBy(*by, "key").agg(F.min("id").alias("id"))
-        close(open_q.withColumn("key", canonical_key(c("name"))).join(keys, [*by, "key"]), 2)
+        keys = keys.groupBy(*by, "key").agg(F.min("id").alias("id2"))
+        d = d.withColumn("key", canonical_key(c("name"))).join(keys, [*by, "key"], "left")
+    else:
+        d = d.withColumn("id2", none)
+    d = d.select("name", *by, "norm", "id1", "id2")
+    if 3 in tiers or 4 in tiers:
+        d = cut_lineage(d)
+    rest = d.where(c("id1").isNull() & c("id2").isNull() & (c("norm") != "")).select(*by, "norm").distinct()
     if 3 in tiers:
-        asked = open_q.select("entity_type", c("norm").alias("text")).where(c("text") != "")
+        asked = rest.select(*by, c("norm").alias("text"))
         pair = (contained(asked, text, by).select(*by, c("needle").alias("norm"), c("hay").alias("text"))
                 .union(contained(text, asked, by).select(*by, c("hay").alias("norm"), c("needle").alias("text"))))
-        hit = pair.join(text, [*by, "text"]).groupBy(*by, "norm").agg(F.min("id").alias("id"))
-        close(open_q.join(hit, [*by, "norm"]), 3)
+        hit = pair.join(text, [*by, "text"]).groupBy(*by, "norm").agg(F.min("id").alias("id3"))
+        d = d.join(hit, [*by, "norm"], "left")
+    else:
+        d = d.withColumn("id3", none)
     if 4 in tiers:
         def sets(df, col):
-            return df.select("entity_type", c(col).alias("key"), tokens(c(col)).alias("t")).where(F.size("t") > 0)
+            return df.select(*by, c(col).alias("key"), tokens(c(col)).alias("t")).where(F.size("t") > 0)
 
-        hit = (similar(sets(open_q, "norm"), sets(text, "text"), by, RESOLVE_JACCARD)
+        hit = (similar(sets(rest, "norm"), sets(text, "text"), by, RESOLVE_JACCARD)
                .join(text.withColumnRenamed("text", "b"), [*by, "b"]).groupBy(*by, c("a").alias("norm"))
-               .agg(F.min(F.struct(-c("score"), c("id")))["id"].alias("id")))
-        close(open_q.join(hit, [*by, "norm"]), 4)
-    return found
+               .agg(F.min(F.struct(-c("score"), c("id")))["id"].alias("id4")))
+        d = d.join(hit, [*by, "norm"], "left")
+    else:
+        d = d.withColumn("id4", none)
+    ids = [f"id{k}" for k in (1, 2, 3, 4)]
+    tier = F.coalesce(*[F.when(c(x).isNotNull(), k + 1) for k, x in enumerate(ids)])
+    return d.select("name", "entity_type", F.coalesce(*ids).alias("id"), tier.alias("tier")).where(c("id").isNotNull())
 
 
 # ── fuzzy dedup ─────────────────────────────────────────────────────────────────────

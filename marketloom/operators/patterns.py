@@ -1,6 +1,8 @@
 """Chart patterns of the newest bar per symbol."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import day, nz
@@ -41,15 +43,23 @@ PATTERNS = [
     ("Double Top", "bearish", 0.8, "Two peaks at same level — expect breakdown below neckline."),
     ("Double Bottom", "bullish", 0.8, "Two troughs at same level — expect breakout above neckline."),
 ]
-FACTS = {name: (rank, way, strength, text) for rank, (name, way, strength, text) in enumerate(PATTERNS)}
+RANK = {name: rank for rank, (name, *_) in enumerate(PATTERNS)}
+_BEARISH_SPIKE = len(PATTERNS)      # the volume spike takes its direction from the bar
+
+
+def _row(name: str, test: Column, fact: Column | None = None, at: Column | None = None) -> Column:
+    """A hit: which fact row it uses and when it happened."""
+    return F.when(test, F.struct((F.lit(RANK[name]) if fact is None else fact).alias("fact"),
+                                 (F.unix_timestamp("ts") if at is None else at).alias("at")))
 
 
-def _row(name: str, test: Column, way: Column | None = None, date: Column | None = None) -> Column:
-    rank, fixed, strength, text = FACTS[name]
-    return F.when(test, F.struct(
-        F.lit(name).alias("name"), (F.lit(fixed) if way is None else way).alias("direction"),
-        F.lit(text).alias("explanation"), F.lit(strength).alias("strength"),
-        (day(c("ts")) if date is None else date).alias("date"), F.lit(rank).alias("rank")))
+def _facts() -> Column:
+    """Fact table as one constant array, folded by the optimizer."""
+    rows = [{"name": n, "direction": w or "bullish", "explanation": t, "strength": s, "rank": r}
+            for r, (n, w, s, t) in enumerate(PATTERNS)]
+    rows.append({**rows[RANK["Volume Spike"]], "direction": "bearish"})
+    return F.from_json(F.lit(json.dumps(rows)),
+                       "array<struct<name:string,direction:string,explanation:string,strength:double,rank:int>>")
 
 
 class _Group:
@@ -137,8 +147,8 @@ class VolumeSpike(_Group):
     keep = ["vol_mean", "prev_close"]
 
     def rows(self):
-        way = F.when(c("close") > c("prev_close"), "bullish").otherwise("bearish")
-        return [_row("Volume Spike", (c("vol_mean") > 0) & (c("volume") > 2.5 * c("vol_mean")), way)]
+        fact = F.when(c("close") > c("prev_close"), RANK["Volume Spike"]).otherwise(_BEARISH_SPIKE)
+        return [_row("Volume Spike", (c("vol_mean") > 0) & (c("volume") > 2.5 * c("vol_mean")), fact)]
 
 
 class Candles(_Group):
@@ -153,9 +163,15 @@ class Candles(_Group):
             "white": cl >= o, "avg_body": past(F.abs(cl - o), 10),
             "thin": 0.1 * past(h - l, 10), "near": 0.2 * past(h - l, 5), "far": 0.6 * past(h - l, 5)}
 
+    _LAGS = {1: ["open", "close", "high", "low", "body", "upper", "lower", "white", "avg_body", "thin", "near", "far"],
+             2: ["open", "close", "body", "upper", "lower", "white", "avg_body", "thin", "near", "far"], 3: ["high", "white"]}
+
     def second(self):
+        return {f"{x}_{k}": self.ind.lag(x, k) for k, xs in self._LAGS.items() for x in xs}
+
+    def third(self):
         def b(x, k):
-            return self.ind.lag(x, k) if k else c(x)
+            return c(f"{x}_{k}") if k else c(x)
 
         top = lambda k: F.greatest(b("open", k), b("close", k))      # noqa: E731
         bottom = lambda k: F.least(b("open", k), b("close", k))      # noqa: E731
@@ -254,7 +270,7 @@ class Structural(_Group):
 
     def rows(self):
         return [_row(self.labels[2 * j + side], F.pmod(c(k), F.lit(2)) == side,
-                     date=day(F.timestamp_seconds(F.floor(c(k) / 2)))) for j, k in enumerate(self.keep) for side in (0, 1)]
+                     at=F.floor(c(k) / 2)) for j, k in enumerate(self.keep) for side in (0, 1)]
 
 
 ALL = (Bollinger, MacdCross, AverageCross, Rsi, VolumeSpike, Candles, Structural)
@@ -279,7 +295,11 @@ def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1) -> DataFrame
         d = I.kernels(d, kernel_cols, keep=kept)
     d = d.where((c("i") == c("n") - 1) & (c("n") >= min_bars))
     rows = [r for p in parts for r in p.rows()]
-    return d.select("symbol", "ts", F.array_compact(F.array(*rows)).alias("patterns"))
+    hits = d.select("symbol", "ts", F.array_compact(F.array(*rows)).alias("hits"), _facts().alias("facts"))
+    named = F.transform("hits", lambda h: F.struct(*[
+        F.element_at("facts", h["fact"] + 1)[k].alias(k) for k in ("name", "direction", "explanation", "strength")],
+        day(F.timestamp_seconds(h["at"])).alias("date"), F.element_at("facts", h["fact"] + 1)["rank"].alias("rank")))
+    return hits.select("symbol", "ts", named.alias("patterns"))
 
 
 def pattern_rows(found: DataFrame) -> DataFrame:

@@ -23,10 +23,16 @@ def signed2(x: Column) -> Column:
     return F.concat(F.when(x >= 0, "+").otherwise(""), f2(x))
 
 
-def _alerts(d: DataFrame, kind, title, body, strength, direction, action, evidence) -> DataFrame:
+def _alert(test, kind, title, body, strength, direction, action, evidence) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return d.select("ticker", lit(kind).alias("alert_type"), title.alias("title"), body.alias("body"), strength.alias("strength"),
-                    lit(direction).alias("direction"), lit(action).alias("suggested_action"), evidence.alias("evidence"))
+    return F.when(test, F.struct(
+        lit(kind).alias("alert_type"), title.alias("title"), body.alias("body"), strength.alias("strength"),
+        lit(direction).alias("direction"), lit(action).alias("suggested_action"), evidence.alias("evidence")))
+
+
+def _emit(d: DataFrame, *alerts: Column) -> DataFrame:
+    """Rows of every alert whose test holds: one pass over the input for all rules."""
+    return d.select("ticker", F.explode(F.array_compact(F.array(*alerts))).alias("a")).select("ticker", "a.*")
 
 
 def candidates(signals: DataFrame, k: int = 30) -> DataFrame:
@@ -40,51 +46,75 @@ def joined(signals: DataFrame, sentiment: DataFrame) -> DataFrame:
     return signals.join(s, "ticker", "left").withColumn("news", nz(c("news"))).withColumn("headline_summary", nz(c("headline_summary"), ""))
 
 
+def _confluence() -> list[Column]:
+    shapes = F.transform(F.slice("patterns", 1, 2), lambda p: F.concat(F.lit("Pattern: "), p["name"], F.lit(" — "), p["explanation"]))
+    up = _alert((c("suggested_action") == "BUY") & (c("news") > 0.25),
+                "TA_BSNM_CONFLUENCE", _text(c("ticker"), ": Technical + News Confluence"),
+                _text("Strong TA buy signal (score ", f2(c("score")), ", regime: ", c("regime"), ") confirmed by positive news sentiment (",
+                      signed2(c("news")), "). ", c("headline_summary")),
+                F.least((c("confidence") + c("news")) / 2 + 0.1, F.lit(1.0)), "bullish", "BUY",
+                F.concat(F.array(_text("TA score: ", f2(c("score")), " vs threshold ", f2(c("threshold"))),
+                                 _text("Regime: ", c("regime"), " — ", c("regime_desc")),
+                                 _text("Business sentiment: ", signed2(c("news")))), shapes))
+    down = _alert((c("suggested_action") == "SELL") & (c("news") < -0.25),
+                  "TA_BSNM_BEAR_CONFLUENCE", _text(c("ticker"), ": Bearish Signal — Consider Exiting"),
+                  _text("TA sell signal (score ", f2(c("score")), ") combined with negative news (", signed2(c("news")), "). ", c("headline_summary")),
+                  F.least((c("confidence") + F.abs("news")) / 2, F.lit(1.0)), "bearish", "SELL",
+                  F.array(_text("TA score: ", f2(c("score")), " below zero"), _text("Business sentiment: ", signed2(c("news")))))
+    return [up, down]
+
+
+def _pattern() -> Column:
+    action = lookup(c("p.direction"), {"bullish": "BUY", "bearish": "SELL"}, "WATCH")
+    return _alert(c("p.strength") >= 0.75, "CHART_PATTERN", _text(c("ticker"), ": ", c("p.name"), " Detected"), c("p.explanation"),
+                  c("p.strength") * F.greatest(c("confidence"), F.lit(0.65)), c("p.direction"), action,
+                  F.array(c("p.explanation"), _text("Regime: ", c("regime")), _text("Last close: ₹", f2(c("last_close")))))
+
+
+def _regime() -> Column:
+    return _alert(c("regime").isin("BREAKOUT", "WHALE"), "REGIME_ALERT", _text(c("ticker"), ": ", c("regime"), " Regime Detected"), c("regime_desc"),
+                  F.when(c("regime") == "WHALE", 0.7).otherwise(0.65), F.when(c("score") > 0, "bullish").otherwise("bearish"), "WATCH",
+                  F.array(c("regime_desc"), _text("TA score: ", f2(c("score")))))
+
+
+def _news(score: str = "score", ta: str = "ta") -> Column:
+    s = c(score)
+    action = F.when(c(ta) == "HOLD", "WATCH").when(s > 0, "BUY").otherwise("SELL")
+    return _alert(F.abs(s) >= 0.5, "STRONG_NEWS", _text(c("ticker"), ": Strong ", F.when(s > 0, "Positive").otherwise("Negative"), " News Flow"),
+                  c("headline_summary"), F.least(F.abs(s), F.lit(1.0)) * 0.7, F.when(s > 0, "bullish").otherwise("bearish"), action,
+                  F.concat(F.slice("top_headlines", 1, 3), F.array(_text("News sentiment score: ", signed2(s)),
+                                                                   _text("Articles analysed: ", c("articles_found").cast("string")))))
+
+
 def confluence(d: DataFrame) -> DataFrame:
     """Signal and news agree."""
-    bull = (c("suggested_action") == "BUY") & (c("news") > 0.25)
-    bear = (c("suggested_action") == "SELL") & (c("news") < -0.25)
-    shapes = F.transform(F.slice("patterns", 1, 2), lambda p: F.concat(F.lit("Pattern: "), p["name"], F.lit(" — "), p["explanation"]))
-    up = _alerts(d.where(bull), "TA_BSNM_CONFLUENCE", _text(c("ticker"), ": Technical + News Confluence"),
-                 _text("Strong TA buy signal (score ", f2(c("score")), ", regime: ", c("regime"), ") confirmed by positive news sentiment (",
-                       signed2(c("news")), "). ", c("headline_summary")),
-                 F.least((c("confidence") + c("news")) / 2 + 0.1, F.lit(1.0)), "bullish", "BUY",
-                 F.concat(F.array(_text("TA score: ", f2(c("score")), " vs threshold ", f2(c("threshold"))),
-                                  _text("Regime: ", c("regime"), " — ", c("regime_desc")),
-                                  _text("Business sentiment: ", signed2(c("news")))), shapes))
-    down = _alerts(d.where(bear), "TA_BSNM_BEAR_CONFLUENCE", _text(c("ticker"), ": Bearish Signal — Consider Exiting"),
-                   _text("TA sell signal (score ", f2(c("score")), ") combined with negative news (", signed2(c("news")), "). ", c("headline_summary")),
-                   F.least((c("confidence") + F.abs("news")) / 2, F.lit(1.0)), "bearish", "SELL",
-                   F.array(_text("TA score: ", f2(c("score")), " below zero"), _text("Business sentiment: ", signed2(c("news")))))
-    return up.union(down)
+    return _emit(d, *_confluence())
 
 
 def pattern_alerts(d: DataFrame) -> DataFrame:
     """Chart patterns of strength .75 or more."""
-    p = d.withColumn("p", F.explode("patterns")).where(c("p.strength") >= 0.75)
-    action = lookup(c("p.direction"), {"bullish": "BUY", "bearish": "SELL"}, "WATCH")
-    return _alerts(p, "CHART_PATTERN", _text(c("ticker"), ": ", c("p.name"), " Detected"), c("p.explanation"),
-                   c("p.strength") * F.greatest(c("confidence"), F.lit(0.65)), c("p.direction"), action,
-                   F.array(c("p.explanation"), _text("Regime: ", c("regime")), _text("Last close: ₹", f2(c("last_close")))))
+    return _emit(d.withColumn("p", F.explode("patterns")), _pattern())
 
 
 def regime_alerts(d: DataFrame) -> DataFrame:
     """Breakout and institutional-activity regimes."""
-    r = d.where(c("regime").isin("BREAKOUT", "WHALE"))
-    return _alerts(r, "REGIME_ALERT", _text(c("ticker"), ": ", c("regime"), " Regime Detected"), c("regime_desc"),
-                   F.when(c("regime") == "WHALE", 0.7).otherwise(0.65), F.when(c("score") > 0, "bullish").otherwise("bearish"), "WATCH",
-                   F.array(c("regime_desc"), _text("TA score: ", f2(c("score")))))
+    return _emit(d, _regime())
 
 
 def news_alerts(sentiment: DataFrame, signals: DataFrame) -> DataFrame:
     """Strong stand-alone news flow."""
-    d = sentiment.where(F.abs("score") >= 0.5).join(signals.select("ticker", c("suggested_action").alias("ta")), "ticker", "left")
-    up = c("score") > 0
-    action = F.when(c("ta") == "HOLD", "WATCH").when(up, "BUY").otherwise("SELL")
-    return _alerts(d, "STRONG_NEWS", _text(c("ticker"), ": Strong ", F.when(up, "Positive").otherwise("Negative"), " News Flow"),
-                   c("headline_summary"), F.least(F.abs("score"), F.lit(1.0)) * 0.7, F.when(up, "bullish").otherwise("bearish"), action,
-                   F.concat(F.slice("top_headlines", 1, 3), F.array(_text("News sentiment score: ", signed2(c("score"))),
-                                                                    _text("Articles analysed: ", c("articles_found").cast("string")))))
+    strong = sentiment.where(F.abs("score") >= 0.5)
+    return _emit(strong.join(signals.select("ticker", c("suggested_action").alias("ta")), "ticker", "left"), _news())
+
+
+def signal_alerts(signals: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """All alerts that need only the signal and sentiment record of a ticker (R02–R06), from one
+    join and one pass. Signals carry their best pattern only, so it is read by position."""
+    s = sentiment.select("ticker", c("score").alias("news_score"), "headline_summary", "top_headlines", "articles_found")
+    d = signals.join(s, "ticker", "full_outer").withColumn("news", nz(c("news_score")))
+    d = d.withColumn("p", F.get("patterns", F.lit(0))).withColumn("ta", c("suggested_action"))
+    d = d.withColumn("headline_summary", nz(c("headline_summary"), ""))
+    return _emit(d, *_confluence(), _pattern(), _regime(), _news("news_score"))
 
 
 def linked(edges: DataFrame, nodes: DataFrame, companies: DataFrame, kind: str) -> DataFrame:
@@ -105,10 +135,10 @@ def insider_alerts(trades: DataFrame) -> DataFrame:
     body = F.when(known, _text(c("trader"), F.when(buy, " bought ").otherwise(" sold "), "₹", F.format_string("%.1f", rnd(c("value"), 1)), " Cr worth of ",
                                c("ticker"), " (", F.format_string("%.0f", rnd(c("qty"), 0)), " shares @ ₹", f2(c("px")), ")")).otherwise(
         _text(c("trader"), " executed a significant ", words, "."))
-    return _alerts(d, "INSIDER_TRADE", _text(c("ticker"), ": Significant ", F.initcap(words)), body,
+    return _emit(d, _alert(F.lit(True), "INSIDER_TRADE", _text(c("ticker"), ": Significant ", F.initcap(words)), body,
                    F.least(c("value") / 100, F.lit(0.9)), F.when(buy, "bullish").otherwise("bearish"), "WATCH",
                    F.array(_text("Trade type: ", c("kind")), _text("Trader: ", c("trader")),
-                           _text("Value: ₹", F.format_string("%.1f", rnd(c("value"), 1)), " Cr")))
+                           _text("Value: ₹", F.format_string("%.1f", rnd(c("value"), 1)), " Cr"))))
 
 
 def event_alerts(events: DataFrame) -> DataFrame:
@@ -116,9 +146,9 @@ def event_alerts(events: DataFrame) -> DataFrame:
     d = events.withColumns({"magnitude": nz(F.element_at("attributes", "magnitude").try_cast("double")),
                             "event_type": nz(F.element_at("attributes", "event_type"), "other")}).where(c("magnitude") >= 0.6)
     way = F.when(c("event_type").isin(BULLISH_EVENTS), "bullish").when(c("event_type").isin(BEARISH_EVENTS), "bearish").otherwise("neutral")
-    return _alerts(d, "CORPORATE_EVENT", _text(c("ticker"), ": ", c("canonical_name")), F.coalesce("description", "canonical_name"),
+    return _emit(d, _alert(F.lit(True), "CORPORATE_EVENT", _text(c("ticker"), ": ", c("canonical_name")), F.coalesce("description", "canonical_name"),
                    c("magnitude") * 0.8, way, "WATCH",
-                   F.array(_text("Event type: ", c("event_type")), _text("Magnitude: ", f2(c("magnitude")))))
+                   F.array(_text("Event type: ", c("event_type")), _text("Magnitude: ", f2(c("magnitude"))))))
 
 
 def union(*parts: DataFrame) -> DataFrame:

@@ -198,10 +198,13 @@ def event_nodes(m):
         F.lit("event_type"), c("event_type"), F.lit("magnitude"), c("magnitude").cast("string")).alias("attributes"))
 
 
+def streams(m):
+    """Every alert stream of the radar; regimes here are the simple engine's trend labels."""
+    return R.union(R.signal_alerts(base_signals(m), records(m)), insider(m), R.event_alerts(event_nodes(m)))
+
+
 def all_alerts(m):
-    d = signal_news(m)
-    rec = records(m)
-    return R.distinct_alerts(R.union(R.confluence(d), R.pattern_alerts(d), R.news_alerts(rec, d), insider(m), R.event_alerts(event_nodes(m))))
+    return R.distinct_alerts(streams(m))
 
 
 @query("radar_candidates", "SELECT symbol AS ticker, score FROM simple ORDER BY abs(score) DESC, symbol LIMIT 30")
@@ -280,9 +283,7 @@ def alerts_topk(m):
 @query("union_alerts", "SELECT alert_type, count(*) AS alerts FROM al_all GROUP BY 1")
 def union_alerts(m):
     """Union of all alert streams"""
-    d = signal_news(m)
-    u = R.union(R.confluence(d), R.pattern_alerts(d), R.news_alerts(records(m), d), insider(m), R.event_alerts(event_nodes(m)))
-    return u.groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"))
+    return streams(m).groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 fragment("hold", "SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, l_suppkey AS pos, sum(l_quantity) AS quantity, sum(l_extendedprice)/sum(l_quantity) AS avg_cost FROM lineitem WHERE l_suppkey%5=0 GROUP BY l_suppkey")
