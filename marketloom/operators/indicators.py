@@ -47,32 +47,68 @@ def last_n(bars: DataFrame, n: int, keys=("symbol",)) -> DataFrame:
     return bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def prepared(bars: DataFrame, keys=("symbol",), total: bool = False) -> DataFrame:
+    """Clustered panel with bar number `i`, previous close and, if asked, bars per key `n`."""
+    d = clustered(bars, keys)
+    w = by_time(keys)
+    d = d.withColumns({"i": F.row_number().over(w) - 1, "prev_close": F.lag("close").over(w)})
+    return d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))) if total else d
+
+
 class Ind:
-    """Windowed indicator columns; NULL until the frame is full, as the feeds expect."""
+    """Windowed indicator columns over a `prepared` panel; NULL until the frame is full.
+
+    Every window function an indicator needs becomes one shared column first (`part`), and
+    the indicator is arithmetic over those columns, so no frame is evaluated twice."""
 
     def __init__(self, keys=("symbol",)):
         self.keys = keys
         self.w = by_time(keys)
         self.whole = Window.partitionBy(*keys)
         self.upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        self.i = F.row_number().over(self.w) - 1
+        self.i = F.col("i")
+        self._parts: dict[str, tuple[str, Column]] = {}
+
+    def part(self, expr: Column) -> Column:
+        name, _ = self._parts.setdefault(str(expr), (f"_w{len(self._parts)}", expr))
+        return F.col(name)
+
+    def apply(self, d: DataFrame, cols: dict[str, Column]) -> DataFrame:
+        """Add the pending window columns, then `cols` computed from them."""
+        have = set(d.columns)
+        new = {n: e for n, e in self._parts.values() if n not in have}
+        d = d.withColumns(new) if new else d
+        return d.withColumns(cols) if cols else d
+
+    def rolling(self, agg: Column, n: int) -> Column:
+        return self.part(agg.over(frame(n, self.keys)))
 
     def over(self, agg: Column, n: int, first: int | None = None) -> Column:
-        return F.when(self.i >= (n - 1 if first is None else first), agg.over(frame(n, self.keys)))
+        return F.when(self.i >= (n - 1 if first is None else first), self.rolling(agg, n))
+
+    def running(self, agg: Column) -> Column:
+        return self.part(agg.over(self.upto))
 
     def lag(self, c, k: int = 1) -> Column:
-        return F.lag(c, k).over(self.w)
+        return self.part(F.lag(c, k).over(self.w))
+
+    def lead(self, c, k: int = 1) -> Column:
+        return self.part(F.lead(c, k).over(self.w))
+
+    def tail(self, agg, expr: Column, n: int) -> Column:
+        """Aggregate over the newest n bars, on every row of the key; needs columns i and n."""
+        return self.part(agg(F.when(F.col("i") >= F.col("n") - n, expr)).over(self.whole))
 
     def sma(self, n: int) -> Column:
         """Short averages by sliding frame; long ones as a difference of two running sums,
         whose cost per bar does not grow with n."""
         if n < 50:
             return self.over(F.avg("close"), n)
-        older = F.sum("close").over(self.w.rowsBetween(Window.unboundedPreceding, -n))
-        return F.when(self.i >= n - 1, (F.sum("close").over(self.upto) - nz(older)) / n)
+        older = self.part(F.sum("close").over(self.w.rowsBetween(Window.unboundedPreceding, -n)))
+        return F.when(self.i >= n - 1, (self.running(F.sum("close")) - nz(older)) / n)
 
     def true_range(self) -> Column:
-        pc = self.lag("close")
+        pc = F.col("prev_close")
         return F.when(pc.isNotNull(), F.greatest(
             F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
 
@@ -85,10 +121,9 @@ class Ind:
 
     def cci(self, n: int = 20) -> Column:
         tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-        xs = F.collect_list(tp).over(frame(n, self.keys))
-        mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-        dev = F.aggregate(F.transform(xs, lambda x: F.abs(x - mean)), F.lit(0.0), lambda a, x: a + x) / n
-        return F.when(self.i >= n - 1, F.when(dev > 0, (tp - mean) / (0.015 * dev)).otherwise(0.0))
+        xs, mean = self.rolling(F.collect_list(tp), n), self.rolling(F.avg(tp), n)
+        dev = F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.abs(x - mean)) / n
+        return F.when(self.i >= n - 1, F.coalesce((tp - mean) / (0.015 * F.nullif(dev, F.lit(0.0))), F.lit(0.0)))
 
     def roc(self, n: int = 10) -> Column:
         return 100 * (F.col("close") / self.lag("close", n) - 1)
@@ -100,42 +135,30 @@ class Ind:
         hi, lo = self.over(F.max("high"), n), self.over(F.min("low"), n)
         return F.when(hi > lo, -100 * (hi - F.col("close")) / (hi - lo)).when(hi.isNotNull(), 0.0)
 
-    def obv(self, close=None) -> Column:
-        move = F.signum(F.col("close") - self.lag("close"))
-        return F.sum(F.coalesce(move, F.lit(1.0)) * F.col("volume")).over(self.upto)
+    def obv(self) -> Column:
+        move = F.signum(F.col("close") - F.col("prev_close"))
+        return self.running(F.sum(F.coalesce(move, F.lit(1.0)) * F.col("volume")))
 
     def flow_multiplier(self) -> Column:
         h, l, c = F.col("high"), F.col("low"), F.col("close")
         return F.when(h != l, ((c - l) - (h - c)) / (h - l))
 
     def ad_line(self) -> Column:
-        return F.sum(nz(self.flow_multiplier()) * F.col("volume")).over(self.upto)
+        return self.running(F.sum(nz(self.flow_multiplier()) * F.col("volume")))
 
     def cmf(self, n: int = 20) -> Column:
         mfv = self.flow_multiplier() * F.col("volume")
-        full = F.count(mfv).over(frame(n, self.keys)) == n
-        vol = F.sum("volume").over(frame(n, self.keys))
-        return F.when(full & (vol != 0), F.sum(mfv).over(frame(n, self.keys)) / vol)
+        full = self.rolling(F.count(mfv), n) == n
+        return F.when(full, self.rolling(F.sum(mfv), n) / F.nullif(self.rolling(F.sum("volume"), n), F.lit(0.0)))
 
     def vwap(self) -> Column:
         tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-        vol = F.sum("volume").over(self.upto)
-        return F.when(vol != 0, F.sum(tp * F.col("volume")).over(self.upto) / vol)
+        return self.running(F.sum(tp * F.col("volume"))) / F.nullif(self.running(F.sum("volume")), F.lit(0.0))
 
     def vol_ratio(self, n: int = 20) -> Column:
         mean = self.over(F.avg("volume"), n)
         return F.when(mean > 0, F.col("volume") / mean)
 
-    def support(self, n: int = 50) -> Column:
-        return F.min("low").over(frame(n, self.keys))
-
-    def resistance(self, n: int = 50) -> Column:
-        return F.max("high").over(frame(n, self.keys))
-
-    def tail(self, agg, expr: Column, n: int) -> Column:
-        """Aggregate over the newest n bars, on every row of the key; needs columns i and n."""
-        return agg(F.when(F.col("i") >= F.col("n") - n, expr)).over(self.whole)
-
     def std(self, n: int = 5) -> Column:
         return self.over(F.stddev_pop("close"), n)
 
@@ -144,14 +167,15 @@ def with_tp_flow(bars: DataFrame, ind: Ind) -> DataFrame:
     """Typical price and signed money flow, the inputs of MFI."""
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
     d = bars.withColumn("tp", tp)
-    change = F.col("tp") - ind.lag("tp")
-    return (d.withColumn("mf_pos", F.when(change > 0, F.col("tp") * F.col("volume")).otherwise(0.0))
-            .withColumn("mf_neg", F.when(change < 0, F.col("tp") * F.col("volume")).otherwise(0.0)))
+    d = ind.apply(d, {"_dtp": F.col("tp") - ind.lag("tp")})
+    flow = F.col("tp") * F.col("volume")
+    return d.withColumns({"mf_pos": F.when(F.col("_dtp") > 0, flow).otherwise(0.0),
+                          "mf_neg": F.when(F.col("_dtp") < 0, flow).otherwise(0.0)})
 
 
 def mfi(ind: Ind, n: int = 14) -> Column:
     """Money flow index over `with_tp_flow` columns; first value at bar n."""
-    pos, neg = (F.sum(c).over(frame(n, ind.keys)) for c in ("mf_pos", "mf_neg"))
+    pos, neg = ind.rolling(F.sum("mf_pos"), n), ind.rolling(F.sum("mf_neg"), n)
     return F.when(ind.i >= n, F.when(pos + neg < 1, 0.0).otherwise(100 * pos / (pos + neg)))
 
 
@@ -161,9 +185,13 @@ def scaled(c: str, keys=("symbol",)) -> Column:
     return F.when(sd > 0, F.col(c) / (sd + 1e-9)).otherwise(nz(F.col(c)))
 
 
-def pct_rank_avg(df: DataFrame, c: str, keys=("symbol",)) -> Column:
-    """Percentile rank with ties averaged among the non-null values of the key."""
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last()))
-    ties = F.count(c).over(Window.partitionBy(*keys, c))
-    total = F.count(c).over(Window.partitionBy(*keys))
-    return F.when(F.col(c).isNotNull(), (below + (ties - 1) / 2) / total)
+def newest_pct_rank(d: DataFrame, x: str, keys=("symbol",)) -> DataFrame:
+    """Percentile rank (ties averaged) of the newest value of `x` among the key's non-null ones,
+    on every row as `<x>_pct` (I25): counts over the whole key, so no sort by value. Needs i, n."""
+    whole = Window.partitionBy(*keys)
+    d = d.withColumns({f"{x}_last": F.max(F.when(F.col("i") == F.col("n") - 1, F.col(x))).over(whole),
+                       f"{x}_count": F.count(x).over(whole)})
+    below = F.sum((F.col(x) < F.col(f"{x}_last")).cast("int")).over(whole)
+    ties = F.sum((F.col(x) == F.col(f"{x}_last")).cast("int")).over(whole)
+    d = d.withColumns({f"{x}_below": below, f"{x}_ties": ties})
+    return d.withColumn(f"{x}_pct", (F.col(f"{x}_below") + (F.col(f"{x}_ties") + 1) / 2) / F.col(f"{x}_count"))

@@ -44,12 +44,13 @@ PATTERNS = [
     ("Double Bottom", "bullish", 0.8, "Two troughs at same level — expect breakout above neckline."),
 ]
 RANK = {name: rank for rank, (name, *_) in enumerate(PATTERNS)}
+PRIORITY = {name: k for k, (name, *_) in enumerate(sorted(PATTERNS, key=lambda p: -p[2]))}
 _BEARISH_SPIKE = len(PATTERNS)      # the volume spike takes its direction from the bar
 
 
 def _row(name: str, test: Column, fact: Column | None = None, at: Column | None = None) -> Column:
-    """A hit: which fact row it uses and when it happened."""
-    return F.when(test, F.struct((F.lit(RANK[name]) if fact is None else fact).alias("fact"),
+    """A hit: its place by strength, which fact row it uses and when it happened."""
+    return F.when(test, F.struct(F.lit(PRIORITY[name]).alias("priority"), (F.lit(RANK[name]) if fact is None else fact).alias("fact"),
                                  (F.unix_timestamp("ts") if at is None else at).alias("at")))
 
 
@@ -62,11 +63,15 @@ def _facts() -> Column:
                        "array<struct<name:string,direction:string,explanation:string,strength:double,rank:int>>")
 
 
+SHALLOW = 48
+
+
 class _Group:
     """Window columns a pattern family needs, kernel outputs it needs, and its tests."""
 
     windows: dict[str, Column] = {}
     kernels: list[str] = []
+    shallow = False         # True when the newest SHALLOW bars are all it looks at
 
     def second(self) -> dict[str, Column]:
         return {}
@@ -80,22 +85,14 @@ class Bollinger(_Group):
         bb = ind.bollinger()
         self.windows = {k: bb[k] for k in ("bb_upper", "bb_lower", "bb_width")}
 
-    def second(self):
-        whole = Window.partitionBy("symbol")
-        return {"bw_last": F.max(F.when(c("i") == c("n") - 1, c("bb_width"))).over(whole),
-                "bw_count": F.count("bb_width").over(whole)}
-
-    def third(self):
-        whole = Window.partitionBy("symbol")
-        return {"bw_below": F.sum((c("bb_width") < c("bw_last")).cast("int")).over(whole),
-                "bw_ties": F.sum((c("bb_width") == c("bw_last")).cast("int")).over(whole)}
+    def finish(self, d):
+        return I.newest_pct_rank(d, "bb_width")
 
-    keep = ["bb_upper", "bb_lower", "bw_count", "bw_below", "bw_ties"]
+    keep = ["bb_upper", "bb_lower", "bb_width_count", "bb_width_pct"]
 
     def rows(self):
-        ready = c("bw_count") >= 20
-        pct = (c("bw_below") + (c("bw_ties") + 1) / 2) / c("bw_count")
-        squeeze = ready & (pct < 0.2)
+        ready = c("bb_width_count") >= 20
+        squeeze = ready & (c("bb_width_pct") < 0.2)
         return [_row("Bollinger Squeeze", squeeze),
                 _row("Bollinger Breakout (Upper)", ready & ~squeeze & (c("close") > c("bb_upper"))),
                 _row("Bollinger Breakdown (Lower)", ready & ~squeeze & (c("close") < c("bb_lower")))]
@@ -141,8 +138,10 @@ class Rsi(_Group):
 
 
 class VolumeSpike(_Group):
+    shallow = True
+
     def __init__(self, ind):
-        self.windows = {"vol_mean": ind.over(F.avg("volume"), 20), "prev_close": ind.lag("close")}
+        self.windows = {"vol_mean": ind.over(F.avg("volume"), 20)}
 
     keep = ["vol_mean", "prev_close"]
 
@@ -154,10 +153,12 @@ class VolumeSpike(_Group):
 class Candles(_Group):
     """Eight public candlestick definitions; averages leave the current bar out."""
 
+    shallow = True
+
     def __init__(self, ind, signed: bool = False):
         self.ind, self.signed = ind, signed
         o, h, l, cl = c("open"), c("high"), c("low"), c("close")
-        past = lambda e, n: F.avg(e).over(ind.w.rowsBetween(-n, -1))
+        past = lambda e, n: ind.part(F.avg(e).over(ind.w.rowsBetween(-n, -1)))
         self.windows = {
             "body": F.abs(cl - o), "upper": h - F.greatest(o, cl), "lower": F.least(o, cl) - l,
             "white": cl >= o, "avg_body": past(F.abs(cl - o), 10),
@@ -224,15 +225,17 @@ class Candles(_Group):
 class Structural(_Group):
     """Six shape detectors over three-bar extremes; newest hit of each in the last 20 bars."""
 
+    shallow = True
+
     def __init__(self, ind, window: int = 20):
         self.ind, self.window = ind, window
         hi3, lo3 = ind.over(F.max("high"), 3), ind.over(F.min("low"), 3)
         self.windows = {
             "hi3": hi3, "lo3": lo3,
             "ch3": ind.over(F.max("close"), 3), "cl3": ind.over(F.min("close"), 3),
-            "h_prev": ind.lag("high"), "h_next": F.lead("high").over(ind.w),
-            "l_prev": ind.lag("low"), "l_next": F.lead("low").over(ind.w),
-            "c_prev": ind.lag("close"),
+            "h_prev": ind.lag("high"), "h_next": ind.lead("high"),
+            "l_prev": ind.lag("low"), "l_next": ind.lead("low"),
+            "c_prev": c("prev_close"),
             "h_trend": F.signum(c("high") - ind.lag("high", 2)),
             "l_trend": F.signum(c("low") - ind.lag("low", 2))}
 
@@ -277,25 +280,40 @@ ALL = (Bollinger, MacdCross, AverageCross, Rsi, VolumeSpike, Candles, Structural
 POINTWISE = (Bollinger, MacdCross, AverageCross, Rsi, VolumeSpike, Candles)
 
 
-def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1) -> DataFrame:
-    """(symbol, ts, patterns) for the newest bar; one exchange, one optional Python pass."""
-    ind = I.Ind()
-    parts = [g(ind) for g in groups]
-    d = I.indexed(I.clustered(bars))
+def _windowed(d: DataFrame, ind: I.Ind, parts: list[_Group]) -> DataFrame:
     for step in ("windows", "second", "third"):
         cols: dict[str, Column] = {}
         for p in parts:
             got = getattr(p, step, {})
             cols.update(got() if callable(got) else got)
-        if cols:
-            d = d.withColumns(cols)
-    kernel_cols = sorted({k for p in parts for k in p.kernels})
-    kept = ["i", "n", *dict.fromkeys(k for p in parts for k in p.keep)]
+        d = ind.apply(d, cols)
+    for p in parts:
+        d = p.finish(d) if hasattr(p, "finish") else d
+    return d
+
+
+def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1, best: bool = False) -> DataFrame:
+    """(symbol, ts, patterns) for the newest bar; one exchange, one optional Python pass.
+
+    best=True keeps only the strongest pattern, the earlier detector winning a tie (T08)."""
+    wide, close_up = I.Ind(), I.Ind()
+    parts = [g(close_up if g.shallow else wide) for g in groups]
+    deep = [p for p in parts if not p.shallow]
+    near = [p for p in parts if p.shallow]
+    d = _windowed(I.prepared(bars, total=True), wide, deep)
+    kernel_cols = sorted({k for p in deep for k in p.kernels})
     if kernel_cols:
-        d = I.kernels(d, kernel_cols, keep=kept)
+        d = I.kernels(d, kernel_cols, keep=["i", "n", "prev_close", *dict.fromkeys(k for p in deep for k in p.keep)])
+    if near:
+        # only the newest bars feed these, so the windows (and an exchange after a kernel) see few rows
+        d = d.where(c("i") >= c("n") - SHALLOW)
+        d = d.drop(*[x for x in d.columns if x.startswith("_w")])
+        d = _windowed(I.clustered(d) if kernel_cols else d, close_up, near)
     d = d.where((c("i") == c("n") - 1) & (c("n") >= min_bars))
     rows = [r for p in parts for r in p.rows()]
-    hits = d.select("symbol", "ts", F.array_compact(F.array(*rows)).alias("hits"), _facts().alias("facts"))
+    hits = F.array_compact(F.array(*rows))
+    hits = F.array_compact(F.array(F.array_min(hits))) if best else hits
+    hits = d.select("symbol", "ts", hits.alias("hits"), _facts().alias("facts"))
     named = F.transform("hits", lambda h: F.struct(*[
         F.element_at("facts", h["fact"] + 1)[k].alias(k) for k in ("name", "direction", "explanation", "strength")],
         day(F.timestamp_seconds(h["at"])).alias("date"), F.element_at("facts", h["fact"] + 1)["rank"].alias("rank")))
@@ -304,10 +322,3 @@ def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1) -> DataFrame
 
 def pattern_rows(found: DataFrame) -> DataFrame:
     return found.select("symbol", F.explode("patterns").alias("p")).select("symbol", "p.*")
-
-
-def best_pattern(found: DataFrame) -> DataFrame:
-    """The single strongest pattern; the earlier detector wins a tie."""
-    top = F.reduce("patterns", F.element_at("patterns", 1),
-                   lambda a, x: F.when(x["strength"] > a["strength"], x).otherwise(a))
-    return found.where(F.size("patterns") > 0).withColumn("patterns", F.array(top))

@@ -45,7 +45,7 @@ VETO_BELOW, UPGRADE_FROM, SOCIAL_BOOST = -0.40, 0.35, 0.15
 KERNELS = ["macd_hist", "atr14", "adx", "plus_di", "minus_di", "supertrend"]
 
 
-EXTRA = {"sma50": lambda x: x.sma(50), "sma200": lambda x: x.sma(200), "prev_close": lambda x: x.lag("close")}
+EXTRA = {"sma50": lambda x: x.sma(50), "sma200": lambda x: x.sma(200), "prev_close": None}
 TAILS = {"support": lambda x: x.tail(F.min, c("low"), 50), "resistance": lambda x: x.tail(F.max, c("high"), 50)}
 
 
@@ -54,12 +54,9 @@ def component_panel(bars: DataFrame, seeded_supertrend: bool = False, keep=()) -
     """The four score components of every bar (C01–C04): one exchange, one Python pass."""
     ind = I.Ind()
     bb = ind.bollinger()
-    base = I.indexed(I.clustered(bars)).withColumns({
-        "bb_upper": bb["bb_upper"], "bb_lower": bb["bb_lower"],
-        **{k: v(ind) for k, v in EXTRA.items() if k in keep}})
-    tails = {k: v(ind) for k, v in TAILS.items() if k in keep}
-    if tails:
-        base = base.withColumns(tails)
+    cols = {k: bb[k] for k in ("bb_upper", "bb_lower")}
+    cols.update({k: v(ind) for k, v in {**EXTRA, **TAILS}.items() if k in keep and v})
+    base = ind.apply(I.prepared(bars, total=True), cols)
     kept = ["i", "n", "bb_upper", "bb_lower", *keep]
     trend = "supertrend_seeded" if seeded_supertrend else "supertrend"
     d = I.kernels(base, [k for k in KERNELS if k != "supertrend"] + [trend], keep=kept)
@@ -134,7 +131,7 @@ def simple_signals(bars: DataFrame, seeded_supertrend: bool = False) -> DataFram
 
 # ── regime engine ───────────────────────────────────────────────────────────────────
 _NEEDS = {   # windows, then windows over those, then kernel outputs, per factor
-    "meanrev": (["bb_mid", "bb_upper", "bb_lower", "sma20", "sma50", "sma200", "std5", "prev_close", "tp_mean"],
+    "meanrev": (["bb_mid", "bb_upper", "bb_lower", "sma20", "sma50", "sma200", "std5", "tp_mean"],
                 ["prev_upper", "prev_lower", "tp_dev"], ["stoch_rsi"]),
     "trend": ([], [], ["macd_hist", "plus_di", "minus_di", "adx", "atr10", "slope20", "slope50", "slope200"]),
     "momentum": (["roc", "mom", "willr", "obv", "cmf"], ["obv4"], []),
@@ -145,19 +142,21 @@ _NEEDS = {   # windows, then windows over those, then kernel outputs, per factor
 def factor_panel(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
     """Windowed and recursive inputs of the asked factor scores on the last `lookback` bars."""
     ind = I.Ind()
-    base = I.with_tp_flow(I.indexed(I.last_n(I.clustered(bars), lookback)), ind)
+    base = I.last_n(I.clustered(bars), lookback)
+    base = I.with_tp_flow(I.prepared(base, total=True), ind)
     first = {
-        **ind.bollinger(), "sma20": ind.sma(20), "sma50": ind.sma(50), "sma200": ind.sma(200),
-        "tp_mean": ind.tail(F.avg, c("tp"), 20), "std5": ind.std(5), "prev_close": ind.lag("close"),
-        "roc": ind.roc(), "mom": ind.mom(), "willr": ind.willr(), "obv": ind.obv(),
-        "ad": ind.ad_line(), "cmf": ind.cmf(), "vwap": ind.vwap(), "mfi": I.mfi(ind)}
+        **{k: (lambda k=k: ind.bollinger()[k]) for k in ("bb_mid", "bb_upper", "bb_lower")},
+        "sma20": lambda: ind.sma(20), "sma50": lambda: ind.sma(50), "sma200": lambda: ind.sma(200),
+        "tp_mean": lambda: ind.tail(F.avg, c("tp"), 20), "std5": lambda: ind.std(5),
+        "roc": ind.roc, "mom": ind.mom, "willr": ind.willr, "obv": ind.obv,
+        "ad": ind.ad_line, "cmf": ind.cmf, "vwap": ind.vwap, "mfi": lambda: I.mfi(ind)}
     second = {
-        "prev_upper": ind.lag("bb_upper"), "prev_lower": ind.lag("bb_lower"),
-        "tp_dev": ind.tail(F.avg, F.abs(c("tp") - c("tp_mean")), 20),
-        "obv1": ind.lag("obv"), "obv4": ind.lag("obv", 4), "ad1": ind.lag("ad")}
+        "prev_upper": lambda: ind.lag("bb_upper"), "prev_lower": lambda: ind.lag("bb_lower"),
+        "tp_dev": lambda: ind.tail(F.avg, F.abs(c("tp") - c("tp_mean")), 20),
+        "obv1": lambda: ind.lag("obv"), "obv4": lambda: ind.lag("obv", 4), "ad1": lambda: ind.lag("ad")}
     want = [dict.fromkeys(x for p in parts for x in _NEEDS[p][k]) for k in range(3)]
-    base = base.withColumns({"prev_close": first["prev_close"], **{k: first[k] for k in want[0]}})
-    base = base.withColumns({k: second[k] for k in want[1]}) if want[1] else base
+    base = ind.apply(base, {k: first[k]() for k in want[0]})
+    base = ind.apply(base, {k: second[k]() for k in want[1]})
     kept = list(dict.fromkeys(["i", "n", "tp", "prev_close", *want[0], *want[1]]))
     if not want[2]:
         return base.select("symbol", "ts", *I.OHLCV, *kept)
@@ -247,7 +246,8 @@ def regimes(sliced: DataFrame, keys: list[str], history: str = "slice28") -> Dat
     averages never exist inside a slice, so UP, DOWN and BREAKOUT cannot occur; 'full' expects
     columns sma50, sma200, top60 and bottom60 computed on the whole history."""
     ind = I.Ind(keys)
-    d = sliced.withColumn("j", ind.i).withColumn("chg", F.abs(c("close") / ind.lag("close") - 1))
+    w = ind.w
+    d = sliced.withColumns({"j": F.row_number().over(w) - 1, "chg": F.abs(c("close") / F.lag("close").over(w) - 1)})
     full = ["sma50", "sma200", "top60", "bottom60"] if history == "full" else []
     k = I.kernels(d, ["atr14", "adx"], keys=keys, keep=["j", "chg", *full])
     end = c("j") == 27
@@ -280,12 +280,12 @@ def regimes(sliced: DataFrame, keys: list[str], history: str = "slice28") -> Dat
 def latest_regime(bars: DataFrame, as_of=None, history: str = "slice28") -> DataFrame:
     """Regime of the last 28 bars per symbol, optionally as of a date."""
     src = bars if as_of is None else bars.where(c("ts") <= F.lit(as_of).cast("timestamp"))
-    d = I.clustered(src)
+    d = I.prepared(src, total=True)
     if history == "full":
         ind = I.Ind()
-        d = d.withColumns({"sma50": ind.sma(50), "sma200": ind.sma(200),
-                           "top60": ind.over(F.max("close"), 60), "bottom60": ind.over(F.min("close"), 60)})
-    d = I.indexed(d).where(c("i") >= c("n") - 28)
+        d = ind.apply(d, {"sma50": ind.sma(50), "sma200": ind.sma(200),
+                          "top60": ind.over(F.max("close"), 60), "bottom60": ind.over(F.min("close"), 60)})
+    d = d.where(c("i") >= c("n") - 28)
     return regimes(d, ["symbol"], history)
 
 

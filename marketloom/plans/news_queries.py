@@ -121,7 +121,7 @@ def news_to_graph(m):
 # ── radar ───────────────────────────────────────────────────────────────────────────
 def base_signals(m):
     """Simple-engine signals with the single best pattern of every symbol."""
-    found = P.best_pattern(P.latest_patterns(m.bars)).select(c("symbol").alias("ticker"), "patterns")
+    found = P.latest_patterns(m.bars, best=True).select(c("symbol").alias("ticker"), "patterns")
     none = F.array().cast("array<struct<name:string,direction:string,explanation:string,strength:double,date:string,rank:int>>")
     return S.simple_signals(m.bars).join(found, "ticker", "left").withColumn("patterns", F.coalesce("patterns", none))
 

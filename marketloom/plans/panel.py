@@ -20,11 +20,11 @@ SKEY = "symbol, strftime(ts,'%Y-%m-%d') AS ts"
 def _window(m, build, extra=None):
     """select key + windowed columns from the clustered panel"""
     ind = I.Ind()
-    bars = I.clustered(m.bars)
+    bars = I.prepared(m.bars)
     if extra:
         bars = extra(bars, ind)
     cols = build(ind)
-    return bars.withColumns(cols).select(*KEY(), *cols)
+    return ind.apply(bars, cols).select(*KEY(), *cols)
 
 
 def _win_query(name, build, sql, extra=None):
@@ -74,7 +74,7 @@ _win_query("ind_vol_ratio", lambda x: {"vol_ratio": rnd(x.vol_ratio(), 5)},
            f"SELECT {SKEY}, R5(volume/v) AS vol_ratio FROM (SELECT *, {_gate('avg(volume)', 20)} AS v FROM pb)")
 _win_query("ind_abs_ret", lambda x: {"abs_ret5": rnd(x.over(F.avg("chg"), 5, first=5), 6)},
            """SELECT symbol, strftime(ts,'%Y-%m-%d') AS ts, R6(CASE WHEN i>=5 THEN avg(abs(close/pc-1)) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END) AS abs_ret5 FROM pb""",
-           extra=lambda b, x: b.withColumn("chg", F.abs(c("close") / x.lag("close") - 1)))
+           extra=lambda b, x: b.withColumn("chg", F.abs(c("close") / c("prev_close") - 1)))
 _win_query("ind_std5", lambda x: {"std5": rnd(x.std(5), 4)},
            f"SELECT {SKEY}, R4({_gate('stddev_pop(close)', 5)}) AS std5 FROM pb")
 
@@ -110,7 +110,7 @@ _kernel_query("ind_stochrsi", ["stoch_rsi"], ["stoch_rsi"], digits=3)
  FROM ind d JOIN pb p USING (symbol, i) JOIN ind_x x USING (symbol, i)""")
 def ind_atr(m):
     """True range by window, Wilder averages by kernel on the same layout"""
-    base = I.clustered(m.bars).withColumn("tr", I.Ind().true_range())
+    base = I.prepared(m.bars).withColumn("tr", I.Ind().true_range())
     d = I.kernels(base, ["atr14", "atr10"], keep=["tr"])
     return d.select(*KEY(), *[rnd(c(x), 4).alias(x) for x in ("tr", "atr14", "atr10")])
 
@@ -140,7 +140,8 @@ def ind_band_break(m):
  FROM (SELECT *, stddev_samp(roc) OVER (PARTITION BY symbol) AS s FROM (SELECT symbol, ts, i, 100*(close/lag(close,10) OVER (PARTITION BY symbol ORDER BY i) - 1) AS roc FROM pb)) p""")
 def series_scale(m):
     """Rate of change divided by its own full-history deviation"""
-    d = I.clustered(m.bars).withColumn("roc", I.Ind().roc())
+    ind = I.Ind()
+    d = ind.apply(I.prepared(m.bars), {"roc": ind.roc()})
     return d.select(*KEY(), rnd(I.scaled("roc"), 4).alias("scaled"))
 
 
@@ -151,8 +152,8 @@ def series_scale(m):
 def pct_rank_avg(m):
     """Percentile rank of the newest Bollinger width in its history"""
     ind = I.Ind()
-    d = I.indexed(I.clustered(m.bars)).withColumn("bw", 4 * ind.over(F.stddev_pop("close"), 20) / ind.sma(20))
-    return (d.withColumn("bw_pct", I.pct_rank_avg(d, "bw")).where(c("i") == c("n") - 1)
+    d = ind.apply(I.prepared(m.bars, total=True), {"bw": 4 * ind.over(F.stddev_pop("close"), 20) / ind.sma(20)})
+    return (I.newest_pct_rank(d, "bw").where(c("i") == c("n") - 1)
             .select(*KEY(), rnd(c("bw_pct"), 6).alias("bw_pct")))
 
 

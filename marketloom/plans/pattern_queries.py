@@ -96,4 +96,4 @@ _reg("pat_all", P.POINTWISE, "p_point")
 @query("pat_best", "SELECT symbol, name, direction, strength, date FROM p_best")
 def pat_best(m):
     """Strongest pattern per symbol"""
-    return P.pattern_rows(P.best_pattern(P.latest_patterns(m.bars))).select(*COLS)
+    return P.pattern_rows(P.latest_patterns(m.bars, best=True)).select(*COLS)

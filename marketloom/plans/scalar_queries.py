@@ -41,7 +41,7 @@ def pct_change(m):
     from ..operators import indicators as I
     from ..operators.signals import pct_change as change
 
-    d = I.clustered(m.bars).withColumn("p", change(c("close"), I.Ind().lag("close")))
+    d = I.prepared(m.bars).withColumn("p", change(c("close"), c("prev_close")))
     return d.select("symbol", day(c("ts")).alias("ts"), c("p").alias("pct_change"))
 
 
