@@ -310,16 +310,16 @@ def linear_confidence(score: Column, threshold: Column, action: Column) -> Colum
             .otherwise(regime_confidence(score, threshold, action)))
 
 
-def regime_scores(bars: DataFrame) -> DataFrame:
+def regime_scores(bars: DataFrame, history: str = "slice28") -> DataFrame:
     """Factor scores weighted by the symbol's regime (C14)."""
-    f = factor_scores(bars).join(latest_regime(bars), "symbol")
+    f = factor_scores(bars).join(latest_regime(bars, history=history), "symbol")
     w = [lookup(c("regime"), {k: v[j] for k, v in REGIME_WEIGHT.items()}, 1.0) for j in range(4)]
     return f.withColumn("score", c("meanrev") * w[0] + c("trend") * w[1] + c("momentum") * w[2] + c("whales") * w[3])
 
 
-def regime_signals(bars: DataFrame, confidence=regime_confidence) -> DataFrame:
+def regime_signals(bars: DataFrame, confidence=regime_confidence, history: str = "slice28") -> DataFrame:
     """Signal record of the regime engine (C15); needs 200 bars."""
-    d = regime_scores(bars).where(c("n") >= 200)
+    d = regime_scores(bars, history).where(c("n") >= 200)
     d = d.withColumn("threshold", lookup(c("regime"), REGIME_THRESHOLD, 3.0))
     d = d.withColumn("suggested_action", F.when(c("score") >= c("threshold"), "BUY")
                      .when(c("score") <= 0, "SELL").otherwise("HOLD"))

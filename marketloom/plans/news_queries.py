@@ -127,7 +127,8 @@ def base_signals(m):
 
 
 def regime_records(m):
-    return S.regime_signals(m.bars)
+    """Regime-engine signals whose regimes see the whole history, so that breakouts can occur."""
+    return S.regime_signals(m.bars, history="full")
 
 
 fragment("sigj", """SELECT s.symbol AS ticker, s.score, s.trend_state AS regime, s.act, R4(s.conf) AS conf, s.close, s.pct, s.n, coalesce(e.score,0) AS news, coalesce(e.summary,'') AS summary, e.heads, e.n AS found
@@ -171,7 +172,7 @@ FROM (SELECT *, {_KIND} AS kind, o_orderkey%4 IN (0,2) AS buy, R2(o_totalprice/1
 fragment("al_evt", """SELECT ticker, 'CORPORATE_EVENT' AS alert_type, ticker || ': ' || title AS title, title AS body, magnitude*0.8 AS strength,
  CASE WHEN event_type IN ('earnings_beat','partnership') THEN 'bullish' WHEN event_type='regulatory' THEN 'bearish' ELSE 'neutral' END AS direction, 'WATCH' AS suggested_action FROM evts WHERE magnitude>=0.6""")
 fragment("al_reg", """SELECT symbol AS ticker, 'REGIME_ALERT' AS alert_type, symbol || ': ' || regime || ' Regime Detected' AS title, regime AS body, CASE WHEN regime='WHALE' THEN 0.7 ELSE 0.65 END::DOUBLE AS strength,
- CASE WHEN score>0 THEN 'bullish' ELSE 'bearish' END AS direction, 'WATCH' AS suggested_action FROM regsig WHERE n>=200 AND regime IN ('WHALE','BREAKOUT')""")
+ CASE WHEN score>0 THEN 'bullish' ELSE 'bearish' END AS direction, 'WATCH' AS suggested_action FROM regsig_full WHERE n>=200 AND regime IN ('WHALE','BREAKOUT')""")
 _ALL = " UNION ALL ".join(f"SELECT ticker, alert_type, title, body, CAST(strength AS DOUBLE) AS strength, direction, suggested_action FROM {x}" for x in ("al_conf", "al_pat", "al_news", "al_ins", "al_evt"))
 fragment("al_all", _ALL)
 fragment("radar", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, title ORDER BY strength DESC, alert_type, body) AS r FROM al_all) WHERE r=1")

@@ -127,20 +127,27 @@ for _src, _out in (("slc", "kslc"), ("slast", "kslast"), ("sasof", "kasof")):
     recursions(_src, _out)
 
 
-def _regime_sql(src, out):
+def _regime_sql(src, out, full=False):
+    extra = """WHEN atr/matr>1.5 AND (cl>=top60 OR cl<=bot60) THEN 'BREAKOUT' WHEN sma50>sma200 AND ret>5 AND adx>25 THEN 'UP'
+  WHEN sma50<sma200 AND ret<-5 AND adx>25 THEN 'DOWN'""" if full else ""
     return f"""
-SELECT symbol, CASE WHEN cnt<28 THEN 'RANGE' WHEN v/mv>3 AND span>2*atr THEN 'WHALE'
+SELECT q.symbol, CASE WHEN cnt<28 THEN 'RANGE' WHEN v/mv>3 AND span>2*atr THEN 'WHALE' {extra}
   WHEN abs(ret)<3 AND adx<20 THEN CASE WHEN atr<p10 THEN 'SLEEPY' ELSE 'RANGE' END
   WHEN adx<15 AND chop>0.02 THEN 'CHOPPY' ELSE 'RANGE' END AS regime
 FROM (SELECT s.symbol, count(*) AS cnt, max(CASE WHEN s.i=27 THEN s.volume END) AS v, avg(s.volume) AS mv, max(CASE WHEN s.i=27 THEN s.high-s.low END) AS span,
-  max(CASE WHEN s.i=27 THEN k.atr14 END) AS atr, quantile_cont(k.atr14, 0.1) AS p10, max(CASE WHEN s.i=27 THEN k.adx END) AS adx,
+  max(CASE WHEN s.i=27 THEN k.atr14 END) AS atr, quantile_cont(k.atr14, 0.1) AS p10, max(CASE WHEN s.i=27 THEN k.adx END) AS adx, avg(k.atr14) AS matr, max(CASE WHEN s.i=27 THEN s.close END) AS cl,
   (max(CASE WHEN s.i=27 THEN s.close END)-max(CASE WHEN s.i=0 THEN s.close END))/max(CASE WHEN s.i=0 THEN s.close END)*100 AS ret,
   avg(CASE WHEN s.i>=23 THEN abs(s.close/s.pc-1) END) AS chop
- FROM {src} s JOIN {out} k USING (symbol, i) GROUP BY s.symbol)"""
+ FROM {src} s JOIN {out} k USING (symbol, i) GROUP BY s.symbol) q {"JOIN wlast z ON z.symbol=q.symbol" if full else ""}"""
+
+
+fragment("wlast", """SELECT symbol, sma50, sma200, top60, bot60 FROM (SELECT *, CASE WHEN i>=59 THEN max(close) OVER w60 END AS top60, CASE WHEN i>=59 THEN min(close) OVER w60 END AS bot60
+ FROM wnd WINDOW w60 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE i=n-1""")
 
 
 fragment("reg_slc", _regime_sql("slc", "kslc"))
 fragment("reg_last", _regime_sql("slast", "kslast"))
+fragment("reg_full", _regime_sql("slast", "kslast", full=True))
 fragment("reg_asof", _regime_sql("sasof", "kasof"))
 
 
@@ -170,11 +177,12 @@ def _case(j):
     return "CASE regime " + " ".join(f"WHEN '{k}' THEN {v[j]}" for k, v in S.REGIME_WEIGHT.items()) + " ELSE 1 END"
 
 
-fragment("regsig", f"""
+for _name, _reg in (("regsig", "reg_last"), ("regsig_full", "reg_full")):
+    fragment(_name, f"""
 SELECT *, CASE WHEN score>=thr THEN 'BUY' WHEN score<=0 THEN 'SELL' ELSE 'HOLD' END AS act FROM (
  SELECT *, meanrev*{_case(0)} + trend*{_case(1)} + momentum*{_case(2)} + whales*{_case(3)} AS score,
   CAST(CASE regime {' '.join(f"WHEN '{k}' THEN {v!r}" for k, v in S.REGIME_THRESHOLD.items())} ELSE 3 END AS DOUBLE) AS thr
- FROM factors JOIN reg_last USING (symbol))""")
+ FROM factors JOIN {_reg} USING (symbol))""")
 _CONF = "CASE WHEN act='BUY' THEN (65+35*(1-exp(-0.7*greatest(score-thr,0))))/100 WHEN act='SELL' THEN (65+35*(1-exp(-0.7*greatest(-score,0))))/100"
 
 
