@@ -54,9 +54,12 @@ def equity(pos: DataFrame) -> DataFrame:
               .when(c("exit"), c("open") / prev * keep).otherwise(1.0))
     closing = F.when((c("i") == c("n") - 1) & c("held"), keep).otherwise(1.0)
     d = pos.withColumn("factor", factor * closing)
+    bought = F.last(F.when(c("entry"), c("open")), True).over(upto)
+    sold = F.when(c("exit"), c("open")).when((c("i") == c("n") - 1) & c("held"), c("close"))
     return d.withColumns({
         "value": F.product("factor").over(upto) * 100.0,
-        "benchmark": c("close") / F.first("close").over(upto) * 100.0})
+        "benchmark": c("close") / F.first("close").over(upto) * 100.0,
+        "trade_pct": F.when(sold.isNotNull(), rnd((sold - bought) / bought * 100, 2))})
 
 
 def sampled(panel: DataFrame, points: int = 200) -> DataFrame:
@@ -67,27 +70,25 @@ def sampled(panel: DataFrame, points: int = 200) -> DataFrame:
     return panel.where((c("n") <= points) | hit | (c("i") == c("n") - 1))
 
 
-def metrics(pos: DataFrame, curve: DataFrame, trade_rows: DataFrame) -> DataFrame:
-    """One performance row per symbol."""
+def metrics(curve: DataFrame) -> DataFrame:
+    """One performance row per symbol (B06–B09). Closed trades sit on the bar that ends them, so
+    the curve alone gives every figure in one pass."""
     w = Window.partitionBy("symbol").orderBy("i")
     peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
     d = curve.withColumns({"peak": peak, "ret": c("value") / F.lag("value").over(w) - 1})
     newest = c("i") == c("n") - 1
-    g = d.groupBy("symbol").agg(
+    d = d.groupBy("symbol").agg(
         F.max("n").alias("n"), F.max(F.when(newest, c("value"))).alias("final"),
         F.max(F.when(newest, c("benchmark"))).alias("bench"),
         F.max((c("peak") - c("value")) / c("peak") * 100).alias("dd"),
-        F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"))
-    t = trade_rows.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("num_trades"), F.avg((c("return_pct") > 0).cast("double")).alias("wins"))
-    d = g.join(t, "symbol", "left")
+        F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"),
+        F.count("trade_pct").alias("num_trades"), F.avg((c("trade_pct") > 0).cast("double")).alias("wins"))
     cagr = F.when(c("final") > 0, (F.pow(c("final") / 100.0, F.lit(252.0) / c("n")) - 1) * 100).otherwise(0.0)
     return d.select(
         "symbol", rnd(c("final") - 100, 2).alias("total_return_pct"), rnd(cagr, 2).alias("cagr_pct"),
         rnd(nz(c("wins")) * 100, 1).alias("win_rate"), rnd(c("dd"), 2).alias("max_drawdown_pct"),
         rnd(F.when(c("sd") > 0, c("mu") / c("sd") * F.sqrt(F.lit(252.0))).otherwise(0.0), 2).alias("sharpe"),
-        nz(c("num_trades"), 0).cast("bigint").alias("num_trades"),
-        rnd(c("bench") - 100, 2).alias("benchmark_return_pct"))
+        "num_trades", rnd(c("bench") - 100, 2).alias("benchmark_return_pct"))
 
 
 def last_trades(trade_rows: DataFrame, k: int = 20) -> DataFrame:

@@ -47,12 +47,21 @@ def last_n(bars: DataFrame, n: int, keys=("symbol",)) -> DataFrame:
     return bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def prepared(bars: DataFrame, keys=("symbol",), total: bool = False) -> DataFrame:
-    """Clustered panel with bar number `i`, previous close and, if asked, bars per key `n`."""
+def prepared(bars: DataFrame, keys=("symbol",), total: bool = False, last: int | None = None) -> DataFrame:
+    """Clustered panel with bar number `i`, previous close and, if asked, bars per key `n`.
+
+    `last` keeps the newest bars of every key and renumbers them, without another sort."""
     d = clustered(bars, keys)
     w = by_time(keys)
     d = d.withColumns({"i": F.row_number().over(w) - 1, "prev_close": F.lag("close").over(w)})
-    return d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))) if total else d
+    if not (total or last):
+        return d
+    d = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    if last:
+        d = d.where(F.col("i") >= F.col("n") - last).withColumns({
+            "i": F.col("i") - F.greatest(F.col("n") - last, F.lit(0)), "n": F.least(F.col("n"), F.lit(last)),
+            "prev_close": F.when(F.col("i") > F.greatest(F.col("n") - last, F.lit(0)), F.col("prev_close"))})
+    return d
 
 
 class Ind:

@@ -142,8 +142,7 @@ _NEEDS = {   # windows, then windows over those, then kernel outputs, per factor
 def factor_panel(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
     """Windowed and recursive inputs of the asked factor scores on the last `lookback` bars."""
     ind = I.Ind()
-    base = I.last_n(I.clustered(bars), lookback)
-    base = I.with_tp_flow(I.prepared(base, total=True), ind)
+    base = I.with_tp_flow(I.prepared(bars, last=lookback), ind)
     first = {
         **{k: (lambda k=k: ind.bollinger()[k]) for k in ("bb_mid", "bb_upper", "bb_lower")},
         "sma20": lambda: ind.sma(20), "sma50": lambda: ind.sma(50), "sma200": lambda: ind.sma(200),

@@ -325,8 +325,7 @@ def bt_drawdown(m):
 
 
 def _metrics(m):
-    pos = E.positions(m.bars)
-    return E.metrics(pos, E.equity(pos), E.trades(pos))
+    return E.metrics(E.equity(E.positions(m.bars)))
 
 
 @query("bt_metrics", """SELECT g.symbol, R2(final-100) AS total_return_pct, R2((pow(final/100, 252.0/n)-1)*100) AS cagr_pct, R1(coalesce(wins,0)*100) AS win_rate,

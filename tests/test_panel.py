@@ -72,7 +72,7 @@ def test_evaluation_equals_bar_loop(walk):
     pos = E.positions(bars, seeded_supertrend=True)
     curve = frame(E.equity(pos).select("symbol", "i", "value"), ["symbol", "i"])
     trades = frame(E.trades(pos), ["symbol", "entry_bar"])
-    m = frame(E.metrics(pos, E.equity(pos), E.trades(pos)), ["symbol"]).set_index("symbol")
+    m = frame(E.metrics(E.equity(pos)), ["symbol"]).set_index("symbol")
     closed = 0
     for name in ("A", "B", "D"):
         g = panel[panel["symbol"] == name]
