@@ -359,9 +359,11 @@ def label_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def build(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, types: DataFrame, relations: DataFrame,
-          allowed: DataFrame, scorer) -> tuple[DataFrame, DataFrame]:
-    """Full build (E16): admit → resolve → merge → dedup → affinity pairs → score → admit.
-    `scorer` maps pairs (a, b) to (a, b, weight)."""
+          allowed: DataFrame, scorer, schemas: DataFrame, typed_scorer, vocabulary: DataFrame, labeler) -> tuple[DataFrame, DataFrame]:
+    """Full build (E16): admit → resolve → merge → dedup → typed pairs → affinity pairs → label.
+
+    Injected steps: `scorer` maps pairs (a, b) to (a, b, weight), `typed_scorer` maps
+    (schema, a, b) to (schema, a, b, relation, confidence) and `labeler` maps edges to (id, label)."""
     ent = admit_entities(extractions, types, allowed)
     hits = resolve(ent.select(c("canonical_name").alias("name"), "entity_type"), nodes)
     ent = ent.join(hits.select(c("name").alias("canonical_name"), "entity_type", c("id").alias("known")), ["canonical_name", "entity_type"], "left")
@@ -383,8 +385,17 @@ def build(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, types: Dat
     all_nodes = cut_lineage(all_nodes)
     final_nodes, final_edges = rewrite(all_nodes, all_edges, duplicate_map(all_nodes, all_edges))
     final_nodes = cut_lineage(final_nodes)
-    scored = scorer(affinity_pairs(final_nodes, final_edges)).where(c("weight") >= AFFINITY_FLOOR)
-    extra = scored.select(F.sha2(F.concat_ws("|", F.lit("LLM_AFFINITY"), "a", "b"), 256).alias("id"), F.lit("LLM_AFFINITY").alias("relation_type"),
-                          c("a").alias("from_id"), c("b").alias("to_id"), "weight", F.lit(AFFINITY_CONFIDENCE).alias("confidence"),
-                          F.array().cast("array<string>").alias("sources"))
-    return final_nodes, best_edges(final_edges.select(*cols).union(extra.select(*cols)), final_nodes)
+    none = F.array().cast("array<string>")
+
+    def edge(df, kind, weight, conf):
+        return df.select(F.sha2(F.concat_ws("|", kind, "a", "b"), 256).alias("id"), kind.alias("relation_type"), c("a").alias("from_id"),
+                         c("b").alias("to_id"), weight.alias("weight"), conf.alias("confidence"), none.alias("sources"))
+
+    typed = typed_scorer(schema_pairs(final_nodes, final_edges, schemas)).where(c("confidence") >= TYPED_FLOOR)
+    typed = edge(typed.join(vocabulary, ["schema", "relation"], "left_semi"), c("relation"), c("confidence"), c("confidence"))
+    linked = cut_lineage(best_edges(final_edges.select(*cols).union(typed.select(*cols)), final_nodes))
+    scored = scorer(affinity_pairs(final_nodes, linked)).where(c("weight") >= AFFINITY_FLOOR)
+    extra = edge(scored, F.lit("LLM_AFFINITY"), c("weight"), F.lit(AFFINITY_CONFIDENCE))
+    links = best_edges(linked.union(extra.select(*linked.columns)), final_nodes)
+    links = cut_lineage(links.withColumn("attributes", F.create_map().cast("map<string,string>")))
+    return final_nodes, label_edges(links, labeler(links.where(c("relation_type") == "LLM_AFFINITY")))

@@ -502,14 +502,27 @@ def edge_labels(m):
 
 def hash_scorer(pairs):
     """Deterministic stand-in for a model: weight from the pair's hash."""
-    h = F.conv(F.substring(F.md5(F.concat("a", F.lit("|"), "b")), 1, 4), 16, 10).cast("double")
+    h = F.conv(F.substring(F.md5(F.concat("b", F.lit("~"), "a")), 9, 4), 16, 10).cast("double")
     return pairs.withColumn("weight", h / 65535.0)
 
 
+def typed_hash_scorer(pairs):
+    """Deterministic stand-in for a typed model answer."""
+    return hash_scorer(pairs).select("schema", "a", "b", F.lit("EXPOSED_TO").alias("relation"), c("weight").alias("confidence"))
+
+
+def build_schemas(m):
+    return m.spark.createDataFrame([("corporate-geo", "corporate", "geopolitics", ["Organization"], ["Country"])],
+                                   "schema string, from_domain string, to_domain string, from_types array<string>, to_types array<string>")
+
+
 @query("kg_build")
 def kg_build(m):
     """Full build from extractions: admit, resolve, merge, dedup, pair, score, admit"""
     empty = m.nodes.select("id", "entity_type", "domain", "canonical_name", "aliases", "attributes", "sources", "confidence").where(c("entity_type").isin("Region", "Nation"))
+    vocab = m.spark.createDataFrame([("corporate-geo", "EXPOSED_TO")], "schema string, relation string")
     edges = m.edges.where(c("relation_type") == "IN_REGION").withColumn("sources", F.array(F.lit("nation")))
-    nodes, links = K.build(extractions(m), empty, edges, K.ontology_types(m.spark), K.ontology_relations(m.spark), K.allowed_attributes(m.spark, ALLOWED), hash_scorer)
-    return G.stats(nodes, links)
+    nodes, links = K.build(extractions(m), empty, edges, K.ontology_types(m.spark), K.ontology_relations(m.spark), K.allowed_attributes(m.spark, ALLOWED), hash_scorer,
+                           build_schemas(m), typed_hash_scorer, vocab, lambda d: d.select("id", F.lit("moves with").alias("label")))
+    labelled = links.where(F.element_at("attributes", "inferred_relation").isNotNull()).groupBy("relation_type").agg(F.count(F.lit(1)).alias("total"))
+    return G.stats(nodes, links).union(labelled.select(F.lit("labelled"), "relation_type", "total"))
