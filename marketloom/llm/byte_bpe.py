@@ -15,6 +15,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -113,7 +114,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", r
         enc = encoding(rank_file, pattern)
         table = [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
         for batch in batches:
-            sizes = np.array(pa.compute.list_value_length(batch.column(at)).fill_null(0), dtype=np.int64)
+            sizes = np.array(pc.list_value_length(batch.column(at)).fill_null(0), dtype=np.int64)
             for part in _by_size(batch, sizes, BATCH):
                 found = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, raw])

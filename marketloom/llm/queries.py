@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, token_counts
+from . import byte_bpe, exact_dedup, mixing, quality_model, quality_rules, token_counts
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -86,3 +86,53 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the equal one that stays."""
     found = exact_dedup.find_copies(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt without the held-out third."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = quality_model.score_all(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality", held_out)
+    return judged(scored, held_out)
+
+
+def judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+windows AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+found AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM found WHERE c > 1) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+counts AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN repeated ON w.rid = repeated.rid LEFT JOIN lines ON w.rid = lines.rid),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+measures AS (SELECT rid, lang, source, base_failed, unnest(['mean_word', 'symbols', 'dup_lines', 'repeats']) AS name,
+  unnest([1000 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_dup_lines // n_words, 1000 * n_repeat_words // n_words]) AS m FROM base WHERE n_words > 0),
+cells AS (SELECT lang, source, name, (m >> greatest(length(bin(m)) - 7, 0)) << greatest(length(bin(m)) - 7, 0) AS cell FROM measures WHERE NOT base_failed),
+levels AS (SELECT 1 AS level, lang, source, name, cell FROM cells UNION ALL SELECT 2, lang, NULL, name, cell FROM cells UNION ALL SELECT 3, NULL, NULL, name, cell FROM cells),
+merged AS (SELECT level, lang, source, name, cell, count(*) AS n FROM levels GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, name ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, source, name) AS total FROM merged),
+quantiles AS (SELECT level, lang, source, name, max(total) AS total, min(cell) FILTER (upto * 100 >= total * 5) AS low,
+  min(cell) FILTER (upto * 100 >= total * 50) AS mid, min(cell) FILTER (upto * 100 >= total * 95) AS high FROM ranked GROUP BY ALL),
+fences AS (SELECT *, CASE WHEN name = 'mean_word' THEN low - 4 * (mid - low) ELSE 0 END AS at_least, high + 4 * (high - mid) AS at_most FROM quantiles),
+judged AS (SELECT m.rid, bool_and(m.m >= coalesce(o.at_least, l.at_least, e.at_least) AND m.m <= coalesce(o.at_most, l.at_most, e.at_most)) AS inside
+  FROM measures m
+  LEFT JOIN fences o ON o.level = 1 AND o.total >= 200 AND m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source AND m.name = o.name
+  LEFT JOIN fences l ON l.level = 2 AND l.total >= 200 AND m.lang IS NOT DISTINCT FROM l.lang AND m.name = l.name
+  LEFT JOIN fences e ON e.level = 3 AND m.name = e.name
+  GROUP BY m.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
+FROM base LEFT JOIN judged ON base.rid = judged.rid"""
+
+
+@query(RULES_SQL)
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict of the adaptive fences."""
+    found = quality_rules.verdicts(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
