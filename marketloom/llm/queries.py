@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality_model, quality_rules, token_counts
+from . import byte_bpe, exact_dedup, mixing, quality_model, quality_rules, token_counts, toxicity
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -136,3 +136,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document and the verdict of the adaptive fences."""
     found = quality_rules.verdicts(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, learnt without the held-out fifth."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score_all(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", held_out)
+    return judged(scored, held_out)
