@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality_model, quality_rules, token_counts, toxicity
+from . import byte_bpe, exact_dedup, mixing, near_dedup, quality_model, quality_rules, token_counts, toxicity, url_filter
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -144,3 +144,41 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     scored = toxicity.score_all(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", held_out)
     return judged(scored, held_out)
+
+
+URL_SQL = r"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, p, v)),
+rest AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parsed AS (SELECT *, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+found AS (SELECT page_id, url, host, unnest([
+    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM parsed),
+targets AS (SELECT url AS x, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '//%' THEN split_part(url, '://', 1) || ':' || t
+  WHEN t LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || t ELSE regexp_extract(url, '^([^?#]*/)?') || t END AS y FROM found WHERE t <> ''),
+addresses AS (SELECT DISTINCT u, substr(u, strpos(u, '://') + 3) AS r FROM (SELECT url AS u FROM parsed UNION ALL SELECT y FROM targets) WHERE contains(u, '://')),
+split AS (SELECT u, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_replace(regexp_replace(regexp_extract(r, '^[^?#]*\?([^#]*)', 1), '(^|&)(utm_[^=&]*|gclid|fbclid|ref)(=[^&]*)?', '', 'g'), '^&', '') AS q FROM addresses),
+nodes AS (SELECT u, host, path, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS node FROM split WHERE host <> ''),
+fits AS (SELECT u, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM nodes JOIN rules
+  ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY u),
+edges AS (SELECT DISTINCT a.node AS x, b.node AS y FROM targets JOIN nodes a ON targets.x = a.u JOIN nodes b ON targets.y = b.u WHERE a.node <> b.node),
+either AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+blocked(node) AS (SELECT node FROM nodes JOIN fits ON nodes.u = fits.u WHERE verdict = 'block' AND node IN (SELECT x FROM either)
+  UNION SELECT y FROM blocked JOIN either ON node = x)
+SELECT page_id, parsed.host, parsed.path, rule,
+  CASE WHEN rule IS NOT NULL THEN verdict WHEN nodes.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM parsed LEFT JOIN fits ON parsed.url = fits.u LEFT JOIN nodes ON parsed.url = nodes.u"""
+
+
+@query(URL_SQL)
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address by rules and by its redirect and canonical aliases."""
+    return url_filter.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the least doc_id of its group of near-duplicates."""
+    found = near_dedup.find_groups(table(spark, folder, "documents"), 3, 85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
