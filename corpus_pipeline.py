@@ -8,15 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import exact_dedup, mixing, queries
+from marketloom.llm import exact_dedup, mixing, near_dedup, quality_model, queries
 from marketloom.llm.common import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from the labelled ones among them, does not reject."""
+    return quality_model.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    return near_dedup.drop_copies(docs, 5, 80)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them; a source's last document is cut after its budget."""
     return mixing.mix(docs)
@@ -28,7 +38,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality),
     ("exact_dedup", exact_copies),
+    ("minhash_near_dedup", near_copies),
     ("mixing", mixture),
     ("byte_bpe", encoding),
 ]

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, near_dedup, quality_model, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, exact_dedup, mixing, near_dedup, passages, quality_model, quality_rules, token_counts, toxicity, url_filter
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -182,3 +182,11 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the least doc_id of its group of near-duplicates."""
     found = near_dedup.find_groups(table(spark, folder, "documents"), 3, 85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query()
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that repeat, exactly or nearly, in another document."""
+    found = passages.repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "source_id",
+                        F.col("source_start").alias("source_start_word"), F.col("source_end").alias("source_end_word"), "similarity")
