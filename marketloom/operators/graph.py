@@ -166,45 +166,49 @@ def keyword_search(nodes: DataFrame, tags: list[str], k: int = 20) -> DataFrame:
     return nodes.withColumn("score", score).where(c("score") > 0).orderBy(c("score").desc(), "id").limit(k)
 
 
-MAX_QUERIES = 1024
+#: Questions and stored vectors that one task compares at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 50_000
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None,
                   eps: float = 0.0, id_col: str = "vec_id") -> DataFrame:
-    """Cosine top-k of every query over all vectors (G20, G21), exact.
-
-    The query side is a request of at most MAX_QUERIES vectors (checked) and travels to the
-    tasks; the stored side streams through block products. Each task keeps k rows per query,
-    so the final ranking sees tasks × k rows per query."""
-    asked = queries.limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; split the request")
-    names = asked["query_id"].tolist()
-    q = np.stack(asked["embedding"].to_numpy()).astype(float) if len(asked) else np.zeros((0, 1))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True) + eps, 1e-300)
-
-    def block(batches):
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            if not len(pdf) or not len(names):
-                continue
-            m = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            norm = np.linalg.norm(m, axis=1)
-            score = (q @ m.T) / np.maximum(norm + eps, 1e-300)[None, :]
-            score[:, norm == 0] = 0.0
-            ids = pdf[id_col].to_numpy()
-            floor = np.full(len(names), -np.inf if threshold is None else threshold)
+    """Cosine top-k of every query over all vectors (G20, G21), exact, for any number of queries.
+
+    Both sides are hashed into blocks of bounded size and every pair of blocks meets in one task,
+    which keeps k rows per query; the final ranking sees blocks × k rows per query. Stored vectors
+    travel once for each block of queries."""
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    asked = queries.select("query_id", c("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"))
+    held = vectors.select(id_col, "embedding", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64(id_col), F.lit(v_blocks)).alias("vb"))
+    asked, held = asked.withColumn("vb", c("vb").cast("bigint")), held.withColumn("qb", c("qb").cast("bigint"))
+
+    def unit(column, e):
+        m = np.stack(column.to_numpy()).astype(float)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.where(norm > 0, m / np.maximum(norm + e, 1e-300), 0.0)
+
+    def block(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        right = right.sort_values(id_col)
+        q, m, ids, names = unit(left["q"], eps), unit(right["embedding"], eps), right[id_col].to_numpy(), left["query_id"].to_numpy()
+        out = []
+        for at in range(0, len(q), 64):
+            score = q[at:at + 64] @ m.T
+            floor = np.full(len(score), -np.inf if threshold is None else threshold)
             if len(ids) > k:
                 floor = np.maximum(floor, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
-            for j in range(len(names)):
-                hit = score[j] >= floor[j]
-                part = pd.DataFrame({"query_id": names[j], id_col: ids[hit], "score": score[j][hit]})
-                both = part if j not in best else pd.concat([best[j], part])
-                best[j] = both.sort_values(["score", id_col], ascending=[False, True]).head(k)
-        yield from best.values()
+            row, col = np.nonzero(score >= floor[:, None])
+            order = np.lexsort((col, -score[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < k
+            out.append(pd.DataFrame({"query_id": names[at + row[keep]], id_col: ids[col[keep]], "score": score[row[keep], col[keep]]}))
+        return pd.concat(out)
 
     kind = dict(vectors.dtypes)[id_col]
-    top = vectors.select(id_col, "embedding").mapInPandas(block, f"query_id {dict(queries.dtypes)['query_id']}, {id_col} {kind}, score double")
+    top = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInPandas(block, f"query_id {dict(queries.dtypes)['query_id']}, {id_col} {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), c(id_col))
     return top.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
@@ -218,19 +222,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def batches(rows: DataFrame, key: str, size: int, buckets: int = 16) -> DataFrame:
+#: Rows that one bucket of work batches holds on average.
+BUCKET_ROWS = 4096
+
+
+def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Work batches of at most `size` rows without a global numbering: rows are hashed into
-    buckets and numbered inside each (G22, E14). Raise `buckets` with the data."""
-    hexed = F.substring(F.md5(c(key)), 1, 4)
-    bucket = F.pmod(F.conv(hexed, 16, 10).cast("bigint"), F.lit(buckets))
+    buckets of about BUCKET_ROWS and numbered inside each (G22, E14), so the number of tasks
+    follows the rows."""
+    buckets = max(16, -(-rows.count() // BUCKET_ROWS))
+    bucket = F.pmod(F.conv(F.substring(F.md5(c(key)), 1, 12), 16, 10).cast("bigint"), F.lit(buckets))
     d = rows.withColumn("bucket", bucket)
     w = Window.partitionBy("bucket").orderBy(key)
     return d.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.lit(float(size))).cast("bigint"))
 
 
-def embed_backlog(nodes: DataFrame, embedded: DataFrame, size: int = 512, buckets: int = 16) -> DataFrame:
+def embed_backlog(nodes: DataFrame, embedded: DataFrame, size: int = 512) -> DataFrame:
     """Nodes without a vector, in batches for the embedding step."""
-    return batches(nodes.join(embedded.select("id"), "id", "left_anti"), "id", size, buckets)
+    return batches(nodes.join(embedded.select("id"), "id", "left_anti"), "id", size)
 
 
 def typed_neighbors(edges: DataFrame, nodes: DataFrame, relation: str, k: int, newest: str = "created_at") -> DataFrame:

@@ -5,44 +5,48 @@ batch is resolved against (existing ∪ batch) at once; results do not depend on
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import nz
 from ..functions.scalars import all_names, canonical_key, normalize_name, recover_array, strip, tokens
 from ..session import cut_lineage
 from ..sources.landing import top_rank
-from .graph import best_edges, batches, live_edges
+from .components import components
+from .graph import best_edges
 
 c = F.col
 
 # Vocabularies per domain. Attribute lists are data: see `allowed_attributes`.
 ENTITY_TYPES = {
-    "corporate": "Organization Person Product Market DealEvent Regulation",
-    "geopolitics": "Country PoliticalLeader Alliance Conflict Treaty SanctionEvent",
-    "climate": "ClimateEvent ClimatePolicy NaturalResource ClimateIndicator ClimateOrganization",
-    "technology": "TechCompany Technology ResearchPaper Patent TechEvent TechRegulation",
-    "india_finance": "IndianCompany Conglomerate Sector StockIndex MutualFund ETF",
-    "india_policy": "GovernmentPolicy RBIDecision SEBIRegulation BudgetEvent GovernmentScheme Regulator",
-    "india_economy": "MacroIndicator EconomicTrend ForeignInvestment TradeData InfrastructureProject",
-    "india_corporate": "Promoter CorporateEvent StartupFunding Analyst BusinessGroup",
+    "corporate": ["Organization", "Person", "Product", "Market", "DealEvent", "Regulation"],
+    "geopolitics": ["Country", "PoliticalLeader", "Alliance", "Conflict", "Treaty", "SanctionEvent"],
+    "climate": ["ClimateEvent", "ClimatePolicy", "NaturalResource", "ClimateIndicator", "ClimateOrganization"],
+    "technology": ["TechCompany", "Technology", "ResearchPaper", "Patent", "TechEvent", "TechRegulation"],
+    "india_finance": ["IndianCompany", "Conglomerate", "Sector", "StockIndex", "MutualFund", "ETF"],
+    "india_policy": ["GovernmentPolicy", "RBIDecision", "SEBIRegulation", "BudgetEvent", "GovernmentScheme",
+        "Regulator"],
+    "india_economy": ["MacroIndicator", "EconomicTrend", "ForeignInvestment", "TradeData", "InfrastructureProject"],
+    "india_corporate": ["Promoter", "CorporateEvent", "StartupFunding", "Analyst", "BusinessGroup"],
 }
 RELATION_TYPES = {
-    "corporate": "HEADQUARTERED_IN CEO_OF BOARD_MEMBER_OF COMPETES_WITH ACQUIRED PARTNERED_WITH SUPPLIES_TO "
-                 "INVESTED_IN REGULATED_BY OPERATES_IN LAUNCHED MERGED_WITH LLM_AFFINITY",
-    "geopolitics": "ALLY_OF RIVAL_OF SANCTIONS INVADED SIGNED_TREATY_WITH MEMBER_OF LED_BY TRADES_WITH "
-                   "HOSTS_BASE_IN CONFLICT_WITH BORDERS LLM_AFFINITY",
-    "climate": "CAUSED_BY IMPACTS REGULATES SIGNED_AGREEMENT EMITS DEPENDS_ON THREATENED_BY MONITORS FUNDS "
-               "LOCATED_IN LLM_AFFINITY",
-    "technology": "DEVELOPED_BY ACQUIRED_BY COMPETES_WITH PARTNERED_WITH INVESTED_IN USES REGULATES PUBLISHED_BY "
-                  "CITED_BY PATENTED_BY SUCCESSOR_OF POWERS LLM_AFFINITY",
-    "india_finance": "LISTED_ON PART_OF_CONGLOMERATE IN_SECTOR TRACKS_INDEX COMPETES_WITH ACQUIRED INVESTED_IN "
-                     "SUBSIDIARY_OF PROMOTED_BY CONSTITUENT_OF LLM_AFFINITY",
-    "india_policy": "REGULATED_BY_SEBI REGULATED_BY_RBI IMPACTED_BY_POLICY ANNOUNCED_IN_BUDGET BENEFITS_FROM_SCHEME "
-                    "ISSUED_BY TARGETS_SECTOR SUPERSEDES AMENDED_BY LLM_AFFINITY",
-    "india_economy": "DRIVES IMPACTS CORRELATES_WITH MEASURES FLOWS_INTO FLOWS_FROM AFFECTS_SECTOR FUNDED_BY "
-                     "EXECUTED_BY LLM_AFFINITY",
-    "india_corporate": "PROMOTED_BY FUNDED_BY ACQUIRED_BY PARTNERED_WITH REPORTED_EARNINGS COVERED_BY_ANALYST RATED_BY "
-                       "COMPETES_WITH BELONGS_TO_GROUP SPUN_OFF_FROM LLM_AFFINITY",
+    "corporate": ["HEADQUARTERED_IN", "CEO_OF", "BOARD_MEMBER_OF", "COMPETES_WITH", "ACQUIRED", "PARTNERED_WITH",
+        "SUPPLIES_TO", "INVESTED_IN", "REGULATED_BY", "OPERATES_IN", "LAUNCHED", "MERGED_WITH", "LLM_AFFINITY"],
+    "geopolitics": ["ALLY_OF", "RIVAL_OF", "SANCTIONS", "INVADED", "SIGNED_TREATY_WITH", "MEMBER_OF", "LED_BY",
+        "TRADES_WITH", "HOSTS_BASE_IN", "CONFLICT_WITH", "BORDERS", "LLM_AFFINITY"],
+    "climate": ["CAUSED_BY", "IMPACTS", "REGULATES", "SIGNED_AGREEMENT", "EMITS", "DEPENDS_ON", "THREATENED_BY",
+        "MONITORS", "FUNDS", "LOCATED_IN", "LLM_AFFINITY"],
+    "technology": ["DEVELOPED_BY", "ACQUIRED_BY", "COMPETES_WITH", "PARTNERED_WITH", "INVESTED_IN", "USES",
+        "REGULATES", "PUBLISHED_BY", "CITED_BY", "PATENTED_BY", "SUCCESSOR_OF", "POWERS", "LLM_AFFINITY"],
+    "india_finance": ["LISTED_ON", "PART_OF_CONGLOMERATE", "IN_SECTOR", "TRACKS_INDEX", "COMPETES_WITH", "ACQUIRED",
+        "INVESTED_IN", "SUBSIDIARY_OF", "PROMOTED_BY", "CONSTITUENT_OF", "LLM_AFFINITY"],
+    "india_policy": ["REGULATED_BY_SEBI", "REGULATED_BY_RBI", "IMPACTED_BY_POLICY", "ANNOUNCED_IN_BUDGET",
+        "BENEFITS_FROM_SCHEME", "ISSUED_BY", "TARGETS_SECTOR", "SUPERSEDES", "AMENDED_BY", "LLM_AFFINITY"],
+    "india_economy": ["DRIVES", "IMPACTS", "CORRELATES_WITH", "MEASURES", "FLOWS_INTO", "FLOWS_FROM", "AFFECTS_SECTOR",
+        "FUNDED_BY", "EXECUTED_BY", "LLM_AFFINITY"],
+    "india_corporate": ["PROMOTED_BY", "FUNDED_BY", "ACQUIRED_BY", "PARTNERED_WITH", "REPORTED_EARNINGS",
+        "COVERED_BY_ANALYST", "RATED_BY", "COMPETES_WITH", "BELONGS_TO_GROUP", "SPUN_OFF_FROM", "LLM_AFFINITY"],
 }
 AFFINITY_FLOOR, AFFINITY_CONFIDENCE, TYPED_FLOOR = 0.15, 0.7, 0.60
 RESOLVE_JACCARD, DEDUP_JACCARD = 0.75, 0.90
@@ -50,13 +54,13 @@ DEFAULT_CONFIDENCE = DEFAULT_WEIGHT = 0.8
 
 
 # ── vocabulary ──────────────────────────────────────────────────────────────────────
-def ontology_types(spark: SparkSession, table: dict[str, str] = ENTITY_TYPES) -> DataFrame:
-    rows = [(d, t) for d, ts in table.items() for t in ts.split()]
+def ontology_types(spark: SparkSession, table: dict[str, list[str]] = ENTITY_TYPES) -> DataFrame:
+    rows = [(d, t) for d, ts in table.items() for t in ts]
     return spark.createDataFrame(rows, "domain string, entity_type string")
 
 
-def ontology_relations(spark: SparkSession, table: dict[str, str] = RELATION_TYPES) -> DataFrame:
-    rows = [(d, t) for d, ts in table.items() for t in ts.split()]
+def ontology_relations(spark: SparkSession, table: dict[str, list[str]] = RELATION_TYPES) -> DataFrame:
+    rows = [(d, t) for d, ts in table.items() for t in ts]
     return spark.createDataFrame(rows, "domain string, relation_type string")
 
 
@@ -89,9 +93,15 @@ def admit_entities(extractions: DataFrame, types: DataFrame, allowed: DataFrame)
     return d.withColumn("confidence", conf).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
+#: Node columns that a merge takes from the first row that has them.
+PLAIN = ["description", "ticker", "created_at", "updated_at"]
+
+
 def merge_rows(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
     """Merge rows of one entity (E02, E04): name and first value of every attribute by rank,
-    union of aliases and sources, highest confidence. All aggregates combine map-side."""
+    union of aliases and sources, highest confidence, first known description, ticker and
+    times. All aggregates combine map-side."""
+    plain = [x for x in PLAIN if x in rows.columns]
     attrs = (rows.select(*key, rank, F.explode("attributes").alias("k", "v")).groupBy(*key, "k")
              .agg(F.min_by("v", rank).alias("v")).groupBy(*key)
              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes")))
@@ -99,10 +109,11 @@ def merge_rows(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
         F.min_by("canonical_name", rank).alias("canonical_name"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(all_names(c("canonical_name"), c("aliases")))))).alias("names"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        F.max("confidence").alias("confidence"))
+        F.max("confidence").alias("confidence"),
+        *[F.min_by(x, F.when(c(x).isNotNull(), c(rank))).alias(x) for x in plain])
     g = g.join(attrs, key, "left")
     return g.select(*key, "canonical_name", F.array_remove("names", c("canonical_name")).alias("aliases"),
-                    F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"), "sources", "confidence")
+                    F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"), "sources", "confidence", *plain)
 
 
 def admit_relations(extractions: DataFrame, relations: DataFrame, local: DataFrame, resolver: DataFrame) -> DataFrame:
@@ -116,7 +127,9 @@ def admit_relations(extractions: DataFrame, relations: DataFrame, local: DataFra
         d = d.withColumn(f"{end}_id", F.coalesce("_l", "_g")).drop("_l", "_g")
     d = d.where(c("from_id").isNotNull() & c("to_id").isNotNull() & (c("from_id") != c("to_id")))
     weight = F.when(nz(c("weight")) == 0, DEFAULT_WEIGHT).otherwise(c("weight"))
-    d = d.select(F.sha2(F.concat_ws("|", "source_url", "pos", "relation_type", "from_id", "to_id"), 256).alias("id"), "relation_type",
+    held = c("attributes") if "attributes" in d.columns else F.lit(None)
+    held = F.coalesce(held.cast("map<string,string>"), F.create_map().cast("map<string,string>"))
+    d = d.select(held.alias("attributes"), F.sha2(F.concat_ws("|", "source_url", "pos", "relation_type", "from_id", "to_id"), 256).alias("id"), "relation_type",
                  "from_id", "to_id", weight.alias("weight"), F.array("source_url").alias("sources"), F.lit(DEFAULT_CONFIDENCE).alias("confidence"))
     return best_edges(d)
 
@@ -158,11 +171,12 @@ def contained(needles: DataFrame, hay: DataFrame, by: list[str]) -> DataFrame:
 def similar(left: DataFrame, right: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Pairs of distinct token sets (by, key, t) with Jaccard ≥ threshold, by prefix filter:
     similar sets share a token among their rarest |t| − ⌈threshold·|t|⌉ + 1 ones."""
-    vocab = left.select(*by, "key", "t").union(right.select(*by, "key", "t")).distinct()
+    left, right = (d.select(*by, "key", F.array_sort("t").alias("t")).distinct() for d in (left, right))  # one order per set
+    vocab = left.union(right).distinct()
     freq = vocab.select(*by, F.explode("t").alias("tok")).groupBy(*by, "tok").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(side):
-        d = side.select(*by, "key", "t").distinct().withColumn("tok", F.explode("t")).join(freq, [*by, "tok"])
+        d = side.withColumn("tok", F.explode("t")).join(freq, [*by, "tok"])
         w = Window.partitionBy(*by, "key").orderBy("df", "tok")
         size = F.size("t")
         return (d.withColumn("r", F.row_number().over(w))
@@ -177,13 +191,14 @@ def similar(left: DataFrame, right: DataFrame, by: list[str], threshold: float)
 
 
 def resolve(queries: DataFrame, nodes: DataFrame, tiers: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """Best existing entity per (query, entity_type) (E06; tiers=(1, 3) gives E07).
+    """Best existing entity per (query, entity_type) (E06; tiers=(1, 3) gives E07), or per query
+    among entities of all types when the queries have no entity_type.
 
     Tiers: exact normalised name, canonical key, containment either way, token Jaccard ≥ .75.
     Names are reduced to distinct texts with their smallest id first; every tier is an
     equi-join on text, gram or token, and only queries still open reach the next tier."""
-    by = ["entity_type"]
-    d = queries.select("name", "entity_type").distinct().withColumn("norm", normalize_name(c("name")))
+    by = ["entity_type"] if "entity_type" in queries.columns else []
+    d = queries.select("name", *by).distinct().withColumn("norm", normalize_name(c("name")))
     text = name_index(nodes).where(c("norm_name") != "").groupBy(*by, c("norm_name").alias("text")).agg(F.min("id").alias("id"))
     if 3 in tiers or 4 in tiers:
         text = cut_lineage(text)
@@ -193,7 +208,7 @@ def resolve(queries: DataFrame, nodes: DataFrame, tiers: tuple[int, ...] = (1, 2
     else:
         d = d.withColumn("id1", none)
     if 2 in tiers:
-        keys = nodes.select("entity_type", canonical_key(c("canonical_name")).alias("key"), "id").where(c("key") != "")
+        keys = nodes.select(*by, canonical_key(c("canonical_name")).alias("key"), "id").where(c("key") != "")
         keys = keys.groupBy(*by, "key").agg(F.min("id").alias("id2"))
         d = d.withColumn("key", canonical_key(c("name"))).join(keys, [*by, "key"], "left")
     else:
@@ -222,43 +237,30 @@ def resolve(queries: DataFrame, nodes: DataFrame, tiers: tuple[int, ...] = (1, 2
         d = d.withColumn("id4", none)
     ids = [f"id{k}" for k in (1, 2, 3, 4)]
     tier = F.coalesce(*[F.when(c(x).isNotNull(), k + 1) for k, x in enumerate(ids)])
-    return d.select("name", "entity_type", F.coalesce(*ids).alias("id"), tier.alias("tier")).where(c("id").isNotNull())
+    return d.select("name", *by, F.coalesce(*ids).alias("id"), tier.alias("tier")).where(c("id").isNotNull())
 
 
 # ── fuzzy dedup ─────────────────────────────────────────────────────────────────────
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable label per vertex (vertex, root) by min-label propagation with pointer
-    jumping; every round is checkpointed in the shared folder so lost executors cost one round."""
-    edges = cut_lineage(pairs.select(c(a).alias("x"), c(b).alias("y")).union(pairs.select(c(b), c(a))).distinct())
-    label = cut_lineage(edges.groupBy(c("x").alias("vertex")).agg(F.least(F.min("y"), c("x")).alias("root")))
-    while True:
-        near = edges.join(label.select(c("vertex").alias("y"), "root"), "y").groupBy(c("x").alias("vertex")).agg(F.min("root").alias("near"))
-        step = label.join(near, "vertex").select("vertex", "root", F.least("root", "near").alias("next"))
-        jump = step.select(c("vertex").alias("next"), c("next").alias("far"))
-        new = cut_lineage(step.join(jump, "next").select("vertex", "root", F.least("next", "far").alias("to")))
-        label = new.select("vertex", c("to").alias("root"))
-        if new.where(c("root") != c("to")).isEmpty():
-            return label
-
-
 def duplicate_map(nodes: DataFrame, edges: DataFrame, threshold: float = DEDUP_JACCARD) -> DataFrame:
     """(id, survivor) for every node (E08), clusters within a type.
 
-    Two different token sets reach ≥ .90 only when their union has ten or more tokens, so
-    shorter names match by equal token sets: one aggregate, however many copies a name has.
-    Longer names go through the prefix-filter join and connected components."""
+    Names with too few tokens for any different set to reach the threshold (under nine at .90)
+    match by equal token sets: one aggregate, however many copies a name has. The others go
+    through the prefix-filter join and connected components."""
     degree = (edges.select(c("from_id").alias("id")).union(edges.select(c("to_id").alias("id")))
               .groupBy("id").agg(F.count(F.lit(1)).alias("degree")))
     n = nodes.select("id", "entity_type", "confidence", tokens(c("canonical_name")).alias("t")).join(degree, "id", "left")
     n = n.withColumn("score", c("confidence") + 0.001 * nz(c("degree"), 0))
     n = n.withColumn("key", F.when(F.size("t") > 0, F.array_join(F.array_sort("t"), " ")).otherwise(F.concat(F.lit("\x00"), c("id"))))
-    long = n.where(F.size("t") >= 9).select("entity_type", "key", "t").distinct()
+    # two different sets with i shared tokens reach i / (i + 1) at most, so both hold t / (1 - t) tokens
+    shared = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else None
+    long = n.where(F.size("t") >= shared if shared else F.lit(False)).select("entity_type", "key", "t").distinct()
     merged = n.withColumn("cluster", c("key"))
     if not long.isEmpty():
         pair = similar(long, long, ["entity_type"], threshold).where(c("a") < c("b"))
         sep = F.lit("\x01")
         pair = pair.select(F.concat("entity_type", sep, "a").alias("a"), F.concat("entity_type", sep, "b").alias("b"))
-        root = components(pair).select(c("vertex").alias("_v"), F.substring_index("root", "\x01", -1).alias("_root"))
+        root = components(pair).select(c("node").alias("_v"), F.substring_index("component", "\x01", -1).alias("_root"))
         merged = (n.join(root, F.concat("entity_type", sep, "key") == c("_v"), "left")
                   .withColumn("cluster", F.coalesce("_root", "key")).drop("_v", "_root"))
     keep = merged.groupBy("entity_type", "cluster").agg(F.min(F.struct(-c("score"), c("id")))["id"].alias("survivor"))
@@ -270,7 +272,8 @@ def rewrite(nodes: DataFrame, edges: DataFrame, dup: DataFrame) -> tuple[DataFra
     m = dup.select("id", "survivor")
     rows = nodes.join(m, "id").withColumn("rank", F.struct((c("id") != c("survivor")).cast("int").alias("loser"), "id"))
     kinds = nodes.select("id", "entity_type", "domain").withColumnRenamed("id", "survivor")
-    merged = merge_rows(rows.select("survivor", "canonical_name", "aliases", "attributes", "sources", "confidence", "rank"), ["survivor"], "rank")
+    plain = [x for x in PLAIN if x in nodes.columns]
+    merged = merge_rows(rows.select("survivor", "canonical_name", "aliases", "attributes", "sources", "confidence", "rank", *plain), ["survivor"], "rank")
     new_nodes = merged.join(kinds, "survivor").withColumnRenamed("survivor", "id")
     e = edges
     for end in ("from_id", "to_id"):
@@ -285,47 +288,46 @@ def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left_anti")
 
 
-def _sample(nodes: DataFrame, group: list[str], m: int) -> DataFrame:
-    return top_rank(nodes, group, [F.md5("id"), c("id")], m)
+#: Nodes that meet in one bucket of a pair draw, on average.
+DRAW = 64
+
+
+def _draw(key: Column, buckets: Column, seed: str) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 12), 16, 10).cast("bigint"), buckets)
 
 
-def affinity_pairs(nodes: DataFrame, edges: DataFrame, n: int = 40, per_domain: int = 16) -> DataFrame:
+def affinity_pairs(nodes: DataFrame, edges: DataFrame, n: int = 40, seed: str = "") -> DataFrame:
     """n pseudo-random unlinked pairs of different domains (E10, a sampling operator).
 
-    Only a hashed sample of `per_domain` nodes of each domain is paired, so the pair list is
-    bounded by the number of domains; the sample doubles until it yields n pairs or holds
-    every node."""
-    slim = nodes.select("id", "domain")
-    while True:
-        s = _sample(slim, ["domain"], per_domain)
-        left = s.select(c("id").alias("a"), c("domain").alias("da"), F.lit(0).alias("one"))
-        right = s.select(c("id").alias("b"), c("domain").alias("db"), F.lit(0).alias("one"))
-        pairs = left.join(right, "one").where((c("a") < c("b")) & (c("da") != c("db"))).select("a", "b")
-        out = unlinked(pairs, edges).orderBy(F.md5(F.concat("a", F.lit("|"), "b")), "a", "b").limit(n)
-        if out.count() >= n or slim.groupBy("domain").count().where(c("count") > per_domain).isEmpty():
-            return out
-        per_domain *= 2
-
-
-def schema_pairs(nodes: DataFrame, edges: DataFrame, schemas: DataFrame, n: int = 30, per_side: int = 16) -> DataFrame:
+    The seed hashes all nodes into buckets of about DRAW, and the pairs are those inside a bucket,
+    so their number is linear in the nodes; every pair is drawn under some seed. One domain
+    gives no pair at once."""
+    buckets = F.lit(max(1, -(-nodes.count() // DRAW)))
+    slim = nodes.select("id", "domain", _draw(c("id"), buckets, seed).alias("bucket"))
+    left = slim.select("bucket", c("id").alias("a"), c("domain").alias("da"))
+    right = slim.select("bucket", c("id").alias("b"), c("domain").alias("db"))
+    pairs = left.join(right, "bucket").where((c("a") < c("b")) & (c("da") != c("db"))).select("a", "b")
+    return unlinked(pairs, edges).orderBy(F.md5(F.concat("a", F.lit("|"), "b")), "a", "b").limit(n)
+
+
+def schema_pairs(nodes: DataFrame, edges: DataFrame, schemas: DataFrame, n: int = 30, seed: str = "") -> DataFrame:
     """Up to n unlinked pairs per schema row (E11). schemas: (schema, from_domain, to_domain,
-    from_types, to_types), type lists NULL for any. Sampling as in `affinity_pairs`."""
+    from_types, to_types), type lists NULL for any. Drawn as in `affinity_pairs`; the buckets of
+    a schema hold DRAW pairs for each of its nodes, whatever the ratio of its sides."""
     def side(which):
         ok = c(f"{which}_types").isNull() | F.array_contains(c(f"{which}_types"), c("entity_type"))
         d = nodes.select("id", "domain", "entity_type").join(schemas, c("domain") == c(f"{which}_domain")).where(ok)
         return d.select("schema", "id")
 
     a, b = side("from"), side("to")
-    while True:
-        pairs = (_sample(a, ["schema"], per_side).select("schema", c("id").alias("a"))
-                 .join(_sample(b, ["schema"], per_side).select("schema", c("id").alias("b")), "schema").where(c("a") != c("b")))
-        out = top_rank(unlinked(pairs, edges), ["schema"], [F.md5(F.concat("a", F.lit("|"), "b")), c("a"), c("b")], n)
-        short = schemas.join(out.groupBy("schema").count(), "schema", "left").where(nz(c("count"), 0) < n).select("schema")
-        larger = a.union(b).join(short, "schema", "left_semi")
-        sizes = a.groupBy("schema").count().union(b.groupBy("schema").count()).where(c("count") > per_side)
-        if larger.isEmpty() or sizes.join(short, "schema", "left_semi").isEmpty():
-            return out
-        per_side *= 2
+    sizes = (a.groupBy("schema").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("schema").agg(F.count(F.lit(1)).alias("nb")), "schema")
+             .select("schema", F.ceil(c("na") * c("nb") / (F.lit(float(DRAW)) * (c("na") + c("nb")))).alias("buckets")))
+
+    def placed(d, name):
+        return d.join(sizes, "schema").select("schema", _draw(c("id"), c("buckets"), seed).alias("bucket"), c("id").alias(name))
+
+    pairs = placed(a, "a").join(placed(b, "b"), ["schema", "bucket"]).where(c("a") != c("b")).select("schema", "a", "b")
+    return top_rank(unlinked(pairs, edges), ["schema"], [F.md5(F.concat("a", F.lit("|"), "b")), c("a"), c("b")], n)
 
 
 def admit_affinity(pairs: DataFrame, answers: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -354,13 +356,16 @@ def label_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Write labels back to affinity edges that have none."""
     open_ = (c("relation_type") == "LLM_AFFINITY") & F.element_at("attributes", "inferred_relation").isNull()
     d = edges.join(labels.select("id", "label"), "id", "left")
-    new = F.when(open_ & c("label").isNotNull(), F.map_concat("attributes", F.create_map(F.lit("inferred_relation"), c("label")))).otherwise(c("attributes"))
+    rest = F.map_filter("attributes", lambda k, v: k != "inferred_relation")  # the key may be there without a value
+    new = F.when(open_ & c("label").isNotNull(), F.map_concat(rest, F.create_map(F.lit("inferred_relation"), c("label")))).otherwise(c("attributes"))
     return d.withColumn("attributes", new).drop("label")
 
 
 def build(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, types: DataFrame, relations: DataFrame,
           allowed: DataFrame, scorer, schemas: DataFrame, typed_scorer, vocabulary: DataFrame, labeler) -> tuple[DataFrame, DataFrame]:
     """Full build (E16): admit → resolve → merge → dedup → typed pairs → affinity pairs → label.
+    Relation ends are resolved through all tiers without a type; attributes, times and labels of
+    existing edges and descriptions and tickers of existing nodes stay.
 
     Injected steps: `scorer` maps pairs (a, b) to (a, b, weight), `typed_scorer` maps
     (schema, a, b) to (schema, a, b, relation, confidence) and `labeler` maps edges to (id, label)."""
@@ -370,32 +375,35 @@ def build(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, types: Dat
     fresh = F.sha2(F.concat_ws("|", "entity_type", normalize_name(c("canonical_name")), F.when(normalize_name(c("canonical_name")) == "", c("canonical_name"))), 256)
     ent = cut_lineage(ent.withColumn("id", F.coalesce("known", fresh)).withColumn("sources", F.array("source_url")))
     kinds = ent.groupBy("id").agg(F.min("entity_type").alias("entity_type"), F.min("domain").alias("domain"))
-    cols = ["id", "canonical_name", "aliases", "attributes", "sources", "confidence"]
+    plain = [x for x in PLAIN if x in nodes.columns]
+    ent = ent.withColumns({x: F.lit(None).cast(nodes.schema[x].dataType) for x in plain if x not in ent.columns})
+    cols = ["id", "canonical_name", "aliases", "attributes", "sources", "confidence", *plain]
     rows = (nodes.select(*cols, F.struct(F.lit(0).alias("o"), c("id").alias("k")).alias("rank"))
             .union(ent.select(*cols, F.struct(F.lit(1).alias("o"), c("source_url").alias("k")).alias("rank"))))
     kinds = nodes.select("id", "entity_type", "domain").union(kinds.join(nodes.select("id"), "id", "left_anti"))
-    all_nodes = merge_rows(rows, ["id"], "rank").join(kinds, "id")
+    all_nodes = cut_lineage(merge_rows(rows, ["id"], "rank").join(kinds, "id"))
     local = ent.select("source_url", F.explode(all_names(c("canonical_name"), c("aliases"))).alias("name"), "id").groupBy("source_url", "name").agg(F.min("id").alias("id"))
-    index = name_index(all_nodes).groupBy("norm_name").agg(F.min("id").alias("id"))
     asked = extractions.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.from_entity", "r.to_entity")).alias("name")).distinct()
-    resolver = asked.withColumn("norm_name", normalize_name(c("name"))).join(index, "norm_name").select("name", "id")
-    new_edges = admit_relations(extractions, relations, local, resolver)
-    cols = ["id", "relation_type", "from_id", "to_id", "weight", "confidence", "sources"]
-    all_edges = cut_lineage(best_edges(edges.select(*cols).union(new_edges.select(*cols)), all_nodes))
-    all_nodes = cut_lineage(all_nodes)
-    final_nodes, final_edges = rewrite(all_nodes, all_edges, duplicate_map(all_nodes, all_edges))
-    final_nodes = cut_lineage(final_nodes)
-    none = F.array().cast("array<string>")
+    new_edges = admit_relations(extractions, relations, local, resolve(asked, all_nodes).select("name", "id"))
+    all_edges = cut_lineage(best_edges(_whole_edges(edges).unionByName(_whole_edges(new_edges)), all_nodes))
+    final_nodes, final_edges = rewrite(all_nodes, all_edges, cut_lineage(duplicate_map(all_nodes, all_edges)))
+    final_nodes, final_edges = cut_lineage(final_nodes), cut_lineage(final_edges)
 
     def edge(df, kind, weight, conf):
-        return df.select(F.sha2(F.concat_ws("|", kind, "a", "b"), 256).alias("id"), kind.alias("relation_type"), c("a").alias("from_id"),
-                         c("b").alias("to_id"), weight.alias("weight"), conf.alias("confidence"), none.alias("sources"))
+        return _whole_edges(df.select(F.sha2(F.concat_ws("|", kind, "a", "b"), 256).alias("id"), kind.alias("relation_type"), c("a").alias("from_id"),
+                                      c("b").alias("to_id"), weight.alias("weight"), conf.alias("confidence")))
 
     typed = typed_scorer(schema_pairs(final_nodes, final_edges, schemas)).where(c("confidence") >= TYPED_FLOOR)
     typed = edge(typed.join(vocabulary, ["schema", "relation"], "left_semi"), c("relation"), c("confidence"), c("confidence"))
-    linked = cut_lineage(best_edges(final_edges.select(*cols).union(typed.select(*cols)), final_nodes))
+    linked = cut_lineage(best_edges(final_edges.unionByName(typed), final_nodes))
     scored = scorer(affinity_pairs(final_nodes, linked)).where(c("weight") >= AFFINITY_FLOOR)
     extra = edge(scored, F.lit("LLM_AFFINITY"), c("weight"), F.lit(AFFINITY_CONFIDENCE))
-    links = best_edges(linked.union(extra.select(*linked.columns)), final_nodes)
-    links = cut_lineage(links.withColumn("attributes", F.create_map().cast("map<string,string>")))
+    links = cut_lineage(best_edges(linked.unionByName(extra), final_nodes))
     return final_nodes, label_edges(links, labeler(links.where(c("relation_type") == "LLM_AFFINITY")))
+
+
+def _whole_edges(edges: DataFrame) -> DataFrame:
+    """Edges with all their columns in one order; columns they lack are empty."""
+    lacking = {"attributes": F.create_map().cast("map<string,string>"), "created_at": F.lit(None).cast("timestamp"), "sources": F.array().cast("array<string>")}
+    have = edges.withColumns({k: v for k, v in lacking.items() if k not in edges.columns})
+    return have.select("id", "relation_type", "from_id", "to_id", "weight", "confidence", "attributes", "created_at", "sources")

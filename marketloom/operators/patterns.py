@@ -63,15 +63,14 @@ def _facts() -> Column:
                        "array<struct<name:string,direction:string,explanation:string,strength:double,rank:int>>")
 
 
-SHALLOW = 48
-
 
 class _Group:
     """Window columns a pattern family needs, kernel outputs it needs, and its tests."""
 
     windows: dict[str, Column] = {}
     kernels: list[str] = []
-    shallow = False         # True when the newest SHALLOW bars are all it looks at
+    shallow = False         # True when the newest `depth` bars are all it looks at
+    depth = 0
 
     def second(self) -> dict[str, Column]:
         return {}
@@ -139,6 +138,7 @@ class Rsi(_Group):
 
 class VolumeSpike(_Group):
     shallow = True
+    depth = 21
 
     def __init__(self, ind):
         self.windows = {"vol_mean": ind.over(F.avg("volume"), 20)}
@@ -154,6 +154,7 @@ class Candles(_Group):
     """Eight public candlestick definitions; averages leave the current bar out."""
 
     shallow = True
+    depth = 16          # averages of ten bars before a bar three back
 
     def __init__(self, ind, signed: bool = False):
         self.ind, self.signed = ind, signed
@@ -229,6 +230,7 @@ class Structural(_Group):
 
     def __init__(self, ind, window: int = 20):
         self.ind, self.window = ind, window
+        self.depth = window + 4        # the oldest bar of the window looks three bars back
         hi3, lo3 = ind.over(F.max("high"), 3), ind.over(F.min("low"), 3)
         self.windows = {
             "hi3": hi3, "lo3": lo3,
@@ -306,7 +308,7 @@ def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1, best: bool =
         d = I.kernels(d, kernel_cols, keep=["i", "n", "prev_close", *dict.fromkeys(k for p in deep for k in p.keep)])
     if near:
         # only the newest bars feed these, so the windows (and an exchange after a kernel) see few rows
-        d = d.where(c("i") >= c("n") - SHALLOW)
+        d = d.where(c("i") >= c("n") - max(p.depth for p in near))
         d = d.drop(*[x for x in d.columns if x.startswith("_w")])
         d = _windowed(I.clustered(d) if kernel_cols else d, close_up, near)
     d = d.where((c("i") == c("n") - 1) & (c("n") >= min_bars))

@@ -139,10 +139,10 @@ _NEEDS = {   # windows, then windows over those, then kernel outputs, per factor
 }
 
 
-def factor_panel(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
-    """Windowed and recursive inputs of the asked factor scores on the last `lookback` bars."""
+def factor_panel(bars: DataFrame, lookback: int | None = None, parts=tuple(_NEEDS)) -> DataFrame:
+    """Windowed and recursive inputs of the asked factor scores, on the last `lookback` bars if given."""
     ind = I.Ind()
-    base = I.with_tp_flow(I.prepared(bars, last=lookback), ind)
+    base = I.with_tp_flow(I.prepared(bars, total=True, last=lookback), ind)
     first = {
         **{k: (lambda k=k: ind.bollinger()[k]) for k in ("bb_mid", "bb_upper", "bb_lower")},
         "sma20": lambda: ind.sma(20), "sma50": lambda: ind.sma(50), "sma200": lambda: ind.sma(200),
@@ -207,11 +207,12 @@ def flow_score() -> Column:
     return F.when(c("n") >= 35, total).otherwise(0.0)
 
 
-def factor_scores(bars: DataFrame, lookback: int = 400, parts=tuple(_NEEDS)) -> DataFrame:
+def factor_scores(bars: DataFrame, lookback: int | None = None, parts=tuple(_NEEDS)) -> DataFrame:
     """Mean-reversion, trend, momentum and flow scores per symbol.
 
     The trend score divides by full-history deviations, so one map-side-combined
-    aggregate reduces every symbol to a row before anything moves."""
+    aggregate reduces every symbol to a row before anything moves. VWAP, OBV, A/D and the
+    deviations depend on where the history starts; `lookback` cuts it to the newest bars."""
     d = factor_panel(bars, lookback, parts)
     newest = c("i") == c("n") - 1
     score = {"meanrev": meanrev_score, "momentum": momentum_score, "whales": flow_score}

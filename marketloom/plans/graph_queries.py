@@ -216,7 +216,7 @@ def topk_threshold(m):
     return G.vector_search(m.embeddings, asked_vectors(m, 20), 5, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
 
 
-_BUCKET = "CAST('0x' || substr(md5(id),1,4) AS BIGINT) % 16"
+_BUCKET = "CAST('0x' || substr(md5(id),1,12) AS BIGINT) % greatest(16, (count(*) OVER () + 4095)//4096)"
 
 
 @query("embed_backlog", f"SELECT id, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY id) - 1)//64 AS batch FROM (SELECT id, {_BUCKET} AS bucket FROM gnodes WHERE entity_type<>'Part')")
@@ -416,10 +416,10 @@ def dedup_rewrite(m):
 
 
 fragment("linked", "SELECT from_id AS a, to_id AS b FROM gedges UNION SELECT to_id, from_id FROM gedges")
-fragment("samp", "SELECT * FROM (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5(id), id) AS r FROM gnodes) WHERE r<=16")
+fragment("samp", "SELECT id, domain, CAST('0x' || substr(md5(id),1,12) AS BIGINT) % ((count(*) OVER () + 63)//64) AS bucket FROM gnodes")
 
 
-@query("pairs_affinity", "SELECT x.id AS a, y.id AS b FROM samp x JOIN samp y ON x.id<y.id AND x.domain<>y.domain LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL ORDER BY md5(x.id || '|' || y.id), 1, 2 LIMIT 40")
+@query("pairs_affinity", "SELECT x.id AS a, y.id AS b FROM samp x JOIN samp y ON x.bucket=y.bucket AND x.id<y.id AND x.domain<>y.domain LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL ORDER BY md5(x.id || '|' || y.id), 1, 2 LIMIT 40")
 def pairs_affinity(m):
     """Forty unlinked pairs of different domains"""
     return K.affinity_pairs(m.nodes, m.edges, 40)
@@ -432,13 +432,14 @@ def pair_schemas(m):
     return m.spark.createDataFrame(SCHEMAS, "schema string, from_domain string, to_domain string, from_types array<string>, to_types array<string>")
 
 
-fragment("sp_side", """SELECT *, row_number() OVER (PARTITION BY schema, side ORDER BY md5(id), id) AS r FROM (
+fragment("sp_side", """SELECT *, CAST('0x' || substr(md5(id),1,12) AS BIGINT) % CAST(ceil(na*nb/(64.0::DOUBLE*(na+nb))) AS BIGINT) AS bucket FROM (
+ SELECT *, count(*) FILTER (side=0) OVER (PARTITION BY schema) AS na, count(*) FILTER (side=1) OVER (PARTITION BY schema) AS nb FROM (
  SELECT 'goods-supply' AS schema, 0 AS side, id FROM gnodes WHERE entity_type='Part' UNION ALL SELECT 'goods-supply', 1, id FROM gnodes WHERE entity_type='Supplier'
  UNION ALL SELECT 'supply-geo', 0, id FROM gnodes WHERE domain='supply' UNION ALL SELECT 'supply-geo', 1, id FROM gnodes WHERE entity_type='Nation'
- UNION ALL SELECT 'geo-demand', 0, id FROM gnodes WHERE domain='geography' UNION ALL SELECT 'geo-demand', 1, id FROM gnodes WHERE domain='demand')""")
+ UNION ALL SELECT 'geo-demand', 0, id FROM gnodes WHERE domain='geography' UNION ALL SELECT 'geo-demand', 1, id FROM gnodes WHERE domain='demand'))""")
 
 
-@query("pairs_schema", """SELECT schema, a, b FROM (SELECT x.schema, x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.schema ORDER BY md5(x.id||'|'||y.id), x.id, y.id) AS r FROM sp_side x JOIN sp_side y ON y.schema=x.schema AND x.side=0 AND y.side=1 AND x.r<=16 AND y.r<=16 AND x.id<>y.id
+@query("pairs_schema", """SELECT schema, a, b FROM (SELECT x.schema, x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.schema ORDER BY md5(x.id||'|'||y.id), x.id, y.id) AS r FROM sp_side x JOIN sp_side y ON y.schema=x.schema AND x.side=0 AND y.side=1 AND x.bucket=y.bucket AND x.id<>y.id
  LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL) WHERE r<=30""")
 def pairs_schema(m):
     """Thirty unlinked pairs per schema row"""

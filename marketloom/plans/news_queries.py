@@ -37,11 +37,10 @@ def records(m):
 
 
 @query("news_dedup", f"""SELECT ticker, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker, key ORDER BY {PRV}, doc_id) AS r FROM (
- SELECT *, lower(regexp_replace(substr(title,1,12), '^\\s+|\\s+$', '', 'g')) AS key FROM art) WHERE key<>'') WHERE r=1""")
+ SELECT *, lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) AS key FROM art) WHERE key<>'') WHERE r=1""")
 def news_dedup(m):
     """First article per (ticker, title key)"""
-    d = m.articles.withColumn("title", F.substring("title", 1, 12))
-    return N.dedup_titles(d).select("ticker", "doc_id")
+    return N.dedup_titles(m.articles).select("ticker", "doc_id")
 
 
 @query("news_weights", "SELECT doc_id, w AS weight FROM artw")
@@ -121,14 +120,14 @@ def news_to_graph(m):
 # ── radar ───────────────────────────────────────────────────────────────────────────
 def base_signals(m):
     """Simple-engine signals with the single best pattern of every symbol."""
-    found = P.latest_patterns(m.bars, best=True).select(c("symbol").alias("ticker"), "patterns")
+    found = P.latest_patterns(m.kept_bars, best=True).select(c("symbol").alias("ticker"), "patterns")
     none = F.array().cast("array<struct<name:string,direction:string,explanation:string,strength:double,date:string,rank:int>>")
-    return S.simple_signals(m.bars).join(found, "ticker", "left").withColumn("patterns", F.coalesce("patterns", none))
+    return S.simple_signals(m.kept_bars).join(found, "ticker", "left").withColumn("patterns", F.coalesce("patterns", none))
 
 
 def regime_records(m):
     """Regime-engine signals whose regimes see the whole history, so that breakouts can occur."""
-    return S.regime_signals(m.bars, history="full")
+    return S.regime_signals(m.kept_bars, history="full")
 
 
 fragment("sigj", """SELECT s.symbol AS ticker, s.score, s.trend_state AS regime, s.act, R4(s.conf) AS conf, s.close, s.pct, s.n, coalesce(e.score,0) AS news, coalesce(e.summary,'') AS summary, e.heads, e.n AS found
@@ -171,11 +170,11 @@ fragment("al_ins", f"""SELECT ticker, 'INSIDER_TRADE' AS alert_type, ticker || '
 FROM (SELECT *, {_KIND} AS kind, o_orderkey%4 IN (0,2) AS buy, R2(o_totalprice/1e4) AS v, 'S' || CAST(o_custkey % (SELECT n FROM nsup) AS VARCHAR) AS ticker FROM orders) WHERE v>=10""")
 fragment("al_evt", """SELECT ticker, 'CORPORATE_EVENT' AS alert_type, ticker || ': ' || title AS title, title AS body, magnitude*0.8 AS strength,
  CASE WHEN event_type IN ('earnings_beat','partnership') THEN 'bullish' WHEN event_type='regulatory' THEN 'bearish' ELSE 'neutral' END AS direction, 'WATCH' AS suggested_action FROM evts WHERE magnitude>=0.6""")
-fragment("al_reg", """SELECT symbol AS ticker, 'REGIME_ALERT' AS alert_type, symbol || ': ' || regime || ' Regime Detected' AS title, regime AS body, CASE WHEN regime='WHALE' THEN 0.7 ELSE 0.65 END::DOUBLE AS strength,
+fragment("al_reg", """SELECT symbol AS ticker, 'REGIME_ALERT' AS alert_type, symbol || ': ' || regime || ' Regime Detected' AS title, CASE regime WHEN 'WHALE' THEN 'Institutional activity — volume spike + wide-range bar' ELSE 'Breakout — ATR expanding, price at 60-day high/low' END AS body, CASE WHEN regime='WHALE' THEN 0.7 ELSE 0.65 END::DOUBLE AS strength,
  CASE WHEN score>0 THEN 'bullish' ELSE 'bearish' END AS direction, 'WATCH' AS suggested_action FROM regsig_full WHERE n>=200 AND regime IN ('WHALE','BREAKOUT')""")
-_ALL = " UNION ALL ".join(f"SELECT ticker, alert_type, title, body, CAST(strength AS DOUBLE) AS strength, direction, suggested_action FROM {x}" for x in ("al_conf", "al_pat", "al_news", "al_ins", "al_evt"))
+_ALL = " UNION ALL ".join(f"SELECT ticker, alert_type, title, body, CAST(strength AS DOUBLE) AS strength, direction, suggested_action FROM {x}" for x in ("al_conf", "al_pat", "al_reg", "al_news", "al_ins", "al_evt"))
 fragment("al_all", _ALL)
-fragment("radar", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, title ORDER BY strength DESC, alert_type, body) AS r FROM al_all) WHERE r=1")
+fragment("radar", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, title ORDER BY strength DESC, alert_type, body) AS r FROM al_all) WHERE r=1")
 AL = "ticker, alert_type, title, body, R4(strength) AS strength, direction, suggested_action"
 
 
@@ -200,8 +199,9 @@ def event_nodes(m):
 
 
 def streams(m):
-    """Every alert stream of the radar; regimes here are the simple engine's trend labels."""
-    return R.union(R.signal_alerts(base_signals(m), records(m)), insider(m), R.event_alerts(event_nodes(m)))
+    """Every alert stream of the radar; regimes come from the regime engine."""
+    return R.union(R.signal_alerts(m.once("base_signals", base_signals), m.once("records", records)),
+                   R.regime_alerts(regime_records(m)), insider(m), R.event_alerts(event_nodes(m)))
 
 
 def all_alerts(m):
@@ -232,10 +232,10 @@ def alert_pattern(m):
     return shown(R.pattern_alerts(base_signals(m)))
 
 
-@query("alert_regime", f"SELECT {AL.replace('body, ', '')} FROM al_reg")
+@query("alert_regime", f"SELECT {AL} FROM al_reg")
 def alert_regime(m):
     """Breakout and institutional-activity regimes"""
-    return shown(R.regime_alerts(regime_records(m))).drop("body")
+    return shown(R.regime_alerts(regime_records(m)))
 
 
 @query("alert_news", f"SELECT {AL} FROM al_news")
@@ -263,19 +263,19 @@ def radar_scan(m):
 
 
 @query("radar_cards", """SELECT ticker, category, arg_min(title, row(-strength, title)) AS title, arg_min(body, row(-strength, title)) AS body, R4(max(strength)) AS strength, count(*) AS alert_count,
- md5(string_agg(DISTINCT title, '|' ORDER BY title)) AS titles FROM (SELECT *, CASE WHEN alert_type IN ('TA_BSNM_CONFLUENCE','TA_BSNM_BEAR_CONFLUENCE','CHART_PATTERN','REGIME_ALERT') THEN 'technical' ELSE 'news_market' END AS category FROM radar)
- GROUP BY 1,2 HAVING count(*)>1""")
+ CASE WHEN count(*)>1 THEN md5(string_agg(DISTINCT title, '|' ORDER BY title)) END AS titles FROM (SELECT *, CASE WHEN alert_type IN ('TA_BSNM_CONFLUENCE','TA_BSNM_BEAR_CONFLUENCE','CHART_PATTERN','REGIME_ALERT') THEN 'technical' ELSE 'news_market' END AS category FROM radar)
+ GROUP BY 1,2""")
 def radar_cards(m):
     """One card per (ticker, category)"""
-    d = R.cards(all_alerts(m)).where(c("alert_count") > 1)
+    d = R.cards(all_alerts(m))
     return d.select("ticker", "category", "title", "body", rnd(c("strength"), 4).alias("strength"), "alert_count",
-                    F.md5(F.array_join("evidence", "|")).alias("titles"))
+                    F.when(c("alert_count") > 1, F.md5(F.array_join("evidence", "|"))).alias("titles"))
 
 
-@query("alerts_topk", "SELECT ticker, title, R4(strength) AS strength, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM (SELECT * FROM al_ins UNION ALL SELECT * FROM al_evt)) WHERE r<=8")
+@query("alerts_topk", "SELECT ticker, title, R4(strength) AS strength, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM radar) WHERE r<=8")
 def alerts_topk(m):
-    """Eight strongest graph alerts per ticker"""
-    d = R.union(insider(m), R.event_alerts(event_nodes(m)))
+    """Eight strongest alerts per ticker"""
+    d = all_alerts(m)
     from pyspark.sql import Window
     w = Window.partitionBy("ticker").orderBy(c("strength").desc(), "title")
     return d.withColumn("rank", F.row_number().over(w)).where(c("rank") <= 8).select("ticker", "title", rnd(c("strength"), 4).alias("strength"), c("rank").cast("bigint").alias("rank"))
@@ -302,19 +302,19 @@ def union_distinct_ordered(m):
 
 
 @query("portfolio_view", """SELECT w.symbol, s.act AS suggested_action, s.score, R2(h.quantity) AS quantity, R2(h.avg_cost) AS avg_cost, coalesce(a.alerts,'') AS alerts FROM (SELECT * FROM who ORDER BY o LIMIT 20) w
- LEFT JOIN simple s USING (symbol) LEFT JOIN hold h USING (symbol) LEFT JOIN (SELECT ticker AS symbol, string_agg(DISTINCT title, '|' ORDER BY title) AS alerts FROM al_ins GROUP BY 1) a USING (symbol)""")
+ LEFT JOIN simple s USING (symbol) LEFT JOIN hold h USING (symbol) LEFT JOIN (SELECT ticker AS symbol, string_agg(DISTINCT title, '|' ORDER BY title) AS alerts FROM radar GROUP BY 1) a USING (symbol)""")
 def portfolio_view(m):
     """Portfolio rows with signals and alerts"""
-    d = R.portfolio(m.holdings, watchlist(m), S.simple_signals(m.bars), insider(m))
+    d = R.portfolio(m.holdings, watchlist(m), m.once("base_signals", base_signals), all_alerts(m))
     return d.select("symbol", "suggested_action", "score", rnd(c("quantity"), 2).alias("quantity"), rnd(c("avg_cost"), 2).alias("avg_cost"),
                     nz(F.array_join("alerts", "|"), "").alias("alerts"))
 
 
 @query("intel_view", """SELECT s.symbol AS ticker, s.act AS suggested_action, x.s_name AS company, coalesce(a.alerts,'') AS alerts, 's' || substr(s.symbol,2) AS entities FROM simple s JOIN supplier x ON 'S' || CAST(x.s_suppkey AS VARCHAR)=s.symbol
- LEFT JOIN (SELECT ticker, string_agg(title, '|' ORDER BY title) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM al_ins) WHERE r<=8 GROUP BY 1) a ON a.ticker=s.symbol""")
+ LEFT JOIN (SELECT ticker, string_agg(title, '|' ORDER BY title) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM radar) WHERE r<=8 GROUP BY 1) a ON a.ticker=s.symbol""")
 def intel_view(m):
     """Signal, alerts, graph hits and company of every ticker in one row"""
-    d = R.intel(S.simple_signals(m.bars), insider(m), m.nodes, companies(m))
+    d = R.intel(m.once("base_signals", base_signals), all_alerts(m), m.nodes, companies(m))
     return d.select("ticker", "suggested_action", c("name").alias("company"), nz(F.array_join("alerts", "|"), "").alias("alerts"),
                     F.array_join("entities", "|").alias("entities"))
 
@@ -346,10 +346,10 @@ def insights_fill(m):
 
 
 @query("market_overview", """SELECT * FROM (SELECT 'signal' AS section, symbol AS ticker, signal AS label, conviction AS value FROM conv ORDER BY conviction DESC, symbol LIMIT 5)
- UNION ALL SELECT * FROM (SELECT 'alert', ticker, title, R4(strength) FROM al_evt ORDER BY strength DESC, ticker, title LIMIT 3)""")
+ UNION ALL SELECT * FROM (SELECT 'alert', ticker, title, R4(strength) FROM radar ORDER BY strength DESC, ticker, title LIMIT 3)""")
 def market_overview(m):
     """Top signals and top alerts"""
-    d = R.overview(S.with_conviction(S.simple_signals(m.bars)), R.event_alerts(event_nodes(m)))
+    d = R.overview(S.with_conviction(m.once("base_signals", base_signals)), all_alerts(m))
     return d.withColumn("value", rnd(c("value"), 4))
 
 
@@ -361,14 +361,14 @@ def topk_conviction(m):
 
 @query("ticker_context", f"""SELECT q.id, q.symbol, s.symbol || ': ' || s.act || ' score ' || {F2.format('s.score')} || ' regime ' || s.trend_state AS line, coalesce(a.alerts,'') AS alerts
  FROM (SELECT conv_id*1000+turn AS id, unnest(['S' || CAST(conv_id%10 AS VARCHAR), 'S5']) AS symbol, unnest([0,1]) AS j, conv_id FROM conversations) q JOIN simple s ON s.symbol=q.symbol
- LEFT JOIN (SELECT ticker, string_agg(title || ': ' || substr(body,1,120), '; ' ORDER BY title || ': ' || substr(body,1,120)) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM al_evt) WHERE r<=2 GROUP BY 1) a ON a.ticker=q.symbol
+ LEFT JOIN (SELECT ticker, string_agg(title || ': ' || substr(body,1,120), '; ' ORDER BY title || ': ' || substr(body,1,120)) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, title) AS r FROM radar) WHERE r<=2 GROUP BY 1) a ON a.ticker=q.symbol
  WHERE NOT (q.j=1 AND q.conv_id%10=5)""")
 def ticker_context(m):
     """Signal line and alerts for every symbol named in a message"""
     text = e("'buy S' || CAST(conv_id%10 AS STRING) || ' and S5'")
     msgs = m.table("conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), text.alias("text"))
     named = X.mentions(msgs, m.symbols, "id", "text").select("id", "symbol")
-    return R.ticker_context(named, S.simple_signals(m.bars), R.event_alerts(event_nodes(m)))
+    return R.ticker_context(named, m.once("base_signals", base_signals), all_alerts(m))
 
 
 @query("veto_gate", """SELECT symbol AS ticker, CASE WHEN act='BUY' THEN CASE WHEN b<=-0.4 THEN 'Hold' ELSE 'Buy' END WHEN act='HOLD' THEN CASE WHEN b>=0.35 THEN 'Buy' ELSE 'Hold' END ELSE 'Sell' END AS final_action,

@@ -30,7 +30,7 @@ def _obj(**kv):
 fragment("nsup", "SELECT count(*) AS n FROM supplier")
 fragment("art", """SELECT 'S' || CAST(doc_id % (SELECT n FROM nsup) AS VARCHAR) AS ticker, doc_id,
  CASE doc_id%4 WHEN 0 THEN 'marketaux' WHEN 1 THEN 'newsapi' WHEN 2 THEN 'newsdata' ELSE source END AS source,
- substr(split_part(text, chr(10), 1), 1, 200) AS title, text AS content, 'https://news.example/' || CAST(doc_id%700 AS VARCHAR) AS url,
+ split_part(text, chr(10), 1) AS title, text AS content, 'https://news.example/' || CAST(doc_id%700 AS VARCHAR) AS url,
  strftime(DATE '2024-01-01' + CAST(doc_id%30 AS INTEGER), '%Y-%m-%d') AS published_at FROM documents""")
 
 

@@ -1,6 +1,8 @@
 """Bar store, graph snapshots and small state tables."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import day
@@ -11,22 +13,26 @@ BAR = ["symbol", "ts", "open", "high", "low", "close", "volume"]
 
 
 def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
-    """Scan of the bar store; the symbol filter reaches the files and their partitions."""
+    """Scan of the bar store; the symbol filter reaches the files and their partitions.
+
+    The number of buckets is a partition column of the store, so the reader hashes with the
+    writer's number; a folder without it is read by the symbol filter alone."""
     d = spark.read.parquet(path)
     if symbols is not None:
         d = d.where(c("symbol").isin(symbols))
-        if "bucket" in d.columns:
-            ids = spark.createDataFrame([(s,) for s in symbols], "symbol string").select(
-                F.pmod(F.hash("symbol"), F.lit(64)).alias("bucket"))
-            d = d.join(ids.distinct(), "bucket", "left_semi")
-    return d.drop("bucket")
+        if "buckets" in d.columns:
+            asked = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+            counts = [r.buckets for r in spark.read.parquet(path).select("buckets").distinct().collect()]
+            folders = [(n, [r.b for r in asked.select(F.pmod(F.hash("symbol"), F.lit(n)).alias("b")).distinct().collect()]) for n in counts]
+            d = d.where(reduce(lambda x, y: x | y, [(c("buckets") == n) & c("bucket").isin(ids) for n, ids in folders], F.lit(False)))
+    return d.select(*BAR)
 
 
 def write_bars(bars: DataFrame, path: str, buckets: int = 64) -> None:
     """Overwrite the touched partitions. Symbols are hashed into a fixed number of folders,
     so thousands of symbols do not become thousands of tiny folders."""
-    d = bars.select(*BAR).withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(buckets)))
-    (d.repartition("bucket", "symbol").sortWithinPartitions("bucket", "symbol", "ts").write.partitionBy("bucket")
+    d = bars.select(*BAR).withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.hash("symbol"), F.lit(buckets))})
+    (d.repartition("bucket", "symbol").sortWithinPartitions("bucket", "symbol", "ts").write.partitionBy("buckets", "bucket")
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
 
 
@@ -71,7 +77,7 @@ def latest_and_previous(bars: DataFrame) -> DataFrame:
 
 def price_history(bars: DataFrame, n: int = 200) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(c("ts").desc())
-    d = bars.withColumn("_r", F.row_number().over(w)).where(c("_r") <= min(n, 500))
+    d = bars.withColumn("_r", F.row_number().over(w)).where(c("_r") <= n)
     return d.select("symbol", day(c("ts")).alias("date"), *BAR[2:])
 
 

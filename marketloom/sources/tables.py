@@ -1,11 +1,13 @@
 """Typed market tables derived lazily from a folder of parquet tables."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import lookup
+from ..session import cut_lineage
 
 # Provider weights and the reference date all ages are measured from.
 SOURCE_WEIGHT = {"marketaux": 1.0, "newsapi": 0.7, "newsdata": 0.5}
@@ -43,6 +45,7 @@ class Market:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -56,6 +59,17 @@ class Market:
             tick_order())
         return bars.withColumn("symbol", F.concat(F.lit("S"), c("symbol").cast("string")))
 
+    @cached_property
+    def kept_bars(self) -> DataFrame:
+        """The bars computed once and kept in the shared folder, for queries that pass over them several times."""
+        return cut_lineage(self.bars)
+
+    def once(self, name: str, build: Callable[[Market], DataFrame]) -> DataFrame:
+        """A table of few rows per symbol that several parts of one query use, computed once."""
+        if name not in self._kept:
+            self._kept[name] = cut_lineage(build(self))
+        return self._kept[name]
+
     @cached_property
     def ticks(self) -> DataFrame:
         return self.table("events").select(
@@ -86,7 +100,7 @@ class Market:
             F.concat(F.lit("S"), (doc % self.symbol_count).cast("string")).alias("ticker"),
             doc,
             F.coalesce(provider, F.col("source")).alias("source"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("content"),
             F.concat(F.lit("https://news.example/"), (doc % 700).cast("string")).alias("url"),
             F.date_format(F.expr("date_add(DATE '2024-01-01', CAST(doc_id % 30 AS INT))"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as X
 from marketloom.operators import graph as G, kg as K
+from marketloom.operators.components import components
+from marketloom.sources.store import read_bars, write_bars
 
 
 def nodes_of(spark, names, kind="T"):
@@ -52,6 +54,30 @@ def test_vector_search(spark):
     assert [r.vec_id for r in G.vector_search(v, q, 9).orderBy("rank").collect()] == [0, 2, 1, 3]
 
 
+def test_vector_search_takes_any_number_of_questions(spark, monkeypatch):
+    monkeypatch.setattr(G, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(G, "VECTOR_BLOCK", 11)
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame(rows[:40], "query_id long, embedding array<double>")
+    got = {}
+    for r in G.vector_search(v, q, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = [[x / sum(y * y for y in e) ** 0.5 for x in e] for _, e in rows]
+    want = {k: sorted(range(60), key=lambda j: -sum(a * b for a, b in zip(unit[k], unit[j])))[:3] for k in range(40)}
+    assert got == want
+
+
+@pytest.mark.parametrize("buckets", [3, 8, 100])
+def test_bar_store_reads_back_every_symbol(spark, walk, tmp_path, buckets):
+    bars, pdf = walk
+    write_bars(bars, str(tmp_path / "bars"), buckets)
+    for symbol, want in pdf.groupby("symbol").size().items():
+        assert read_bars(spark, str(tmp_path / "bars"), [symbol]).count() == want
+    assert read_bars(spark, str(tmp_path / "bars")).count() == len(pdf)
+
+
 WORDS = ["red", "ring", "small", "big", "anvil", "x", "ab", "abc", "bc", "steel"]
 
 
@@ -103,18 +129,75 @@ def test_fuzzy_dedup_short_long_and_transitive(spark):
     assert sorted((r.from_id, r.to_id, r.confidence) for r in edges.collect()) == [("n001", "n002", 0.5), (dup["n005"], "n002", 0.8)]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
+def test_fuzzy_dedup_equals_brute_force(spark, threshold):
+    names = sorted(set(random_names(5, 90, 2, 6)))
+    dup = {r.id: r.survivor for r in K.duplicate_map(nodes_of(spark, names), edges_of(spark, [("n000", "n001", 0.5)]), threshold).collect()}
+    sets, root = [set(x.split()) for x in names], list(range(len(names)))
+    for _ in names:
+        for i, j in itertools.combinations(range(len(names)), 2):
+            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-12:
+                root[i] = root[j] = min(root[i], root[j])
+    for i, j in itertools.combinations(range(len(names)), 2):
+        assert (dup[f"n{i:03d}"] == dup[f"n{j:03d}"]) == (root[i] == root[j])
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("f", "e"), ("z", "c")], "a string, b string")
-    got = {r.vertex: r.root for r in K.components(pairs).collect()}
+    got = {r.node: r.component for r in components(pairs).collect()}
     assert got == {**{k: "a" for k in "abcz"}, **{k: "d" for k in "def"}}
 
 
-def test_sampling_widens_until_enough(spark):
+def test_components_of_a_large_star(spark):
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = components(star)
+    assert got.count() == 100_001 and got.where("component != 0").isEmpty()
+
+
+def test_pairs_come_from_all_nodes(spark):
     n = nodes_of(spark, [f"x{k}" for k in range(40)]).withColumn("domain", F.when(F.col("id") < "n020", "p").otherwise("q"))
     ids = [f"n{k:03d}" for k in range(40)]
     linked = [(a, b, 1) for a in ids[:20] for b in ids[20:] if (a, b) not in {("n003", "n030"), ("n019", "n039")}]
-    got = K.affinity_pairs(n, edges_of(spark, linked), 5, per_domain=2).collect()
+    got = K.affinity_pairs(n, edges_of(spark, linked), 5).collect()
     assert {(r.a, r.b) for r in got} == {("n003", "n030"), ("n019", "n039")}
+    assert K.affinity_pairs(n.withColumn("domain", F.lit("p")), edges_of(spark, linked), 5).count() == 0
+
+
+def test_every_pair_is_drawn_under_some_seed(spark, monkeypatch):
+    monkeypatch.setattr(K, "DRAW", 4)
+    n = nodes_of(spark, [f"x{k}" for k in range(10)]).withColumn("domain", F.when(F.col("id") < "n005", "p").otherwise("q"))
+    n.cache()
+    none, seen = edges_of(spark, [("n000", "n001", 1)]), set()
+    for seed in range(24):
+        seen |= {(r.a, r.b) for r in K.affinity_pairs(n, none, 100, str(seed)).collect()}
+    assert seen == {(f"n{a:03d}", f"n{b:03d}") for a in range(5) for b in range(5, 10)}
+
+
+def test_resolver_without_types(spark):
+    n = nodes_of(spark, ["Acme Widgets", "Blue Steel Ltd"]).union(nodes_of(spark, ["x", "y", "Zed Group"], "U").where("canonical_name = 'Zed Group'"))
+    q = spark.createDataFrame([("Blue Steel",), ("zed",), ("none",)], "name string")
+    assert {r.name: (r.tier, r.id) for r in K.resolve(q, n).collect()} == {"Blue Steel": (2, "n001"), "zed": (3, "n002")}
+
+
+def test_labels_fill_a_key_without_value(spark):
+    d = spark.sql("SELECT 'e' AS id, 'LLM_AFFINITY' AS relation_type, map('inferred_relation', CAST(NULL AS STRING), 'k', 'v') AS attributes")
+    got = K.label_edges(d, spark.sql("SELECT 'e' AS id, 'moves' AS label")).first().attributes
+    assert got == {"inferred_relation": "moves", "k": "v"}
+
+
+def test_build_keeps_what_it_is_given(spark):
+    n = nodes_of(spark, ["Acme Widgets Ltd", "Blue Steel"], "Organization").withColumns({"description": F.lit("about"), "ticker": F.col("id")})
+    e = edges_of(spark, [("n000", "n001", 0.9)]).withColumns({"relation_type": F.lit("PARTNERED_WITH"), "attributes": F.create_map(F.lit("since"), F.lit("1999")), "created_at": F.lit("2020-01-01").cast("timestamp")})
+    x = spark.sql("""SELECT 'u' AS source_url, array(named_struct('entity_type', 'Organization', 'canonical_name', 'Newco', 'aliases', array('NC'), 'attributes', map('a', '1'), 'confidence', 0.9D)) AS entities,
+      array(named_struct('relation_type', 'ACQUIRED', 'from_entity', 'Newco', 'to_entity', 'acme widgets inc', 'weight', 0.7D, 'attributes', map('price', '5'))) AS relations""")
+    nothing = lambda d: d.where("false").withColumns({"weight": F.lit(1.0), "relation": F.lit("R"), "confidence": F.lit(1.0)})
+    schemas = spark.createDataFrame([], "schema string, from_domain string, to_domain string, from_types array<string>, to_types array<string>")
+    nodes, edges = K.build(x, n, e, K.ontology_types(spark), K.ontology_relations(spark), K.allowed_attributes(spark, {}), nothing, schemas, nothing,
+                           spark.createDataFrame([], "schema string, relation string"), lambda d: d.select("id", F.lit("l").alias("label")))
+    got = {r.relation_type: r for r in edges.collect()}
+    assert got["PARTNERED_WITH"].attributes == {"since": "1999"} and got["PARTNERED_WITH"].created_at.year == 2020
+    assert got["ACQUIRED"].attributes == {"price": "5"} and got["ACQUIRED"].to_id == "n000"
+    assert {(r.description, r.ticker) for r in nodes.collect()} == {("about", "n000"), ("about", "n001"), (None, None)}
 
 
 def test_names(spark):
