@@ -36,13 +36,13 @@ def normalised():
     return F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", "")
 
 
-def arrivals(docs: DataFrame, digest=None) -> DataFrame:
+def arrivals(docs: DataFrame, digest=None, *others) -> DataFrame:
     """One record per row: row (unique), doc_id, digest, n_points, locator. digest: a function of the normalised text."""
     digest = digest or (lambda text: F.sha2(text, 256))
     return docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
         digest(normalised()).alias("digest"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_points"),
-        F.concat_ws("#", F.input_file_name(), F.input_file_block_start()).alias("locator"))
+        F.concat_ws("#", F.input_file_name(), F.input_file_block_start()).alias("locator"), *others)
 
 
 def _best():
@@ -89,7 +89,7 @@ def find_copies(docs: DataFrame, digest=None, files_per_batch: int | None = None
     broken = _differing(docs, groups, records.count(), digest)
     if broken is None:
         return _decided(records, groups, ["digest"])
-    rows = arrivals(docs, digest).withColumn("whole", normalised())
+    rows = arrivals(docs, digest, normalised().alias("whole"))
     clean = _decided(records.join(broken, "digest", "left_anti"), groups, ["digest"])
     apart = stored(rows.join(broken, "digest", "left_semi"), "collisions")
     again = apart.groupBy("digest", "whole").agg(F.count("*").alias("group_size"), _best()).select("digest", "whole", "group_size", *_keeper())
