@@ -34,6 +34,22 @@ def settle(watches: DataFrame, fired: DataFrame) -> DataFrame:
     return d.withColumn("active", c("active") & c("fired_at").isNull())
 
 
+def create(watches: DataFrame, new: DataFrame) -> DataFrame:
+    """Watch table with new watches, described and active; an id that exists is left as it is."""
+    fresh = described(new.join(watches.select("id"), "id", "left_anti")).withColumns({"active": F.lit(True), "fired_at": F.lit(None).cast("timestamp")})
+    return watches.unionByName(fresh.select(*watches.columns))
+
+
+def delete(watches: DataFrame, gone: DataFrame) -> DataFrame:
+    return watches.join(gone.select("id"), "id", "left_anti")
+
+
+def listing(watches: DataFrame) -> DataFrame:
+    """Watches that can still fire, and those that have."""
+    state = F.when(c("fired_at").isNotNull(), "fired").when(c("active"), "waiting").otherwise("paused")
+    return watches.select("id", "ticker", "description", state.alias("state"), "fired_at")
+
+
 def described(watches: DataFrame) -> DataFrame:
     """Default description for watches created without one."""
     text = F.concat_ws(" ", "ticker", "metric", "operator", F.coalesce(c("threshold_num").cast("string"), "threshold_str"))

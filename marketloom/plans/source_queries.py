@@ -127,6 +127,23 @@ def notes_keep_last(m):
     return B.keep_last(notes, [c("conv_id").desc(), c("turn").desc()]).select("id", "role")
 
 
+@query("state_upsert", """SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN c_acctbal+1 ELSE c_acctbal END AS balance FROM customer
+ UNION ALL SELECT -c_custkey-1, c_acctbal FROM customer WHERE c_custkey%5=0""")
+def state_upsert(m):
+    """State table with changed rows replaced and new rows added"""
+    state = m.table("customer").select(c("c_custkey").alias("id"), c("c_acctbal").alias("balance"))
+    changes = (state.where(c("id") % 3 == 0).withColumn("balance", c("balance") + 1)
+               .union(state.where(c("id") % 5 == 0).select(-c("id") - 1, "balance")))
+    return B.upsert(state, changes, ["id"])
+
+
+@query("works_topk", "SELECT topic, id, citations, r AS rank FROM (SELECT lang AS topic, doc_id AS id, length(text) AS citations, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r<=5")
+def works_topk(m):
+    """Five most cited works of every topic"""
+    works = m.table("documents").select(c("lang").alias("topic"), c("doc_id").alias("id"), F.char_length("text").cast("bigint").alias("citations"))
+    return L.most_cited(works, 5)
+
+
 @query("graph_roundtrip", """SELECT relation_type, count(*) AS edges, R3(sum(weight)) AS weight FROM gedges GROUP BY relation_type""")
 def graph_roundtrip(m):
     """Graph snapshot written and loaded, dangling edges dropped"""

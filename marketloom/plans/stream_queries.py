@@ -114,8 +114,21 @@ def watch_table(m):
     return W.settle(w, W.fire(readings(m), w)).select("id", "active", c("fired_at").isNotNull().alias("fired"))
 
 
-@query("stream_watch", """SELECT t || '-' || op AS id, strftime(min(ts),'%Y-%m-%d %H') AS ts FROM hbars b JOIN (SELECT DISTINCT event_type AS t, o AS op, x AS lim FROM events, (SELECT unnest(['>','<']) AS o, unnest([60.0,5.0]) AS x)) w ON w.t=b.symbol
- WHERE (op='>' AND close>lim) OR (op='<' AND close<lim) GROUP BY 1""")
+@query("watch_lifecycle", """SELECT ticker || '-new' AS id, ticker, ticker || ' price > 100.0' AS description, 'waiting' AS state FROM wat WHERE j=0
+ UNION ALL SELECT w.id, w.ticker, w.ticker || ' ' || CASE j WHEN 0 THEN 'price' WHEN 1 THEN 'pct_change' WHEN 2 THEN 'action' ELSE 'volume' END || ' ' || op || CASE WHEN j=2 THEN ' ' || lower(act) WHEN num IS NULL THEN '' ELSE ' ' || CAST(num AS VARCHAR) END,
+ CASE WHEN f.ts IS NOT NULL THEN 'fired' WHEN active THEN 'waiting' ELSE 'paused' END FROM wat w LEFT JOIN fired f USING (id) WHERE k%7<>0""")
+def watch_lifecycle(m):
+    """Watches after a run, some deleted, one created for every symbol"""
+    w = watches(m)
+    w = W.delete(W.settle(w, W.fire(readings(m), w)), w.join(m.symbols.where(c("rank") % 7 == 0).select(c("symbol").alias("ticker")), "ticker", "left_semi"))
+    none = F.lit(None)
+    new = m.symbols.select(F.concat("symbol", F.lit("-new")).alias("id"), c("symbol").alias("ticker"), c("rank"), F.lit(0).alias("j"), F.lit("price").alias("metric"), F.lit(">").alias("operator"),
+                           F.lit(100.0).alias("threshold_num"), none.cast("string").alias("threshold_str"), none.cast("string").alias("description"))
+    return W.listing(W.create(w, new.select(*[x for x in w.columns if x in new.columns]))).drop("fired_at")
+
+
+@query("stream_watch", """SELECT t || '-' || op AS id, t AS ticker, 'close' AS description, arg_min(close, ts) AS current_value, strftime(min(ts),'%Y-%m-%d %H') AS ts FROM hbars b JOIN (SELECT DISTINCT event_type AS t, o AS op, x AS lim FROM events, (SELECT unnest(['>','<']) AS o, unnest([60.0,5.0]) AS x)) w ON w.t=b.symbol
+ WHERE (op='>' AND close>lim) OR (op='<' AND close<lim) GROUP BY 1, 2""")
 def stream_watch(m):
     """Fire-once conditions over the bar stream"""
     feed = bar_feed(m).select(c("symbol").alias("ticker"), "ts", c("close").alias("price"), F.lit(None).cast("double").alias("pct_change"),
@@ -125,7 +138,7 @@ def stream_watch(m):
     w = w.select(F.concat("ticker", F.lit("-"), "operator").alias("id"), "ticker", F.lit("price").alias("metric"), "operator",
                  F.when(c("operator") == ">", 60.0).otherwise(5.0).alias("threshold_num"), F.lit(None).cast("string").alias("threshold_str"),
                  F.lit("close").alias("description"), F.lit(True).alias("active"))
-    return Z.run_available(Z.fire_once(feed, w)).select("id", F.date_format("ts", HOUR).alias("ts"))
+    return Z.run_available(Z.fire_once(feed, w)).select("id", "ticker", "description", "current_value", F.date_format("ts", HOUR).alias("ts"))
 
 
 @query("cache_miss_split", """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, coalesce(h.hit, false) AS hit FROM supplier LEFT JOIN (SELECT DISTINCT user_id%(SELECT n FROM nsup) AS k, true AS hit FROM events WHERE epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(ts)) BETWEEN 0 AND 86399) h ON h.k=s_suppkey""")

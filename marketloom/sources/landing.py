@@ -264,3 +264,9 @@ def refresh_budget(ranked: DataFrame, by: str = "pct_change", top: int = 15, bot
     best = ranked.orderBy(c(by).desc(), "ticker").limit(top)
     worst = ranked.orderBy(c(by).asc(), c("ticker").desc()).limit(bottom)
     return best.select("ticker").union(worst.select("ticker")).distinct()
+
+
+def most_cited(works: DataFrame, k: int = 5) -> DataFrame:
+    """The k most cited works of every topic, most cited first (S20). works: (topic, id, citations)."""
+    w = Window.partitionBy("topic").orderBy(F.col("citations").desc_nulls_last(), "id")
+    return works.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

@@ -58,27 +58,42 @@ def bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "1 hour") -> D
 
 def indicators(bar_stream: DataFrame, wanted: list[str]) -> DataFrame:
     """Recursive indicators per bar with carried state (X09): the batch kernel, resumed from a
-    fixed vector of doubles per symbol, so nothing is recomputed."""
+    fixed vector of doubles per symbol, so nothing is recomputed. A bar that is not newer than
+    the last one of its symbol comes too late for the recursion and is left out."""
     names = list(wanted)
 
     def step(key, batches, state):
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        held = np.array(state.get[0]) if state.exists else fresh_state(1)[:, 0]
-        flat, new = advance_rows(pdf, np.array([0]), np.array([len(pdf)]), held[:, None].copy(), names)
-        state.update((new[:, 0].tolist(),))
+        held, last = state.get if state.exists else (fresh_state(1)[:, 0], None)
+        pdf = _in_time(batches, last)
+        if not len(pdf):
+            return
+        flat, new = advance_rows(pdf, np.array([0]), np.array([len(pdf)]), np.array(held)[:, None].copy(), names)
+        state.update((new[:, 0].tolist(), _newest(pdf)))
         yield pdf[["symbol", "ts", "close"]].assign(**flat)
 
     out = "symbol string, ts timestamp, close double, " + ", ".join(f"{w} double" for w in names)
     return (bar_stream.select("symbol", "ts", "high", "low", "close").groupBy("symbol")
-            .applyInPandasWithState(step, out, "v array<double>", "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(step, out, "v array<double>, last bigint", "append", GroupStateTimeout.NoTimeout))
+
+
+def _in_time(batches, last: int | None) -> pd.DataFrame:
+    """The rows of one key in time order, without those that are not newer than the last one seen."""
+    pdf = pd.concat(list(batches)).sort_values("ts")
+    return pdf if last is None else pdf[pdf["ts"].astype("datetime64[us]").astype("int64") > last]
+
+
+def _newest(pdf: pd.DataFrame) -> int:
+    return int(pdf["ts"].astype("datetime64[us]").astype("int64").iloc[-1])
 
 
 def sticky(bar_stream: DataFrame, first: int = 200, every: int = 28) -> DataFrame:
     """Regime refresh points as keyed state (X05): the last 28 bars and the bar count are kept;
-    a 28-bar slice is emitted at bar counts 200, 228, … for the regime rules."""
+    a 28-bar slice is emitted at bar counts 200, 228, … for the regime rules. Late bars are left out."""
     def step(key, batches, state):
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        n, tail = state.get if state.exists else (0, [])
+        n, tail, last = state.get if state.exists else (0, [], None)
+        pdf = _in_time(batches, last)
+        if not len(pdf):
+            return
         rows = [list(r) for r in tail] + pdf[["high", "low", "close", "volume"]].to_numpy().tolist()
         keep = len(rows) - len(pdf)
         stamps = pdf["ts"].tolist()
@@ -90,11 +105,11 @@ def sticky(bar_stream: DataFrame, first: int = 200, every: int = 28) -> DataFram
                     yield pd.DataFrame({"symbol": key[0], "from_bar": count - 1, "at": stamps[k],
                                         "j": range(every), "high": [r[0] for r in cut], "low": [r[1] for r in cut],
                                         "close": [r[2] for r in cut], "volume": [r[3] for r in cut]})
-        state.update((n + len(pdf), rows[-every:]))
+        state.update((n + len(pdf), rows[-every:], _newest(pdf)))
 
     out = "symbol string, from_bar bigint, at timestamp, j bigint, high double, low double, close double, volume double"
     return (bar_stream.select("symbol", "ts", "high", "low", "close", "volume").groupBy("symbol")
-            .applyInPandasWithState(step, out, "n bigint, tail array<array<double>>", "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(step, out, "n bigint, tail array<array<double>>, last bigint", "append", GroupStateTimeout.NoTimeout))
 
 
 def fire_once(readings: DataFrame, watches: DataFrame) -> DataFrame:

@@ -47,3 +47,13 @@ def test_dedup(spark, walk):
     bars, pdf = walk
     d = Z.run_available(Z.dedup(feed(spark, bars), "symbol", "ts", "900 days"))
     assert sorted(r.symbol for r in d.collect()) == sorted(pdf["symbol"].unique())
+
+
+def test_late_bar_is_left_out(spark, walk):
+    bars, _ = walk
+    late = (F.col("ts") >= "2020-02-01") & (F.col("ts") < "2020-02-03")
+    order = [(F.col("ts") < "2020-03-01") & ~late, late, F.col("ts") >= "2020-03-01"]
+    stream = Z.follow(spark, Z.land(bars.coalesce(1), order), bars.schema, files_per_batch=1)
+    got = Z.run_available(Z.indicators(stream, ["ema50"])).select("symbol", "ts", "ema50").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    want = I.kernels(I.clustered(bars.where(~late)), ["ema50"]).select("symbol", "ts", "ema50").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
