@@ -1,51 +1,12 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
-
-Each step points the neighbours of every node at the least node known there; the edges shrink to
-stars in a number of rounds that grows with the logarithm of the size. A node's least neighbour is a
-map-side combined minimum, never a list. The join that hands the minimum to the neighbours is
-split: nodes with a thousandth of all edges or more (two thousand nodes at most) are matched by a
-broadcast, so that a hub's edges stay spread. Rounds end when the edges no longer change; each is
-written to a shared table.
-"""
+"""Connected components with every round written to a shared table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import components as stars
 from .common import stored
 
-HEAVY_SHARE = 1000
-
-
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with the least of u and its v as m."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("degree")), "least")
-    heavy = F.broadcast(least.filter(F.col("degree") * HEAVY_SHARE >= total).select(F.col("u").alias("hub"), F.col("least").alias("hub_least")))
-    marked = edges.join(heavy, F.col("u") == F.col("hub"), "left")
-    light = marked.filter("hub IS NULL").select("u", "v").join(least.select("u", "least"), "u").select("u", "v", "least")
-    found = light.unionByName(marked.filter("hub IS NOT NULL").select("u", "v", F.col("hub_least").alias("least")))
-    return found.select("u", "v", F.least("u", "least").alias("m"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the least node that can be reached. Nulls and loops are ignored."""
-    pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = stored(pairs, "edges")
-    seen = _mark(pairs)
-    while seen[0]:
-        both = pairs.union(pairs.select("v", "u"))
-        large = _with_least(both, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
-        small = _with_least(large, max(1, large.count()))
-        out = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        pairs = stored(out, "small-star")
-        now = _mark(pairs)
-        if now == seen:
-            break
-        seen = now
-    stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """(node, component) for every node of edges (a, b): the least node that can be reached."""
+    return stars.components(edges, lambda d: stored(d, "components"))
