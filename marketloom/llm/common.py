@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of rows that pass to Python at once while a table is stored; texts and pairs of texts are long rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to a shared table and read back: it is computed once and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the handles of finished steps, so that Spark removes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; df is cheap to count (a stored table)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

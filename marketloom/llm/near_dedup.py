@@ -9,9 +9,10 @@ agree by chance, drops unlikely pairs early; the rest are confirmed on their ful
 threshold itself a pair shares no band with a chance below one in a million.
 
 Bands with at most `COLD` sets give all their pairs. A larger band links each set to at most three
-representatives of its bands; only if its sets still lie in several components after that are the
-sets outside its largest component paired with the sets of other components and like size, which
-misses no pair and keeps a large family linear. Lists in one task never exceed `COLD` entries or
+representatives of its bands. While its sets still lie in several components, those outside the
+largest one meet other members of it in rounds, which halves them in a family of like texts; when
+few are left, or rounds find nothing, they are paired with all sets of other components and like
+size, so no pair is missed and a large family stays linear. Lists in one task never exceed `COLD` entries or
 the number of bands.
 
 Null and empty texts have no sequences and link with nothing. Repeated rows are copies of each
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import stored
+from .common import release, stored
 from .components import components
 
 BUCKETS, MANTISSA, EMPTY = 128, 10, 0xFFFF
-COLD, REPRESENTATIVES = 32, 3
+COLD, REPRESENTATIVES, LINEAR = 32, 3, 4
 #: Room below the threshold for the estimate, five standard deviations of 128 registers.
 ROOM = 0.2
 SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>, registers binary"
@@ -173,7 +174,7 @@ def find_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("least_id"), F.col("uid").alias("keep_uid")))
     classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("uid").alias("cid"), first.alias("first")), "sets")
     sets = full.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "cid")
-    label = components(_links(docs, stored(sets, "distinct-sets"), k, percent)).withColumnRenamed("node", "cid")
+    label = _labels(docs, stored(sets, "distinct-sets"), k, percent).withColumnRenamed("node", "cid")
     named = stored(classes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
     best = stored(named.groupBy("component").agg(F.min("first").alias("best")), "best")
     final = stored(named.join(best, "component").select("n", "s1", "s2", F.col("best.least_id").alias("component_id"), F.col("best.keep_uid").alias("keep_uid")), "components")
@@ -183,8 +184,8 @@ def find_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
         (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"))
 
 
-def _links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between distinct sets that reach the threshold, enough of them to connect all that do."""
+def _labels(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the distinct sets that reach the threshold with another one."""
     bands = sets.select("cid", "n", F.explode("bands").alias("key"))
     groups = stored(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("rep")).filter("size > 1"), "bands")
     cold = bands.join(groups.filter(F.col("size") <= COLD).select("key"), "key")
@@ -197,25 +198,46 @@ def _links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
         reps = hot.filter("cid != rep").groupBy("cid").agg(F.slice(F.sort_array(F.collect_set("rep")), 1, REPRESENTATIVES).alias("reps"))
         pairs = pairs.union(reps.select(F.explode("reps").alias("a"), F.col("cid").alias("b"))).distinct()
     likely = stored(_likely(pairs, sets, percent), "likely")
-    texts = _texts(docs, sets, likely.select("a").union(likely.select("b")).distinct(), k)
-    edges = stored(_confirmed(likely, texts, k, percent), "confirmed")
-    if not any_hot:
-        return edges
-    label = stored(components(edges), "first-components")
-    left = stored(hot.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "hot-labels")
-    parts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
-    main = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    step = float(np.log(100 / percent))
-    grade = F.floor(F.log(F.col("n").cast("double")) / step)
-    open_bands = stored(left.join(main, "key").withColumn("grade", grade), "open-bands")
-    outer = open_bands.filter("component != main").select("key", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), F.col("cid").alias("x"), F.col("component").alias("cx"))
-    inner = open_bands.select("key", "grade", F.col("cid").alias("y"), F.col("component").alias("cy"))
-    more = outer.join(inner, ["key", "grade"]).filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(_likely(more.join(likely, ["a", "b"], "left_anti"), sets, percent), "more-likely")
-    if more.isEmpty():
-        return edges
-    texts = _texts(docs, sets, more.select("a").union(more.select("b")).distinct(), k)
-    return edges.union(stored(_confirmed(more, texts, k, percent), "more-confirmed"))
+    wanted = likely.select("a").union(likely.select("b"))
+    texts = _texts(docs, sets, (wanted.union(hot.select("cid")) if any_hot else wanted).distinct(), k)
+    label = stored(components(_confirmed(likely, texts, k, percent)), "first-components")
+    release(docs.sparkSession)
+    return _closed(hot, label, sets, texts, k, percent) if any_hot else label
+
+
+def _closed(hot: DataFrame, label: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """label after all pairs inside hot bands that could still join two components have been decided.
+
+    Sets outside the largest component of a band meet other members of it, a few in each round,
+    as long as that finds links and all their pairs would be more than `LINEAR` for each row."""
+    edges, before, turn = label.select(F.col("node").alias("a"), F.col("component").alias("b")), None, 0
+    rows = hot.count()
+    while True:
+        left = stored(hot.drop("rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "hot-labels")
+        parts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
+        main = stored(parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.max("members").alias("inside"), F.sum("members").alias("members"))
+                      .filter("inside < members"), "main-components")
+        open_ = main.agg(F.sum(F.col("members") - F.col("inside")).alias("outer"), F.sum((F.col("members") - F.col("inside")) * F.col("members")).alias("pairs")).first()
+        if not open_.outer:
+            return label
+        bands = left.join(main.select("key", "main"), "key")
+        outer = bands.filter("component != main")
+        if open_.pairs <= LINEAR * rows or (before is not None and open_.outer > 0.9 * before):
+            break
+        before, turn = open_.outer, turn + 1
+        reps = bands.filter("component = main").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("rep"))
+        some = outer.join(reps, "key").groupBy("cid").agg(F.slice(F.sort_array(F.collect_set("rep")), 1, REPRESENTATIVES).alias("reps"))
+        pairs = some.select(F.explode("reps").alias("x"), F.col("cid").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = edges.union(stored(_confirmed(stored(_likely(pairs, sets, percent), "round-likely"), texts, k, percent), "round-confirmed"))
+        label = stored(components(edges), "round-components")
+        edges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        release(label.sparkSession)
+    grade = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    graded = stored(bands.withColumn("grade", grade), "open-bands")
+    outside = graded.filter("component != main").select("key", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), F.col("cid").alias("x"), F.col("component").alias("cx"))
+    inside = graded.select("key", "grade", F.col("cid").alias("y"), F.col("component").alias("cy"))
+    more = outside.join(inside, ["key", "grade"]).filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return components(edges.union(_confirmed(stored(_likely(more, sets, percent), "more-likely"), texts, k, percent)))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
