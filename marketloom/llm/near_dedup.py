@@ -11,8 +11,8 @@ threshold itself a pair shares no band with a chance below one in a million.
 Bands with at most `COLD` sets give all their pairs. A larger band links each set to at most three
 representatives of its bands. While its sets still lie in several components, those outside the
 largest one meet other members of it in rounds, which halves them in a family of like texts; when
-few are left, or rounds find nothing, they are paired with all sets of other components and like
-size, so no pair is missed and a large family stays linear. Lists in one task never exceed `COLD` entries or
+few are left, or rounds find nothing, those with enough sequences that any other set holds are paired
+with all sets of other components and like size, so no pair is missed. Lists in one task never exceed `COLD` entries or
 the number of bands.
 
 Null and empty texts have no sequences and link with nothing. Repeated rows are copies of each
@@ -234,12 +234,27 @@ def _closed(hot: DataFrame, label: DataFrame, sets: DataFrame, texts: DataFrame,
         release(label.sparkSession)
     grade = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
     graded = stored(bands.withColumn("grade", grade), "open-bands")
-    outside = graded.filter("component != main").select("key", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), F.col("cid").alias("x"), F.col("component").alias("cx"))
+    lonely = _lonely(texts.join(bands.select("cid").distinct(), "cid", "left_semi"), k)
+    outside = graded.filter("component != main").join(lonely, "cid", "left").filter((F.col("n") - F.coalesce("lonely", F.lit(0))) * 100 >= F.col("n") * percent)
+    outside = outside.select("key", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), F.col("cid").alias("x"), F.col("component").alias("cx"))
     inside = graded.select("key", "grade", F.col("cid").alias("y"), F.col("component").alias("cy"))
     more = outside.join(inside, ["key", "grade"]).filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return components(edges.union(_confirmed(stored(_likely(more, sets, percent), "more-likely"), texts, k, percent)))
 
 
+def _lonely(texts: DataFrame, k: int) -> DataFrame:
+    """(cid, lonely): how many sequences of a set are in no other of these sets; too many of them rule out every partner."""
+    def run(batches):
+        for batch in batches:
+            for part in textscan.slices(batch, 1):
+                text, value = shingle_sets(part.column(1), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column(0))[text]), pa.array(value.view(np.int64))], ["cid", "value"])
+
+    values = texts.select("cid", "text").mapInArrow(run, "cid long, value long")
+    single = values.groupBy("value").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).filter("n = 1")
+    return single.groupBy("cid").agg(F.count("*").alias("lonely"))
+
+
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cid, text) of the wanted sets, one row each."""
     who = sets.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", "doc_id", "n", "s1", "s2")
