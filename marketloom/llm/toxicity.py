@@ -6,7 +6,8 @@ letters put between those of an insult, or endings added to it, only lower the v
 outer punctuation (longer ones in overlapping windows) and runs of single letters joined together.
 
 Training: every sentence of a clean document is clean; a unit is a likely insult if documents with
-the label hold it far more often than documents without. Landmarks are the strongest such units;
+the label hold it far more often than documents without, and so many of them that chance would hardly give
+one such unit among all; how common other units are does not matter. Landmarks are the strongest such units;
 units are mapped to the landmarks' space (Nyström) and a linear machine with squared hinge is
 solved there by Newton steps, with variants of the positives that have characters inserted, and
 with the worst clean units of all training documents added round by round. At most `MAX_ROWS`
@@ -33,8 +34,8 @@ from .common import stored
 
 #: Labelled documents, landmarks, positive and clean units of the machine, rounds of adding worst clean units.
 MAX_ROWS, LANDMARKS, POSITIVES, CLEAN, ROUNDS = 40_000, 64, 1_000, 8_000, 3
-#: Documents that must hold a likely insult (at least, and as a share of the commonest one's), and how much likelier it must be under the label.
-MIN_DOCUMENTS, MIN_SHARE, MIN_RATIO = 3, 0.02, 20.0
+#: Documents that must hold a likely insult, how much likelier it must be under the label, and how many units may pass by chance.
+MIN_DOCUMENTS, MIN_RATIO, BY_CHANCE = 3, 20.0, 0.05
 DECAY, PENALTY, CLEAN_WEIGHT, SOFT, BINS = 0.7, 100.0, 1.0, 1.0, 4000
 #: Longest unit in bytes; longer words are taken in windows that overlap by half.
 LONGEST = 24
@@ -261,11 +262,15 @@ def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PEN
 
 def fit(words: DataFrame) -> Machine | None:
     """The machine of a stored vocabulary; None if it has no likely insult. Only bounded lists reach the driver."""
-    sums = words.agg(F.max("toxic").alias("t"), F.max("clean").alias("c")).first()
+    sums = words.agg(F.max("toxic").alias("t"), F.max("clean").alias("c"), F.count("*").alias("n")).first()
     if not sums.t:
         return None
+    # log-likelihood ratio of the unit's documents against the label's share of all documents
+    share = sums.t / (sums.t + max(sums.c or 0, 1))
+    n = F.col("toxic") + F.col("clean")
+    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0))
     ratio = (F.col("toxic") / F.lit(float(sums.t))) / ((F.col("clean") + 0.5) / F.lit(float(max(sums.c or 0, 1))))
-    likely = words.filter(F.col("toxic") >= max(MIN_DOCUMENTS, MIN_SHARE * sums.t)).filter(ratio >= MIN_RATIO).withColumn("worth", F.col("toxic") * F.log(ratio))
+    likely = words.filter(F.col("toxic") >= MIN_DOCUMENTS).filter((ratio >= MIN_RATIO) & (evidence >= 2 * np.log(sums.n / BY_CHANCE))).withColumn("worth", F.col("toxic") * F.log(ratio))
     rows = likely.orderBy(F.desc("worth"), "unit").limit(POSITIVES).select("unit", "toxic").collect()
     insults, often = [r.unit for r in rows], np.sqrt([float(r.toxic) for r in rows])
     if not insults:

@@ -55,6 +55,26 @@ def test_insults_and_their_variants_are_found(spark):
     assert (machine.score(pa.array(texts)) >= 0.5).tolist() == [True] * 6 + [False] * 4
 
 
+def test_many_rare_insults_are_learnt(spark):
+    """100 insults of equal frequency, each in a hundredth of the toxic documents, beside a word that all hold."""
+    rng = random.Random(12)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    bad = [make("bcdfghjkz", 9) for _ in range(100)]
+    clean = [make("aeilmnorstu", rng.randrange(3, 8)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(9000):
+        w = ["the", *rng.choices(clean, k=12)]
+        if i % 6 == 0:
+            w.insert(rng.randrange(len(w)), bad[i // 6 % 100])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, known)
+    assert machine is not None
+    assert (machine.score(pa.array([f"you {x} there" for x in bad])) >= 0.5).all()
+    assert (machine.score(pa.array([f"you {x} there" for x in clean])) < 0.5).all()
+
+
 def test_awkward_rows(spark):
     rows, docs, labels = corpus(spark, 200)
     none = toxicity.score_all(awkward(spark), labels.filter("toxic = 0"))
