@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, near_dedup, passages, quality_model, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, centroids, exact_dedup, mixing, near_dedup, passages, quality_model, quality_rules, token_counts, toxicity, url_filter, whitening
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -190,3 +190,34 @@ def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.repeated_passages(table(spark, folder, "documents"))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "source_id",
                         F.col("source_start").alias("source_start_word"), F.col("source_end").alias("source_end_word"), "similarity")
+
+
+def centroids_sql(k: int, rounds: int, seed: int, dim: int) -> str:
+    """The rounds of the clustering one after the other, on one row per vector and component."""
+    parts = [f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dim}),
+xs AS MATERIALIZED (SELECT rid, unnest(range({dim})) AS d, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept),
+starts AS (SELECT rid, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS j FROM kept ORDER BY j LIMIT {k}),
+c0 AS MATERIALIZED (SELECT j, d, x AS c FROM starts JOIN xs USING (rid))"""]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (SELECT rid, arg_min(j, struct_pack(q := q, j := j)) AS j, min(q) AS q
+  FROM (SELECT rid, j, sum((x - c) * (x - c))::BIGINT AS q FROM xs JOIN c{t} USING (d) GROUP BY rid, j) GROUP BY rid)""")
+        if t < rounds:
+            parts.append(f"""m{t} AS (SELECT j, d, sum(x)::BIGINT AS s, count(*) AS n FROM xs JOIN a{t} USING (rid) GROUP BY j, d),
+c{t + 1} AS MATERIALIZED (SELECT c.j, c.d, CASE WHEN m.n IS NULL THEN c.c ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS c FROM c{t} c LEFT JOIN m{t} m ON c.j = m.j AND c.d = m.d)""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, j::INTEGER AS cluster, q AS distance, (sum(q) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(q) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN (SELECT j, sha256(string_agg(c::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY j) USING (j)"""
+
+
+@query(centroids_sql(8, 10, 3, 64))
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, exact distance and centroid digest of every vector after ten rounds."""
+    return centroids.cluster(table(spark, folder, "embeddings"), 8, 10, 3, 64)
+
+
+@query()
+def op13_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the eight strongest components at unit variance."""
+    found = whitening.whiten(table(spark, folder, "embeddings"), 8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))  # null beyond 64 bits
