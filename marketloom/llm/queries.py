@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, exact_dedup, mixing, near_dedup, passages, quality_model, quality_rules, token_counts, toxicity, url_filter, whitening
+from . import byte_bpe, centroids, exact_dedup, language_model, mixing, near_dedup, passages, quality_model, quality_rules, token_counts, toxicity, url_filter, whitening
 from .common import stored
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -216,6 +216,12 @@ def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"), 8, 10, 3, 64)
 
 
+@query()
+def op12_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every whole text under a recurrent model learnt without the held-out tenth."""
+    return language_model.score_all(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 @query()
 def op13_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector on the eight strongest components at unit variance."""
