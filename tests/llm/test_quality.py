@@ -87,7 +87,37 @@ def test_fences_follow_the_group(spark):
     short = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6))) for _ in range(80))
     rows += [(999, short, "en", "s0"), (1001, " ".join("y" * 90 + str(i) for i in range(80)), "en", "s1")]
     kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert kept == set(range(600)) | {999}
+    assert kept == set(range(600))  # short words do not belong to the source of long ones
+
+
+def prose(rng, n=80):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("n,percent", [(400, 0), (400, 10), (400, 30), (20, 10), (199, 25), (201, 25)])
+def test_spam_is_rejected_however_much_a_source_holds(spark, n, percent):
+    rng, bad = random.Random(n + percent), set(range(n * percent // 100))
+    rows = [(i, prose(rng) + " $$ %% ##" * 12 if i in bad else prose(rng), "en", "s") for i in range(n)]
+    rows += [(1000 + i, prose(rng), "en", "other") for i in range(100)]
+    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == {r[0] for r in rows} - bad
+
+
+def test_equal_values_leave_room(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng) + ("" if i % 25 else "\nsame line\nsame line"), "en", "s") for i in range(300)]  # all quartiles of repeated lines are 0
+    rows += [(999, prose(rng) + "\nx" * 40, "en", "s")]
+    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(300))
+
+
+def test_values_at_a_fence_stay(spark):
+    cells = spark.createDataFrame([("en", "s", "symbols", 0, 100)], "lang string, source string, name string, cell long, n long")
+    assert quality_rules.fences(cells).first().symbols_at_most == 200
+    rows = [(i, " ".join(["word"] * 3 + [f"w{j}" for j in range(97)]), "en", "s") for i in range(100)]
+    rows += [(200 + k, " ".join(["$" * (20 + k)] + [f"w{j}" for j in range(99)]), "en", "s") for k in (0, 1)]  # 200 and 210 thousandths
+    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(100)) | {200}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
