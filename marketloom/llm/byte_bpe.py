@@ -5,13 +5,18 @@ pattern always ends a match (a space between two letters) and around very long r
 space, which the library's pattern engine cannot match; pieces stay small and ids stay the same.
 Ids are decoded to raw bytes, as one id need not be a whole character.
 
-Null texts encode as empty texts, to no ids; ids of null decode to no bytes. Extra columns pass
-through untouched; an earlier column with the name of the result is replaced.
+`encode` and `decode` give ids and bytes as columns; `digests` encodes and decodes text by text in one
+pass and returns four small columns, so no list of ids leaves a worker.
+
+Null texts encode as empty texts, to no ids; ids of null decode to no bytes. Repeated rows are rows of
+their own, an empty table gives an empty table. Extra columns pass through untouched; an earlier column
+with the name of the result is replaced.
 """
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts above this many characters are cut; pieces are about this long.
@@ -33,6 +39,10 @@ _RUN = regex.compile("[%s]{%d,}" % (_WHITE, LONG_RUN))
 _SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
+#: A pattern that takes a whole text as one match.
+WHOLE = r"[\s\S]+"
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     """The library's encoder for a rank file, built once for each worker."""
@@ -41,6 +51,13 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def _whole(enc: tiktoken.Encoding) -> tiktoken.Encoding:
+    """The same vocabulary for pieces that are one match; built only where a text has such a piece."""
+    ranks = {enc.decode_single_token_bytes(i): i for i in range(enc.n_vocab)}
+    return tiktoken.Encoding("whole", pat_str=WHOLE, mergeable_ranks=ranks, special_tokens={})
+
+
 def safe_pieces(text: str, size: int = PIECE) -> list[tuple[str, bool]]:
     """Pieces of a text and whether each is one match of the pattern; encoding them one by one gives the same ids."""
     out, at = [], 0
@@ -64,13 +81,39 @@ def safe_pieces(text: str, size: int = PIECE) -> list[tuple[str, bool]]:
     return out
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+def encode_pieces(enc: tiktoken.Encoding, text: str):
+    """The ids of a text, piece by piece."""
     if len(text) <= LONG_RUN:
-        return np.array(enc.encode_ordinary(text), dtype=np.int32)
-    ids: list[int] = []
+        yield enc.encode_ordinary(text)
+        return
     for piece, whole in safe_pieces(text):
-        ids += enc._encode_single_piece(piece) if whole else enc.encode_ordinary(piece)
-    return np.array(ids, dtype=np.int32)
+        yield (_whole(enc) if whole else enc).encode_ordinary(piece)
+
+
+def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    return np.array([i for ids in encode_pieces(enc, text) for i in ids], dtype=np.int32)
+
+
+def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids joined by a space) and decoded_sha256 (bytes that the ids decode to) of every text."""
+    def run(batches):
+        enc = encoding(rank_file, pattern)
+        for batch in batches:
+            counts, coded, decoded = [], [], []
+            for text in batch.column(1):
+                n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in encode_pieces(enc, text.as_py() or ""):
+                    if ids:
+                        a.update((" " if n else "").encode() + " ".join(map(str, ids)).encode())
+                        b.update(enc.decode_bytes(ids))
+                        n += len(ids)
+                counts.append(n)
+                coded.append(a.hexdigest())
+                decoded.append(b.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _by_size(batch: pa.RecordBatch, sizes: np.ndarray, limit: int):

@@ -14,8 +14,10 @@ from ..session import shared_folder
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A small side is broadcast only when it has at most this many rows (of a few numbers each).
-BROADCAST_ROWS = 50_000
+#: A small side is broadcast only when its values take at most this many bytes.
+BROADCAST_BYTES = 8 << 20
+#: Bits of the filter of `key_filter`: 8 MB, whatever the size of the tables.
+FILTER_BITS = 1 << 26
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,7 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no later step reads."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
 
 
 def release(spark: SparkSession) -> None:
@@ -57,8 +67,32 @@ def release(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; df is cheap to count (a stored table)."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if its measured bytes are few; df is cheap to read (a stored table)."""
+    width = sum([F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes], F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def key_filter(keys: DataFrame, *names: str) -> DataFrame:
+    """A filter of the keys as one bitmap of `FILTER_BITS` bits: at most 2,049 rows of 4 KB, however many keys there are."""
+    bit = _bit(names)
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("filter_bits"))
+
+
+def _bit(names) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
+
+
+def split_by(rows: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that surely have none), told apart without moving a row.
+
+    With very many keys the filter lets more rows pass as possible ones; both parts together are always all rows."""
+    bit = _bit(names)
+    marked = rows.withColumn("filter_bucket", F.bitmap_bucket_number(bit)).withColumn("filter_place", F.bitmap_bit_position(bit))
+    marked = marked.join(F.broadcast(key_filter(keys, *names)), "filter_bucket", "left")
+    byte = "CAST(conv(hex(substring(filter_bits, CAST(filter_place DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    marked = marked.withColumn("may", F.expr(f"coalesce((shiftright({byte}, CAST(filter_place % 8 AS INT)) & 1) = 1, false)"))
+    marked = marked.drop("filter_bucket", "filter_place", "filter_bits")
+    return marked.filter("may").drop("may"), marked.filter("NOT may").drop("may")
 
 
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:

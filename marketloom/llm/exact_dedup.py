@@ -9,8 +9,9 @@ Copies meet as partial aggregates of each task, so a group of any size reaches i
 row per task.
 
 A digest seen more than once is a hit, and the full bytes of all its rows are compared: within a
-group the least and the greatest normalised text must be the same. The groups that hold at least
-a thousandth of all rows (a thousand groups at most) are spread over salts for it. Should two
+group the least and the greatest normalised text must be the same. A bitmap of the hits of fixed size
+tells each task which of its rows can be hits, so texts seen once are not moved. The groups that hold
+at least a thousandth of all rows (a thousand groups at most) are spread over salts for it. Should two
 different texts share a digest, that digest's rows are grouped again by their full text.
 
 Null texts count as empty texts, and all empty texts are equal. The row with the most code points
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, same, scratch, stored
+from .common import SPACE, scratch, split_by, stored
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -109,22 +110,28 @@ def _differing(docs: DataFrame, groups: DataFrame, n_rows: int, digest=None) ->
     salted = hits.filter(F.col("group_size") * HOT_SHARE < n_rows).select("digest", F.lit(0).alias("salt")).unionByName(hot)
     hot_digests = F.broadcast(hot.filter("salt = 0").select(F.col("digest").alias("hot_digest")))  # a thousand rows at most
     texts = docs.select("doc_id", normalised().alias("whole"))
-    texts = texts.withColumn("digest", digest(F.col("whole"))).join(hot_digests, F.col("digest") == F.col("hot_digest"), "left")
-    texts = texts.select("digest", F.when(F.col("hot_digest").isNull(), 0).otherwise(F.pmod(F.hash("doc_id"), F.lit(SALTS))).alias("salt"), "whole")
-    ends = (texts.join(salted, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("whole").alias("low"), F.max("whole").alias("high"))
+    texts, _ = split_by(texts.withColumn("digest", digest(F.col("whole"))), hits, "digest")
+    texts = texts.join(hot_digests, F.col("digest") == F.col("hot_digest"), "left")
+    spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    texts = texts.select("digest", F.when(F.col("hot_digest").isNull(), 0).otherwise(spread).alias("salt"), "whole")
+    # the same kind of join at every size
+    ends = (texts.join(salted.hint("merge"), ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("whole").alias("low"), F.max("whole").alias("high"))
             .groupBy("digest").agg((F.min("low") != F.max("high")).alias("differ")))
     broken = stored(ends.filter("differ").select("digest"), "broken")
     return None if broken.isEmpty() else broken
 
 
 def drop_copies(docs: DataFrame, digest=None) -> DataFrame:
-    """docs without the rows that are copies of another row."""
-    found = find_copies(docs, digest)
-    kept = stored(found.filter("kept").select("doc_id", "digest"), "kept")
-    key = (digest or (lambda text: F.sha2(text, 256)))(normalised())
-    rows = docs.withColumn("copy_digest", key)
-    out = rows.join(kept, same(rows, kept, "doc_id") & (rows["copy_digest"] == kept["digest"]), "left_semi")
-    if found.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        return out.drop("copy_digest")
-    longest = F.max_by(F.struct(*[docs[c] for c in docs.columns]), F.char_length(F.coalesce(F.col("text"), F.lit(""))))
-    return out.groupBy("doc_id", "copy_digest").agg(longest.alias("copy_row")).select("copy_row.*")
+    """docs without the rows that are copies of another row; rows of digests seen once are not moved."""
+    digest = digest or (lambda text: F.sha2(text, 256))
+    found = stored(find_copies(docs, digest).select("doc_id", "digest", "kept"), "found")
+    hits = stored(found.groupBy("digest").count().filter("count > 1").select("digest"), "hits")
+    rows = docs.select("doc_id", digest(normalised()).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("copy_row"))
+    maybe, alone = split_by(rows, hits, "digest")
+    kept, _ = split_by(found.filter("kept").select("doc_id", "digest"), hits, "digest")
+    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "digest": "kept_digest"}).hint("merge")
+    out = maybe.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    if not found.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        longest = F.max_by("copy_row", F.char_length(F.coalesce(F.col("copy_row.text"), F.lit(""))))
+        out = out.groupBy("doc_id", "digest").agg(longest.alias("copy_row"))
+    return alone.select("copy_row.*").unionByName(out.select("copy_row.*"))

@@ -67,11 +67,7 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    files = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), *files).drop("text"), *files)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                        F.sha2("raw", 256).alias("decoded_sha256"))
+    return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 COPIES_SQL = r"""
@@ -115,17 +111,21 @@ base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
 measures AS (SELECT rid, lang, source, base_failed, unnest(['mean_word', 'symbols', 'dup_lines', 'repeats']) AS name,
   unnest([1000 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_dup_lines // n_words, 1000 * n_repeat_words // n_words]) AS m FROM base WHERE n_words > 0),
 cells AS (SELECT lang, source, name, (m >> greatest(length(bin(m)) - 7, 0)) << greatest(length(bin(m)) - 7, 0) AS cell FROM measures WHERE NOT base_failed),
-levels AS (SELECT 1 AS level, lang, source, name, cell FROM cells UNION ALL SELECT 2, lang, NULL, name, cell FROM cells UNION ALL SELECT 3, NULL, NULL, name, cell FROM cells),
-merged AS (SELECT level, lang, source, name, cell, count(*) AS n FROM levels GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, name ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, source, name) AS total FROM merged),
-quantiles AS (SELECT level, lang, source, name, max(total) AS total, min(cell) FILTER (upto * 100 >= total * 5) AS low,
-  min(cell) FILTER (upto * 100 >= total * 50) AS mid, min(cell) FILTER (upto * 100 >= total * 95) AS high FROM ranked GROUP BY ALL),
-fences AS (SELECT *, CASE WHEN name = 'mean_word' THEN low - 4 * (mid - low) ELSE 0 END AS at_least, high + 4 * (high - mid) AS at_most FROM quantiles),
-judged AS (SELECT m.rid, bool_and(m.m >= coalesce(o.at_least, l.at_least, e.at_least) AND m.m <= coalesce(o.at_most, l.at_most, e.at_most)) AS inside
-  FROM measures m
-  LEFT JOIN fences o ON o.level = 1 AND o.total >= 200 AND m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source AND m.name = o.name
-  LEFT JOIN fences l ON l.level = 2 AND l.total >= 200 AND m.lang IS NOT DISTINCT FROM l.lang AND m.name = l.name
-  LEFT JOIN fences e ON e.level = 3 AND m.name = e.name
+counted AS (SELECT lang, source, name, cell, count(*) AS n FROM cells GROUP BY ALL),
+levels AS (SELECT 2 AS level, lang, name, cell, sum(n) AS n FROM counted GROUP BY ALL UNION ALL SELECT 3, NULL, name, cell, sum(n) FROM counted GROUP BY name, cell),
+parts AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, name ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, name) AS total FROM levels),
+points AS (SELECT level, lang, name, p, min(cell) AS cell FROM parts, (SELECT unnest(range(5, 100, 10)) AS p) WHERE upto * 100 >= total * p GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, name FROM counted),
+blended AS (SELECT * FROM counted UNION ALL SELECT g.lang, g.source, g.name, cell, CASE level WHEN 2 THEN 5 ELSE 1 END
+  FROM groups g JOIN points p ON g.name = p.name AND (level = 3 OR g.lang IS NOT DISTINCT FROM p.lang)),
+merged AS (SELECT lang, source, name, cell, sum(n) AS n FROM blended GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, name ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, source, name) AS total FROM merged),
+quartiles AS (SELECT lang, source, name, min(cell) FILTER (upto * 100 >= total * 25) AS low, min(cell) FILTER (upto * 100 >= total * 50) AS mid,
+  min(cell) FILTER (upto * 100 >= total * 75) AS high FROM ranked GROUP BY ALL),
+fences AS (SELECT lang, source, name, CASE WHEN name = 'mean_word' THEN mid - 4 * greatest(high - mid, least_spread) ELSE 0 END AS at_least, mid + 4 * greatest(mid - low, least_spread) AS at_most
+  FROM quartiles JOIN (VALUES ('mean_word', 300), ('symbols', 50), ('dup_lines', 25), ('repeats', 75)) AS f(name, least_spread) USING (name)),
+judged AS (SELECT m.rid, bool_and(m.m >= f.at_least AND m.m <= f.at_most) AS inside
+  FROM measures m JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND m.name = f.name
   GROUP BY m.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
 FROM base LEFT JOIN judged ON base.rid = judged.rid"""

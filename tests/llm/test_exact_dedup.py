@@ -48,3 +48,31 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.select("doc_id").collect()) == [0, 3, 4, 5, 7, 8, 9, 10]
     assert exact_dedup.find_copies(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    rows, docs = table(spark)
+    names = ("copy_digest", "digest", "kept", "copy_row", "may", "row", "filter_bits")
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    kept = exact_dedup.drop_copies(wide)
+    assert kept.columns == wide.columns and {tuple(r[n] for n in names) for r in kept.collect()} == {names}
+    assert {r.doc_id for r in kept.collect()} == {k for k, _ in copies(rows).values()}
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    from marketloom.llm import common
+
+    rows, docs = table(spark)
+    monkeypatch.setattr(common, "FILTER_BITS", 3)  # every row may be a hit
+    assert result(exact_dedup.find_copies(docs)) == copies(rows)
+    assert {r.doc_id for r in exact_dedup.drop_copies(docs).collect()} == {k for k, _ in copies(rows).values()}
+
+
+def test_filter_never_loses_a_key(spark):
+    from marketloom.llm.common import split_by
+
+    keys, rows = spark.range(0, 40_000, 7), spark.range(40_000)
+    maybe, none = split_by(rows, keys, "id")
+    assert maybe.count() + none.count() == 40_000 and none.filter("id % 7 = 0").count() == 0
+    assert maybe.count() < 5_800
+    assert split_by(rows, keys.limit(0), "id")[0].count() == 0
