@@ -11,23 +11,26 @@ threshold itself a pair shares no band with a chance below one in a million.
 Bands with at most `COLD` sets give all their pairs. A larger band links each set to at most three
 representatives of its bands. While its sets still lie in several components, those outside the
 largest one meet other members of it in rounds, which halves them in a family of like texts; when
-few are left, or rounds find nothing, those with enough sequences that any other set holds are paired
-with all sets of other components and like size, so no pair is missed. Lists in one task never exceed `COLD` entries or
-the number of bands.
+few are left, or rounds find nothing, the rest is closed by a prefix filter: sequences are ordered by
+how many open sets hold them, two sets at the threshold share one of their rarest ones at a place that
+leaves enough sequences after it, and only such pairs are compared, so none is missed and like texts
+below the threshold, which share only their common sequences, do not meet. Lists in one task never
+exceed `COLD` entries or the number of bands.
 
 Null and empty texts have no sequences and link with nothing. Repeated rows are copies of each
-other; a null doc_id can be linked and never names a component while another member has an id. Only
-doc_id and text are read.
+other; a null doc_id can be linked and never names a component while another member has an id. Very long
+texts are scanned in runs of a few megabytes. An empty table gives an empty result. Only doc_id and text
+are read; columns with any other name pass through `drop_copies` untouched.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import release, stored
+from .common import discard, release, split_by, stored
 from .components import components
 
 BUCKETS, MANTISSA, EMPTY = 128, 10, 0xFFFF
@@ -200,7 +203,8 @@ def _labels(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
     likely = stored(_likely(pairs, sets, percent), "likely")
     wanted = likely.select("a").union(likely.select("b"))
     texts = _texts(docs, sets, (wanted.union(hot.select("cid")) if any_hot else wanted).distinct(), k)
-    label = stored(components(_confirmed(likely, texts, k, percent)), "first-components")
+    label = components(_confirmed(likely, texts, k, percent))
+    discard(likely)
     release(docs.sparkSession)
     return _closed(hot, label, sets, texts, k, percent) if any_hot else label
 
@@ -210,9 +214,10 @@ def _closed(hot: DataFrame, label: DataFrame, sets: DataFrame, texts: DataFrame,
 
     Sets outside the largest component of a band meet other members of it, a few in each round,
     as long as that finds links and all their pairs would be more than `LINEAR` for each row."""
-    edges, before, turn = label.select(F.col("node").alias("a"), F.col("component").alias("b")), None, 0
+    before, turn = None, 0
     rows = hot.count()
     while True:
+        edges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
         left = stored(hot.drop("rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "hot-labels")
         parts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
         main = stored(parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.max("members").alias("inside"), F.sum("members").alias("members"))
@@ -221,38 +226,52 @@ def _closed(hot: DataFrame, label: DataFrame, sets: DataFrame, texts: DataFrame,
         if not open_.outer:
             return label
         bands = left.join(main.select("key", "main"), "key")
-        outer = bands.filter("component != main")
         if open_.pairs <= LINEAR * rows or (before is not None and open_.outer > 0.9 * before):
             break
         before, turn = open_.outer, turn + 1
         reps = bands.filter("component = main").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("rep"))
-        some = outer.join(reps, "key").groupBy("cid").agg(F.slice(F.sort_array(F.collect_set("rep")), 1, REPRESENTATIVES).alias("reps"))
+        some = bands.filter("component != main").join(reps, "key").groupBy("cid").agg(F.slice(F.sort_array(F.collect_set("rep")), 1, REPRESENTATIVES).alias("reps"))
         pairs = some.select(F.explode("reps").alias("x"), F.col("cid").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = edges.union(stored(_confirmed(stored(_likely(pairs, sets, percent), "round-likely"), texts, k, percent), "round-confirmed"))
-        label = stored(components(edges), "round-components")
-        edges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        likely = stored(_likely(pairs, sets, percent), "round-likely")
+        old, label = label, components(edges.union(_confirmed(likely, texts, k, percent)))
+        discard(old, left, main, likely)
         release(label.sparkSession)
-    grade = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    graded = stored(bands.withColumn("grade", grade), "open-bands")
-    lonely = _lonely(texts.join(bands.select("cid").distinct(), "cid", "left_semi"), k)
-    outside = graded.filter("component != main").join(lonely, "cid", "left").filter((F.col("n") - F.coalesce("lonely", F.lit(0))) * 100 >= F.col("n") * percent)
-    outside = outside.select("key", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), F.col("cid").alias("x"), F.col("component").alias("cx"))
-    inside = graded.select("key", "grade", F.col("cid").alias("y"), F.col("component").alias("cy"))
-    more = outside.join(inside, ["key", "grade"]).filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return components(edges.union(_confirmed(stored(_likely(more, sets, percent), "more-likely"), texts, k, percent)))
-
-
-def _lonely(texts: DataFrame, k: int) -> DataFrame:
-    """(cid, lonely): how many sequences of a set are in no other of these sets; too many of them rule out every partner."""
+    members = stored(bands.groupBy("cid").agg(F.max("n").alias("n"), F.max("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outer")), "open-members")
+    discard(left, main)
+    likely = stored(_likely(_prefix_pairs(members, texts, k, percent), sets, percent), "more-likely")
+    return components(edges.union(_confirmed(likely, texts, k, percent)))
+
+
+def _values(texts: DataFrame, k: int) -> DataFrame:
+    """(cid, value) of all sequences of sets."""
     def run(batches):
         for batch in batches:
             for part in textscan.slices(batch, 1):
                 text, value = shingle_sets(part.column(1), k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column(0))[text]), pa.array(value.view(np.int64))], ["cid", "value"])
 
-    values = texts.select("cid", "text").mapInArrow(run, "cid long, value long")
-    single = values.groupBy("value").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).filter("n = 1")
-    return single.groupBy("cid").agg(F.count("*").alias("lonely"))
+    return texts.select("cid", "text").mapInArrow(run, "cid long, value long")
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of an outer member and a member of another component that could reach the threshold.
+
+    members: cid, n, component and outer. A set that reaches the threshold with another one shares all
+    but a few of its sequences, so one with more sequences of its own has no partner. Of the shared
+    sequences of the others, rarest first, the first common one of a pair lies so early on both sides
+    that enough of them follow."""
+    single = _values(texts.join(members.select("cid"), "cid", "left_semi"), k).groupBy("value").agg(F.count("*").alias("uses"), F.min("cid").alias("cid")).filter("uses = 1")
+    lonely = single.groupBy("cid").agg(F.count("*").alias("lonely"))
+    able = stored(members.join(lonely, "cid", "left").filter((F.col("n") - F.coalesce("lonely", F.lit(0))) * 100 >= F.col("n") * percent).drop("lonely"), "able-sets")
+    values = stored(_values(texts.join(able.select("cid"), "cid", "left_semi"), k), "able-values")
+    shared = values.join(values.groupBy("value").agg(F.count("*").alias("uses")).filter("uses > 1"), "value").join(able, "cid")
+    own = Window.partitionBy("cid")
+    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("uses", "value"))).withColumn("after", F.count("*").over(own) - F.col("place") + 1)
+    prefix = stored(ranked.filter(F.col("after") * 100 >= F.col("n") * percent).select("value", "cid", "n", "component", "outer", "after"), "prefixes")
+    discard(values)
+    x = prefix.filter("outer").select("value", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("after").alias("after_x"))
+    both = x.join(prefix, "value").filter("c_x != component").filter(F.least("after_x", "after") * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent)
+    return both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -283,7 +302,13 @@ def _own(found: DataFrame, k: int) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group. Rows that share a doc_id stay if one of them does; equal ones among them become one."""
-    kept = find_groups(docs, k, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """docs with one document of each group. Rows that share a doc_id stay if one of them does; equal ones among them become one.
+
+    Only rows that may have a dropped identifier are moved."""
+    found = find_groups(docs, k, percent)
+    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("gone")), "dropped")
+    rows = docs.select(F.col("doc_id").cast("long").alias("gone"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    maybe, kept = split_by(rows, gone, "gone")
+    lost = gone.select(F.col("gone").alias("lost")).hint("merge")
+    out = kept.unionByName(maybe.join(lost, F.col("gone").eqNullSafe(F.col("lost")), "left_anti")).select("row.*")
     return out.dropDuplicates(["doc_id", "text"]) if _ids_repeat(docs) else out

@@ -11,7 +11,8 @@ errors, found from a histogram of `BINS` bins for each label.
 
 All labelled rows of the training part are used. Null texts count as empty texts; null labels and
 labels without a document are ignored; a label without any row makes the other label certain, and
-without labels every score is 0.5.
+without labels every score is 0.5. Repeated rows and null ids are rows of their own, an empty table gives an
+empty one; extra columns pass through `keep_good`, whatever their names.
 """
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .common import stored
+from .common import split_by, stored
 
 #: Shares of the pooled covariance and of the diagonal in a class covariance; score of half the range.
 POOLED, DIAGONAL, RIDGE, SOFT = 0.1, 0.05, 1e-4, 6.0
@@ -186,7 +187,10 @@ def score_all(docs: DataFrame, labels: DataFrame, label: str = "quality", held_o
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5) -> DataFrame:
-    """docs without those that score below the threshold, learnt from all labelled rows."""
-    stats = with_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"))
-    model = train(stats, labels, label)
-    return score(docs, model, keep_text=True, out="quality_score").filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    """docs without those that score below the threshold, learnt from all labelled rows; no text is moved."""
+    maybe, _ = split_by(docs.select("doc_id", "text"), labels.select("doc_id"), "doc_id")
+    model = train(stored(with_statistics(maybe), "statistics"), labels, label)
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, keep_text=True, out=name).filter(F.col(name) >= threshold).select(*docs.columns)

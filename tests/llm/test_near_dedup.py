@@ -35,6 +35,30 @@ def test_equals_all_pairs(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("share", [0.8, 0.9, 0.97])
+def test_prefix_pairs_miss_none_at_the_threshold(spark, share):
+    rng = random.Random(int(share * 100))
+    base = [f"v{rng.randrange(3000)}" for _ in range(120)]
+    rows = [(i, " ".join(w if rng.random() < share else f"f{i}x{rng.randrange(4)}" for w in base[rng.randrange(3):])) for i in range(150)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j:j + 3]) for j in range(len(w) - 2)}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(i, len(s), i, i % 2 == 0) for i, s in sets.items()], "cid long, n long, component long, outer boolean")
+    texts = spark.createDataFrame(rows, "cid long, text string")
+    found = {tuple(r) for r in near_dedup._prefix_pairs(members, texts, 3, 85).collect()}
+    assert {p for p in alike if p[0] % 2 == 0 or p[1] % 2 == 0} <= found
+    assert share > 0.9 or len(found) < 100  # a family below the threshold: 11,175 pairs in all
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame(corpus()[:40], "doc_id long, text string").selectExpr("*", "'k' AS kept_id", "'g' AS gone", "1 AS row", "2 AS n", "'u' AS uid", "'m' AS may")
+    kept = near_dedup.drop_copies(docs, 3, 85)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("k", "g", 1, 2, "u", "m")}
+    assert {r.doc_id for r in kept.collect()} == {r for _, r in groups(corpus()[:40], 3, 85).values()}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     found = near_dedup.find_groups(docs, 3, 85)
