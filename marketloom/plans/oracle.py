@@ -65,9 +65,9 @@ FROM (SELECT *, (isodow(l_shipdate)-1)*1152921504606846976 + l_orderkey*32768 +
    + (l_partkey*31 + CAST(floor(l_extendedprice*100+0.5) AS BIGINT) + CAST(l_quantity AS BIGINT)) % 4096 AS k FROM lineitem) GROUP BY 1,2""")
 
 fragment("hbars", """
-SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,
-  min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume
-FROM events GROUP BY 1,2""")
+SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, k) AS open, max(value) AS high,
+  min(value) AS low, arg_max(value, k) AS close, CAST(count(*) AS DOUBLE) AS volume
+FROM (SELECT *, epoch_us(ts) % 86400000000 * 67108864 + event_id % 67108864 AS k FROM events) GROUP BY 1,2""")
 
 fragment("pb", """
 SELECT symbol, ts, open, high, low, close, volume, row_number() OVER w - 1 AS i,

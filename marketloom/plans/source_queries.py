@@ -79,6 +79,32 @@ def bars_store_roundtrip(m):
             .agg(F.count(F.lit(1)).alias("bars"), rnd(F.sum("volume"), 3).alias("volume")))
 
 
+@query("bars_store_rewrite", f"""SELECT symbol, strftime(ts,'%Y-%m-%d') AS ts, {OHLC} FROM bars WHERE CAST(substr(symbol,2) AS BIGINT)%7<>0
+ UNION ALL SELECT symbol, strftime(ts,'%Y-%m-%d'), open, high, low, close*2, volume FROM bars WHERE CAST(substr(symbol,2) AS BIGINT)%7=0 AND ts>=TIMESTAMP '1995-01-01'""")
+def bars_store_rewrite(m):
+    """Some symbols of the bar store rewritten from the store itself, every bar read back"""
+    path = f"{shared_folder(m.spark)}/bars-{uuid.uuid4().hex}"
+    B.write_bars(m.bars, path, 16)
+    old = B.read_bars(m.spark, path).where(F.substring("symbol", 2, 20).cast("bigint") % 7 == 0)
+    B.write_bars(old.where(c("ts") >= F.lit("1995-01-01").cast("timestamp")).withColumn("close", c("close") * 2), path)
+    return B.read_bars(m.spark, path).withColumn("ts", day(c("ts")))
+
+
+@query("state_store", """SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN c_acctbal+1 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey%5<>0
+ UNION ALL SELECT -c_custkey, c_acctbal FROM customer WHERE c_custkey%11=0 AND c_custkey>0""")
+def state_store(m):
+    """State table persisted, changed by key, added to twice, some keys deleted, read back"""
+    store = B.Store(m.spark, f"{shared_folder(m.spark)}/state-{uuid.uuid4().hex}")
+    rows = m.table("customer").select(c("c_custkey").alias("id"), c("c_acctbal").alias("balance"))
+    store.write(rows, ["id"], 16)
+    store.write(rows.where("id % 3 = 0").withColumn("balance", c("balance") + 1))
+    more = rows.where("id % 11 = 0").withColumn("id", -c("id"))
+    store.insert(more.unionByName(rows.where("id % 2 = 0").withColumn("balance", F.lit(-1.0).cast(rows.schema["balance"].dataType))))
+    store.insert(more)
+    store.delete(rows.where("id % 5 = 0"))
+    return store.read()
+
+
 @query("stale_symbols", """SELECT symbol, bars FROM (SELECT symbol, count(*) AS bars, max(ts) + to_hours(CAST(substr(symbol,2) AS BIGINT)%40) AS f FROM bars GROUP BY symbol)
  WHERE (epoch(TIMESTAMP '2001-10-30 05:00:00')-epoch(f))/3600.0 > 6 OR bars < 270""")
 def stale_symbols(m):

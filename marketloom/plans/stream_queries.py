@@ -1,11 +1,14 @@
 """Streaming, standing-condition and catalog queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import day, lookup, nz, rnd
 from ..operators import indicators as I, signals as S, watches as W
-from ..streaming import streams as Z
+from ..session import shared_folder
+from ..streaming import ordered as O, streams as Z, watching
 from . import functions_catalog as C
 from .oracle import fragment, recursions
 from .registry import query
@@ -19,7 +22,7 @@ def stream_bars(m):
     """Hourly bars built from the tick stream"""
     schema = m.table("events").schema
     ticks = Z.follow(m.spark, m.folder, schema, only="events.parquet").select(
-        c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"), F.lit(1.0).alias("qty"))
+        c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"), F.lit(1.0).alias("qty"), c("event_id").alias("seq"))
     return Z.run_available(Z.bars(ticks)).withColumn("ts", F.date_format("ts", HOUR))
 
 
@@ -35,11 +38,22 @@ def bar_feed(m):
     return Z.follow(m.spark, path, b.schema)
 
 
+def late_feed(m):
+    """The same bars, every seventh one a slice late, and a closing row."""
+    b = m.hourly_bars
+    t = lambda s: F.lit(s).cast("timestamp")
+    late = (F.hour("ts") % 7 == 3) & (c("ts") < t("2024-01-20"))
+    path = Z.land(b, [(c("ts") < t("2024-01-10")) & ~late, (c("ts") >= t("2024-01-10")) & (c("ts") < t("2024-01-20")) & ~late | (late & (c("ts") < t("2024-01-10"))),
+                      (c("ts") >= t("2024-01-20")) | (late & (c("ts") >= t("2024-01-10")))])
+    O.closing(m.spark, b.schema).write.mode("append").parquet(path)
+    return Z.follow(m.spark, path, b.schema)
+
+
 @query("stream_indicators", "SELECT p.symbol, strftime(p.ts,'%Y-%m-%d %H') AS ts, R4(d.e20) AS ema20, R4(d.hist) AS macd_hist, R4(d.atr14) AS atr14, R4(d.adx) AS adx, R4(d.rsi) AS rsi, d.st_seeded AS supertrend_seeded FROM hind d JOIN hpb p USING (symbol, i)")
 def stream_indicators(m):
-    """Indicators advanced bar by bar from carried state"""
+    """Indicators advanced bar by bar in event-time order, some bars late"""
     w = ["ema20", "macd_hist", "atr14", "adx", "rsi", "supertrend_seeded"]
-    d = Z.run_available(Z.indicators(bar_feed(m), w))
+    d = Z.run_available(O.in_order(late_feed(m), O.Recursion(w), "21 days")).where("NOT late")
     return d.select("symbol", F.date_format("ts", HOUR).alias("ts"), *[rnd(c(x), 4).alias(x) if x != "supertrend_seeded" else c(x) for x in w])
 
 
@@ -58,8 +72,8 @@ _hreg()
 
 @query("stream_regime", "SELECT split_part(symbol,'#',1) AS symbol, 199 + CAST(split_part(symbol,'#',2) AS BIGINT)*28 AS from_bar, regime FROM reg_h")
 def stream_regime(m):
-    """Regime at every refresh point, from keyed state over the bar stream"""
-    d = Z.run_available(Z.sticky(bar_feed(m)))
+    """Regime at every refresh point, from keyed state over the bars in event-time order, some bars late"""
+    d = Z.run_available(O.in_order(late_feed(m), O.RefreshPoints(), "21 days")).where("NOT late")
     d = d.select("symbol", "from_bar", F.timestamp_seconds(c("j") * 3600).alias("ts"), c("close").alias("open"), "high", "low", "close", "volume")
     keys = ["symbol", "from_bar"]
     return S.regimes(I.clustered(d, keys), keys)
@@ -141,6 +155,30 @@ def stream_watch(m):
     return Z.run_available(Z.fire_once(feed, w)).select("id", "ticker", "description", "current_value", F.date_format("ts", HOUR).alias("ts"))
 
 
+@query("stream_watch_control", """WITH w AS (SELECT DISTINCT event_type AS ticker, k AS kind, CASE k WHEN 'up' THEN TIMESTAMP '2024-01-05' WHEN 'down' THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-01-25' END AS since,
+  CASE k WHEN 'down' THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2100-01-01' END AS until FROM events, (SELECT unnest(['up','down','new']) AS k))
+ SELECT ticker || '-' || kind AS id, ticker, kind AS description, arg_min(close, ts) AS current_value, strftime(min(ts),'%Y-%m-%d %H') AS ts FROM hbars b JOIN w ON w.ticker=b.symbol
+ WHERE ts>=since AND ts<until AND CASE kind WHEN 'up' THEN close>60 WHEN 'down' THEN close<5 ELSE close>=50 END GROUP BY kind, ticker""")
+def stream_watch_control(m):
+    """Fired-event feed of watches that are created and deleted while the bars arrive"""
+    t = lambda s: F.lit(s).cast("timestamp")
+    make = lambda kind, at, op, x, command="create": F.struct(
+        F.lit(kind).alias("kind"), t(at).alias("ts"), F.lit(command).alias("command"), F.lit(op).alias("operator"), F.lit(x).alias("threshold_num"))
+    rows = F.array(make("up", "2024-01-05", ">", 60.0), make("down", "2024-01-05", "<", 5.0), make("down", "2024-01-15", "<", 5.0, "delete"), make("new", "2024-01-25", ">=", 50.0))
+    controls = m.ticks.select("symbol").distinct().select(c("symbol").alias("ticker"), F.explode(rows).alias("r")).select(
+        "ticker", "r.ts", F.concat("ticker", F.lit("-"), "r.kind").alias("id"), "r.command", F.lit("price").alias("metric"), "r.operator", "r.threshold_num",
+        F.lit(None).cast("string").alias("threshold_str"), c("r.kind").alias("description"))
+    feed = m.hourly_bars.select(c("symbol").alias("ticker"), "ts", c("close").alias("price"), *[F.lit(None).cast(watching.READING[n]).alias(n) for n in ("pct_change", "score", "action")])
+    both = watching.events(controls, feed)
+    told, first, second = c("command").isNotNull(), c("ts") < t("2024-01-10"), c("ts") < t("2024-01-20")
+    # each slice's control rows arrive before its readings
+    parts = [x & y for x in (first, ~first & second, ~second) for y in (told, ~told)]
+    stream = Z.follow(m.spark, Z.land(both, parts), both.schema)
+    base = f"{shared_folder(m.spark)}/watch-{uuid.uuid4().hex}"
+    fired = watching.follow_into(watching.fired(stream.where(told), stream.where(~told)), f"{base}/fired", f"{base}/checkpoint")
+    return fired.select("id", "ticker", "description", "current_value", F.date_format("ts", HOUR).alias("ts"))
+
+
 @query("cache_miss_split", """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, coalesce(h.hit, false) AS hit FROM supplier LEFT JOIN (SELECT DISTINCT user_id%(SELECT n FROM nsup) AS k, true AS hit FROM events WHERE epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(ts)) BETWEEN 0 AND 86399) h ON h.k=s_suppkey""")
 def cache_miss_split(m):
     """Cache hits and misses of the requested symbols"""

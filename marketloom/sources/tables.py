@@ -40,6 +40,11 @@ def tick_order() -> Column:
             + c("l_linenumber") * 4096 + tie)
 
 
+def time_order(ts: Column, seq: Column) -> Column:
+    """Order of ticks inside a day as one long: microseconds of the day, then the tick's number."""
+    return F.unix_micros(ts) % 86_400_000_000 * (1 << 26) + seq % (1 << 26)
+
+
 class Market:
     """The given tables and the market tables derived from them; nothing runs until used."""
 
@@ -74,12 +79,12 @@ class Market:
     def ticks(self) -> DataFrame:
         return self.table("events").select(
             F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
-            F.col("value").alias("price"), F.lit(1.0).alias("qty"))
+            F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.col("event_id").alias("seq"))
 
     @cached_property
     def hourly_bars(self) -> DataFrame:
         c = F.col
-        return build_bars(self.ticks, c("symbol"), c("ts"), c("price"), c("qty"), c("ts"), "hour")
+        return build_bars(self.ticks, c("symbol"), c("ts"), c("price"), c("qty"), time_order(c("ts"), c("seq")), "hour")
 
     @cached_property
     def symbols(self) -> DataFrame:

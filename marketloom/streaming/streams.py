@@ -17,6 +17,7 @@ from ..functions import kernels as _kernels
 from ..functions.kernels import STATE, advance_rows, fresh_state
 from ..session import shared_folder
 from ..operators.watches import met
+from ..sources.tables import time_order
 
 cloudpickle.register_pickle_by_value(_kernels)
 c = F.col
@@ -48,11 +49,12 @@ def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 16, on
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Bars from (symbol, ts, price, qty) ticks (X01); ticks later than `lateness` are dropped,
-    a bar is emitted once its window can no longer change."""
+    """Bars of at most a day from (symbol, ts, price, qty, seq) ticks (X01); ticks of one time are ordered
+    by seq, ticks later than `lateness` are dropped, a bar is emitted once its window can no longer change."""
+    order = time_order(c("ts"), c("seq"))
     return (ticks.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", width).alias("w"))
-            .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-                 F.max_by("price", "ts").alias("close"), F.sum("qty").alias("volume"))
+            .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+                 F.max_by("price", order).alias("close"), F.sum("qty").alias("volume"))
             .select("symbol", c("w.start").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
