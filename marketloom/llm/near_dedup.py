@@ -278,7 +278,9 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataF
     """(cid, text) of the wanted sets, one row each."""
     who = sets.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", "doc_id", "n", "s1", "s2")
     who = stored(who, "wanted")
-    source = docs.select(F.col("doc_id").cast("long").alias("d_id"), "text")
+    every = docs.select(F.col("doc_id").cast("long").alias("d_id"), "text")
+    source, _ = split_by(every, who.select(F.col("doc_id").alias("d_id")), "d_id")  # no other text is moved
+    who = who.hint("merge")
     found = source.join(who, source["d_id"].eqNullSafe(who["doc_id"])).select("cid", "text")
     if _ids_repeat(docs):  # another text may have the same doc_id
         found = _own(source.join(who, source["d_id"].eqNullSafe(who["doc_id"])).select("cid", "text", "n", "s1", "s2"), k).dropDuplicates(["cid"])
