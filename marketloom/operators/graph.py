@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import day, nz, rnd
-from ..session import cut_lineage
 from ..sources.landing import top_rank
+from . import walks
+from .numbering import numbered
 
 c = F.col
 HALF_LIFE_DAYS = 180.0
@@ -84,44 +85,14 @@ def neighbors(edges: DataFrame, starts: DataFrame, direction: str = "both") -> D
 
 def expand(edges: DataFrame, starts: DataFrame, depth: int = 2, exclude_start: bool = False) -> DataFrame:
     """Directed breadth-first tree edges (start, hop, src, edge, tgt), every target once per
-    start (G10). The start itself counts as unseen unless `exclude_start`. Each hop is one join
-    of the frontier with the edges; deep walks cut lineage every two hops."""
-    e = edges.select(c("from_id").alias("src"), c("id").alias("edge"), c("to_id").alias("tgt"))
-    frontier = starts.select(c("id").alias("start"), c("id").alias("src"))
-    seen = starts.select(c("id").alias("start"), c("id").alias("tgt")) if exclude_start else None
-    tree = None
-    for hop in range(1, depth + 1):
-        step = frontier.join(e, "src")
-        if seen is not None:
-            step = step.join(seen, ["start", "tgt"], "left_anti")
-        step = step.groupBy("start", "tgt").agg(F.min(F.struct("src", "edge")).alias("via"))
-        step = step.select("start", F.lit(hop).alias("hop"), "via.src", "via.edge", "tgt")
-        if depth > 2 and hop % 2 == 0:
-            step = cut_lineage(step)
-        tree = step if tree is None else tree.union(step)
-        reached = step.select("start", "tgt")
-        seen = reached if seen is None else seen.union(reached)
-        frontier = step.select("start", c("tgt").alias("src"))
-    return tree
+    start (G10). The start itself counts as unseen unless `exclude_start`."""
+    return walks.tree(edges, starts, depth, exclude_start)
 
 
 def surroundings(edges: DataFrame, starts: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """Undirected sub-graph (G11): (start, id, hop) of every node within `hops`, and all edges
     incident to the nodes within hops − 1."""
-    both = (edges.select(c("from_id").alias("id"), c("to_id").alias("other"), c("id").alias("edge"))
-            .union(edges.select(c("to_id").alias("id"), c("from_id").alias("other"), c("id").alias("edge"))))
-    seen = starts.select(c("id").alias("start"), "id", F.lit(0).alias("hop"))
-    frontier, used = seen, None
-    for hop in range(1, hops + 1):
-        step = frontier.select("start", "id").join(both, "id")
-        touched = step.select("start", "edge")
-        used = touched if used is None else used.union(touched)
-        reached = step.select("start", c("other").alias("id")).distinct()
-        frontier = reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        if hops > 2 and hop % 2 == 0:
-            frontier = cut_lineage(frontier)
-        seen = seen.unionByName(frontier)
-    return seen, used.distinct()
+    return walks.surroundings(edges, starts, hops)
 
 
 def ego_graph(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -160,7 +131,8 @@ def search(nodes: DataFrame, text: str, limit: int, by_confidence: bool = False)
 
 def keyword_search(nodes: DataFrame, tags: list[str], k: int = 20) -> DataFrame:
     """Nodes ranked by how many tags their text holds."""
-    blob = F.lower(F.concat_ws(" ", "canonical_name", F.concat_ws(" ", "aliases"), "entity_type",
+    told = [c("description")] if "description" in nodes.columns else []
+    blob = F.lower(F.concat_ws(" ", "canonical_name", F.concat_ws(" ", "aliases"), "entity_type", *told,
                                F.concat_ws(" ", F.map_values("attributes"))))
     score = sum((F.contains(blob, F.lit(t.lower())).cast("int") for t in tags), F.lit(0))
     return nodes.withColumn("score", score).where(c("score") > 0).orderBy(c("score").desc(), "id").limit(k)
@@ -222,19 +194,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-#: Rows that one bucket of work batches holds on average.
-BUCKET_ROWS = 4096
-
-
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Work batches of at most `size` rows without a global numbering: rows are hashed into
-    buckets of about BUCKET_ROWS and numbered inside each (G22, E14), so the number of tasks
-    follows the rows."""
-    buckets = max(16, -(-rows.count() // BUCKET_ROWS))
-    bucket = F.pmod(F.conv(F.substring(F.md5(c(key)), 1, 12), 16, 10).cast("bigint"), F.lit(buckets))
-    d = rows.withColumn("bucket", bucket)
-    w = Window.partitionBy("bucket").orderBy(key)
-    return d.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.lit(float(size))).cast("bigint"))
+    """Work batches of `size` rows in key order; only the last one may be smaller (G22, E14). Rows are
+    numbered by ranges and prefix sums of their counts, so no task sees all rows."""
+    return numbered(rows, [c(key)]).withColumn("batch", F.expr(f"index DIV {int(size)}")).drop("index")
 
 
 def embed_backlog(nodes: DataFrame, embedded: DataFrame, size: int = 512) -> DataFrame:

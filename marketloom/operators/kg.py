@@ -5,7 +5,10 @@ batch is resolved against (existing ∪ batch) at once; results do not depend on
 """
 from __future__ import annotations
 
+import hashlib
 import math
+from decimal import Decimal
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -15,6 +18,7 @@ from ..session import cut_lineage
 from ..sources.landing import top_rank
 from .components import components
 from .graph import best_edges
+from .numbering import numbered
 
 c = F.col
 
@@ -288,46 +292,81 @@ def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left_anti")
 
 
-#: Nodes that meet in one bucket of a pair draw, on average.
-DRAW = 64
-
-
-def _draw(key: Column, buckets: Column, seed: str) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 12), 16, 10).cast("bigint"), buckets)
+#: Pairs of a walk that one generated row stands for, and pairs tried at first for each one asked.
+CHUNK, TRIES = 10_000, 4
+
+
+def _step(total: int) -> int:
+    """A stride through 0 … total − 1 that meets every number once, about 0.618 of the whole."""
+    return next(k for k in range(total * 618 // 1000 + 1, 2 * total + 2) if gcd(k, total) == 1)
+
+
+def _walk(spark, spaces: dict[str, int], blocks: DataFrame, nodes: DataFrame, edges: DataFrame, n: int, seed: str) -> DataFrame:
+    """(space, t, a, b): the first n unlinked pairs of every space along its walk, all of them if there are fewer.
+
+    A space numbers its pairs 0 … total − 1 and consists of blocks: (space, offset, size, a0, b0, nb)
+    stands for pairs (a0 + q div nb, b0 + q mod nb) of numbered nodes, q = p − offset. The walk visits
+    every number once in an order that the seed chooses, so only as many pairs are made as are asked
+    for, plus those an edge rules out; a round tries the pairs after the ones before it."""
+    start = int(hashlib.md5(seed.encode()).hexdigest()[:12], 16)
+    tried, found = dict.fromkeys(spaces, 0), None
+    open_ = {s for s, total in spaces.items() if total}
+    while open_:
+        rows = []
+        for s in sorted(open_):
+            total, until = spaces[s], min(spaces[s], max(TRIES * n, 2 * tried[s], 64))
+            rows += [(s, t, min(t + CHUNK, until) - 1, Decimal(total), Decimal(start % total), Decimal(_step(total))) for t in range(tried[s], until, CHUNK)]
+            tried[s] = until
+        chunks = spark.createDataFrame(rows, "space string, t0 long, t1 long, total decimal(20,0), start decimal(20,0), step decimal(20,0)")
+        at = chunks.repartition(max(1, min(len(rows), 2000))).withColumn("t", F.explode(F.sequence("t0", "t1")))
+        at = at.withColumn("p", ((c("start") + c("t").cast("decimal(18,0)") * c("step")) % c("total")).cast("bigint")).select("space", "t", "p")
+        hit = at.alias("w").join(F.broadcast(blocks).alias("k"), F.expr("w.space = k.space AND p >= offset AND p < offset + size"))
+        hit = hit.select("w.space", "t", F.expr("a0 + (p - offset) DIV nb").alias("ia"), F.expr("b0 + (p - offset) % nb").alias("ib"))
+        named = hit.join(nodes.select(c("index").alias("ia"), c("id").alias("a")), "ia").join(nodes.select(c("index").alias("ib"), c("id").alias("b")), "ib")
+        new = cut_lineage(unlinked(named.where("a != b").select("space", "t", "a", "b"), edges))
+        found = new if found is None else found.union(new)
+        have = {r.space: r["count"] for r in found.groupBy("space").count().collect()}  # one row per space
+        open_ = {s for s in open_ if have.get(s, 0) < n and tried[s] < spaces[s]}
+    if found is None:
+        return nodes.select(F.lit("").alias("space"), F.lit(0).cast("long").alias("t"), c("id").alias("a"), c("id").alias("b")).where(F.lit(False))
+    return top_rank(found, ["space"], [c("t")], n)
 
 
 def affinity_pairs(nodes: DataFrame, edges: DataFrame, n: int = 40, seed: str = "") -> DataFrame:
-    """n pseudo-random unlinked pairs of different domains (E10, a sampling operator).
-
-    The seed hashes all nodes into buckets of about DRAW, and the pairs are those inside a bucket,
-    so their number is linear in the nodes; every pair is drawn under some seed. One domain
-    gives no pair at once."""
-    buckets = F.lit(max(1, -(-nodes.count() // DRAW)))
-    slim = nodes.select("id", "domain", _draw(c("id"), buckets, seed).alias("bucket"))
-    left = slim.select("bucket", c("id").alias("a"), c("domain").alias("da"))
-    right = slim.select("bucket", c("id").alias("b"), c("domain").alias("db"))
-    pairs = left.join(right, "bucket").where((c("a") < c("b")) & (c("da") != c("db"))).select("a", "b")
-    return unlinked(pairs, edges).orderBy(F.md5(F.concat("a", F.lit("|"), "b")), "a", "b").limit(n)
+    """n pseudo-random unlinked pairs of different domains, or all there are (E10, a sampling operator).
+
+    Nodes are numbered by domain and seeded hash; a domain's block pairs each of its nodes with every
+    node of the domains after it, so each unordered pair has one number. Domains are few."""
+    slim = numbered(nodes.where(c("domain").isNotNull()).select("id", "domain"), [c("domain"), F.md5(F.concat(F.lit(seed), "id")), c("id")])
+    sizes = sorted(tuple(r) for r in slim.groupBy("domain").agg(F.min("index").alias("a0"), F.count(F.lit(1)).alias("n")).select("a0", "n").collect())
+    whole, offset, blocks = sum(k for _, k in sizes), 0, []
+    for a0, k in sizes:
+        later = whole - a0 - k
+        if later:
+            blocks.append(("", offset, k * later, a0, a0 + k, later))
+            offset += k * later
+    spark = nodes.sparkSession
+    table = spark.createDataFrame(blocks, "space string, offset long, size long, a0 long, b0 long, nb long")
+    d = _walk(spark, {"": offset}, table, slim, edges, n, seed)
+    return d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def schema_pairs(nodes: DataFrame, edges: DataFrame, schemas: DataFrame, n: int = 30, seed: str = "") -> DataFrame:
-    """Up to n unlinked pairs per schema row (E11). schemas: (schema, from_domain, to_domain,
-    from_types, to_types), type lists NULL for any. Drawn as in `affinity_pairs`; the buckets of
-    a schema hold DRAW pairs for each of its nodes, whatever the ratio of its sides."""
-    def side(which):
+    """n unlinked pairs per schema row, or all there are (E11). schemas: (schema, from_domain, to_domain,
+    from_types, to_types), type lists NULL for any; their table is small by nature."""
+    def side(which, mark):
         ok = c(f"{which}_types").isNull() | F.array_contains(c(f"{which}_types"), c("entity_type"))
         d = nodes.select("id", "domain", "entity_type").join(schemas, c("domain") == c(f"{which}_domain")).where(ok)
-        return d.select("schema", "id")
-
-    a, b = side("from"), side("to")
-    sizes = (a.groupBy("schema").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("schema").agg(F.count(F.lit(1)).alias("nb")), "schema")
-             .select("schema", F.ceil(c("na") * c("nb") / (F.lit(float(DRAW)) * (c("na") + c("nb")))).alias("buckets")))
-
-    def placed(d, name):
-        return d.join(sizes, "schema").select("schema", _draw(c("id"), c("buckets"), seed).alias("bucket"), c("id").alias(name))
-
-    pairs = placed(a, "a").join(placed(b, "b"), ["schema", "bucket"]).where(c("a") != c("b")).select("schema", "a", "b")
-    return top_rank(unlinked(pairs, edges), ["schema"], [F.md5(F.concat("a", F.lit("|"), "b")), c("a"), c("b")], n)
+        return d.select("schema", F.lit(mark).alias("side"), "id")
+
+    both = numbered(side("from", 0).union(side("to", 1)), [c("schema"), c("side"), F.md5(F.concat(F.lit(seed), "id")), c("id")])
+    held = {(r.schema, r.side): (r.first, r.n) for r in both.groupBy("schema", "side").agg(F.min("index").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    full = sorted(s for s, k in held if k == 0 and (s, 1) in held)
+    blocks = [(s, 0, held[s, 0][1] * held[s, 1][1], held[s, 0][0], held[s, 1][0], held[s, 1][1]) for s in full]
+    spark = nodes.sparkSession
+    table = spark.createDataFrame(blocks, "space string, offset long, size long, a0 long, b0 long, nb long")
+    d = _walk(spark, {b[0]: b[2] for b in blocks}, table, both, edges, n, seed)
+    return d.select(c("space").alias("schema"), "a", "b")
 
 
 def admit_affinity(pairs: DataFrame, answers: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

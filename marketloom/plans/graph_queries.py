@@ -106,15 +106,15 @@ def edge_decay(m):
     return m.edges.select("id", rnd(G.edge_weight(now()), 6).alias("effective_weight"))
 
 
-fragment("bidir", "SELECT from_id AS src, to_id AS tgt, id FROM gedges WHERE relation_type<>'SUPPLIES' UNION ALL SELECT to_id, from_id, 'back:' || id FROM gedges WHERE relation_type='IN_REGION'")
+fragment("bidir", "SELECT from_id AS src, to_id AS tgt, id FROM gedges UNION ALL SELECT to_id, from_id, 'back:' || id FROM gedges WHERE relation_type='IN_REGION'")
 fragment("hop1", "SELECT start, tgt, min(row(src, id)) AS v FROM (SELECT DISTINCT 'c' || CAST(c_custkey AS VARCHAR) AS start FROM customer) s JOIN bidir ON src=start GROUP BY 1,2")
 fragment("hop2", "SELECT h.start, b.tgt, min(row(b.src, b.id)) AS v FROM hop1 h JOIN bidir b ON b.src=h.tgt WHERE (h.start, b.tgt) NOT IN (SELECT (start, tgt) FROM hop1) GROUP BY 1,2")
 fragment("hop3", "SELECT h.start, b.tgt, min(row(b.src, b.id)) AS v FROM hop2 h JOIN bidir b ON b.src=h.tgt WHERE (h.start, b.tgt) NOT IN (SELECT (start, tgt) FROM hop1 UNION ALL SELECT (start, tgt) FROM hop2) GROUP BY 1,2")
 
 
 def walk_edges(m):
-    """Location edges plus region → nation back edges, so that walks meet cycles."""
-    loc = m.edges.where(c("relation_type") != "SUPPLIES").select("id", "from_id", "to_id")
+    """All edges plus region → nation back edges, so that walks meet cycles."""
+    loc = m.edges.select("id", "from_id", "to_id")
     back = m.edges.where(c("relation_type") == "IN_REGION").select(F.concat(F.lit("back:"), "id"), c("to_id"), c("from_id"))
     return loc.union(back)
 
@@ -194,42 +194,46 @@ fragment("emb", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 _COS = "list_dot_product(a.v,q.v)/(sqrt(list_dot_product(a.v,a.v))*sqrt(list_dot_product(q.v,q.v)))"
 
 
-def asked_vectors(m, n):
-    return m.embeddings.orderBy("vec_id").limit(n).select(c("vec_id").alias("query_id"), "embedding")
+_ASKED = "(SELECT * FROM emb WHERE vec_id%20=0)"
 
 
-@query("vector_topk", f"SELECT a.vec_id, R5({_COS}) AS score FROM emb a, emb q WHERE q.vec_id=0 AND {_COS}>=0.35 ORDER BY {_COS} DESC, a.vec_id LIMIT 20")
+def asked_vectors(m):
+    return m.embeddings.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "embedding")
+
+
+def best_sql(k, floor=""):
+    return f"SELECT query_id, vec_id, R5(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS s FROM emb a, {_ASKED} q) {floor}) WHERE r<={k}"
+
+
+@query("vector_topk", best_sql(20, "WHERE s>=0.35"))
 def vector_topk(m):
     """Cosine search with threshold .35"""
-    return G.vector_search(m.embeddings, asked_vectors(m, 1), 20, 0.35).select("vec_id", rnd(c("score"), 5).alias("score"))
+    return G.vector_search(m.embeddings, asked_vectors(m), 20, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
 
 
-@query("vector_knn_batch", f"SELECT query_id, vec_id, R5(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS s FROM emb a, (SELECT * FROM emb ORDER BY vec_id LIMIT 50) q)) WHERE r<=10")
+@query("vector_knn_batch", best_sql(10))
 def vector_knn_batch(m):
     """Ten nearest vectors of every query in a batch"""
-    return G.vector_search(m.embeddings, asked_vectors(m, 50), 10, eps=1e-9).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
+    return G.vector_search(m.embeddings, asked_vectors(m), 10, eps=1e-9).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
 
 
-@query("topk_threshold", f"SELECT query_id, vec_id, R5(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS s FROM emb a, (SELECT * FROM emb ORDER BY vec_id LIMIT 20) q) WHERE s>=0.35) WHERE r<=5")
+@query("topk_threshold", best_sql(5, "WHERE s>=0.35"))
 def topk_threshold(m):
     """Threshold and top-k together"""
-    return G.vector_search(m.embeddings, asked_vectors(m, 20), 5, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
-
-
-_BUCKET = "CAST('0x' || substr(md5(id),1,12) AS BIGINT) % greatest(16, (count(*) OVER () + 4095)//4096)"
+    return G.vector_search(m.embeddings, asked_vectors(m), 5, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
 
 
-@query("embed_backlog", f"SELECT id, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY id) - 1)//64 AS batch FROM (SELECT id, {_BUCKET} AS bucket FROM gnodes WHERE entity_type<>'Part')")
+@query("embed_backlog", "SELECT id, (row_number() OVER (ORDER BY id) - 1)//64 AS batch FROM gnodes WHERE entity_type<>'Part'")
 def embed_backlog(m):
-    """Nodes without a vector in batches of at most 64"""
+    """Nodes without a vector in full batches of 64"""
     done = m.nodes.where(c("entity_type") == "Part").select("id")
-    return G.embed_backlog(m.nodes, done, 64).select("id", "bucket", "batch")
+    return G.embed_backlog(m.nodes, done, 64).select("id", "batch")
 
 
-@query("score_batches", f"SELECT id, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY id) - 1)//20 AS batch FROM (SELECT id, {_BUCKET} AS bucket FROM gedges)")
+@query("score_batches", "SELECT id, (row_number() OVER (ORDER BY id) - 1)//20 AS batch FROM gedges")
 def score_batches(m):
-    """Edges in scorer batches of at most 20"""
-    return G.batches(m.edges, "id", 20).select("id", "bucket", "batch")
+    """Edges in full scorer batches of 20"""
+    return G.batches(m.edges, "id", 20).select("id", "batch")
 
 
 @query("typed_neighbors", "SELECT from_id, to_id, strftime(created_at,'%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY created_at DESC, to_id) AS r FROM gedges WHERE relation_type='SUPPLIES') WHERE r<=10")
@@ -416,10 +420,16 @@ def dedup_rewrite(m):
 
 
 fragment("linked", "SELECT from_id AS a, to_id AS b FROM gedges UNION SELECT to_id, from_id FROM gedges")
-fragment("samp", "SELECT id, domain, CAST('0x' || substr(md5(id),1,12) AS BIGINT) % ((count(*) OVER () + 63)//64) AS bucket FROM gnodes")
+_START = "CAST('0x' || substr(md5(''),1,12) AS BIGINT)"
+fragment("pnum", "SELECT id, domain, row_number() OVER (ORDER BY domain, md5(id), id) - 1 AS g FROM gnodes")
+fragment("pblk", """SELECT *, n*later AS size, CAST(sum(n*later) OVER (ORDER BY a0) AS BIGINT) - n*later AS off FROM (
+ SELECT min(g) AS a0, count(*) AS n, (SELECT count(*) FROM gnodes) - min(g) - count(*) AS later FROM pnum GROUP BY domain) WHERE later>0""")
+fragment("ptot", "SELECT whole, min(k) AS step FROM (SELECT whole, unnest(range(whole*618//1000+1, whole*618//1000+400)) AS k FROM (SELECT CAST(sum(size) AS BIGINT) AS whole FROM pblk)) WHERE gcd(k,whole)=1 GROUP BY whole")
+fragment("pwalk", f"SELECT t, CAST(({_START}%whole + CAST(t AS HUGEINT)*step) % whole AS BIGINT) AS p FROM ptot, (SELECT unnest(range(0, 5000)) AS t) WHERE t<whole")
 
 
-@query("pairs_affinity", "SELECT x.id AS a, y.id AS b FROM samp x JOIN samp y ON x.bucket=y.bucket AND x.id<y.id AND x.domain<>y.domain LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL ORDER BY md5(x.id || '|' || y.id), 1, 2 LIMIT 40")
+@query("pairs_affinity", """SELECT least(x.id,y.id) AS a, greatest(x.id,y.id) AS b FROM pwalk JOIN pblk ON p>=off AND p<off+size JOIN pnum x ON x.g=a0+(p-off)//later JOIN pnum y ON y.g=a0+n+(p-off)%later
+ LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL ORDER BY t LIMIT 40""")
 def pairs_affinity(m):
     """Forty unlinked pairs of different domains"""
     return K.affinity_pairs(m.nodes, m.edges, 40)
@@ -432,15 +442,17 @@ def pair_schemas(m):
     return m.spark.createDataFrame(SCHEMAS, "schema string, from_domain string, to_domain string, from_types array<string>, to_types array<string>")
 
 
-fragment("sp_side", """SELECT *, CAST('0x' || substr(md5(id),1,12) AS BIGINT) % CAST(ceil(na*nb/(64.0::DOUBLE*(na+nb))) AS BIGINT) AS bucket FROM (
- SELECT *, count(*) FILTER (side=0) OVER (PARTITION BY schema) AS na, count(*) FILTER (side=1) OVER (PARTITION BY schema) AS nb FROM (
+fragment("sp_side", """SELECT *, row_number() OVER (ORDER BY schema, side, md5(id), id) - 1 AS g FROM (
  SELECT 'goods-supply' AS schema, 0 AS side, id FROM gnodes WHERE entity_type='Part' UNION ALL SELECT 'goods-supply', 1, id FROM gnodes WHERE entity_type='Supplier'
  UNION ALL SELECT 'supply-geo', 0, id FROM gnodes WHERE domain='supply' UNION ALL SELECT 'supply-geo', 1, id FROM gnodes WHERE entity_type='Nation'
- UNION ALL SELECT 'geo-demand', 0, id FROM gnodes WHERE domain='geography' UNION ALL SELECT 'geo-demand', 1, id FROM gnodes WHERE domain='demand'))""")
+ UNION ALL SELECT 'geo-demand', 0, id FROM gnodes WHERE domain='geography' UNION ALL SELECT 'geo-demand', 1, id FROM gnodes WHERE domain='demand')""")
+fragment("sp_blk", """SELECT schema, a0, b0, nb, na*nb AS whole FROM (SELECT schema, min(g) FILTER (side=0) AS a0, min(g) FILTER (side=1) AS b0, count(*) FILTER (side=0) AS na, count(*) FILTER (side=1) AS nb FROM sp_side GROUP BY schema)""")
+fragment("sp_walk", f"""SELECT schema, a0, b0, nb, t, CAST(({_START}%whole + CAST(t AS HUGEINT)*step) % whole AS BIGINT) AS p FROM sp_blk JOIN
+ (SELECT schema, min(k) AS step FROM (SELECT schema, whole, unnest(range(whole*618//1000+1, whole*618//1000+400)) AS k FROM sp_blk) WHERE gcd(k,whole)=1 GROUP BY schema) USING (schema), (SELECT unnest(range(0, 5000)) AS t) WHERE t<whole""")
 
 
-@query("pairs_schema", """SELECT schema, a, b FROM (SELECT x.schema, x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.schema ORDER BY md5(x.id||'|'||y.id), x.id, y.id) AS r FROM sp_side x JOIN sp_side y ON y.schema=x.schema AND x.side=0 AND y.side=1 AND x.bucket=y.bucket AND x.id<>y.id
- LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL) WHERE r<=30""")
+@query("pairs_schema", """SELECT schema, a, b FROM (SELECT w.schema, x.id AS a, y.id AS b, row_number() OVER (PARTITION BY w.schema ORDER BY t) AS r FROM sp_walk w JOIN sp_side x ON x.g=a0+p//nb JOIN sp_side y ON y.g=b0+p%nb
+ LEFT JOIN linked l ON l.a=x.id AND l.b=y.id WHERE l.a IS NULL AND x.id<>y.id) WHERE r<=30""")
 def pairs_schema(m):
     """Thirty unlinked pairs per schema row"""
     return K.schema_pairs(m.nodes, m.edges, pair_schemas(m), 30).select("schema", "a", "b")

@@ -163,14 +163,92 @@ def test_pairs_come_from_all_nodes(spark):
     assert K.affinity_pairs(n.withColumn("domain", F.lit("p")), edges_of(spark, linked), 5).count() == 0
 
 
-def test_every_pair_is_drawn_under_some_seed(spark, monkeypatch):
-    monkeypatch.setattr(K, "DRAW", 4)
+def test_every_pair_is_drawn_at_last(spark):
     n = nodes_of(spark, [f"x{k}" for k in range(10)]).withColumn("domain", F.when(F.col("id") < "n005", "p").otherwise("q"))
-    n.cache()
-    none, seen = edges_of(spark, [("n000", "n001", 1)]), set()
-    for seed in range(24):
-        seen |= {(r.a, r.b) for r in K.affinity_pairs(n, none, 100, str(seed)).collect()}
-    assert seen == {(f"n{a:03d}", f"n{b:03d}") for a in range(5) for b in range(5, 10)}
+    none = edges_of(spark, [("n000", "n001", 1)])
+    drawn = [sorted((r.a, r.b) for r in K.affinity_pairs(n, none, 100, seed).collect()) for seed in ("", "1")]
+    assert drawn == [sorted((f"n{a:03d}", f"n{b:03d}") for a in range(5) for b in range(5, 10))] * 2
+    few = [{(r.a, r.b) for r in K.affinity_pairs(n, none, 7, seed).collect()} for seed in ("", "1", "")]
+    assert few[0] == few[2] != few[1] and {len(x) for x in few} == {7}
+
+
+def test_as_many_pairs_as_asked_at_every_shape(spark):
+    """Two nodes of one domain and many of another: all pairs but the linked ones, whatever the number asked."""
+    n = nodes_of(spark, [f"x{k}" for k in range(302)]).withColumn("domain", F.when(F.col("id") < "n002", "p").otherwise("q"))
+    linked = {("n000", f"n{b:03d}") for b in range(2, 290)}
+    edges = edges_of(spark, [(a, b, 1) if int(b[1:]) % 2 else (b, a, 1) for a, b in linked])
+    possible = {(f"n{a:03d}", f"n{b:03d}") for a in (0, 1) for b in range(2, 302)} - linked
+    for ask in (200, len(possible), 1000):
+        got = [(r.a, r.b) for r in K.affinity_pairs(n, edges, ask).collect()]
+        assert len(got) == len(set(got)) == min(ask, len(possible)) and set(got) <= possible
+
+
+def test_schema_pairs_against_brute_force(spark):
+    n = nodes_of(spark, [f"x{k}" for k in range(30)]).withColumn("domain", F.when(F.col("id") < "n020", "p").otherwise("q"))
+    linked = {("n000", f"n{b:03d}") for b in range(20, 30)}
+    edges = edges_of(spark, [(a, b, 1) for a, b in linked])
+    schemas = spark.createDataFrame([("pq", "p", "q", None, None), ("pp", "p", "p", None, None), ("none", "p", "z", None, None)],
+                                    "schema string, from_domain string, to_domain string, from_types array<string>, to_types array<string>")
+    ids = [f"n{k:03d}" for k in range(30)]
+    want = {"pq": {(a, b) for a in ids[:20] for b in ids[20:]} - linked, "pp": {(a, b) for a in ids[:20] for b in ids[:20] if a != b}}
+    for ask in (7, 1000):
+        got = {}
+        for r in K.schema_pairs(n, edges, schemas, ask).collect():
+            got.setdefault(r.schema, []).append((r.a, r.b))
+        assert {s: len(v) for s, v in got.items()} == {s: min(ask, len(v)) for s, v in want.items()}
+        assert all(set(v) <= want[s] and len(set(v)) == len(v) for s, v in got.items())
+
+
+def test_walks_from_many_starts_equal_single_ones(spark, monkeypatch):
+    import random
+
+    from marketloom.operators import walks
+
+    monkeypatch.setattr(walks, "HUB_SHARE", 20)  # some nodes are hubs
+    rng = random.Random(3)
+    rows = [(f"{rng.randrange(90)}", f"{rng.randrange(90) if rng.random() < 0.7 else 0}", f"e{k:03d}") for k in range(260)] + [("0", f"{k}", f"h{k:03d}") for k in range(60)]
+    e = spark.createDataFrame(rows, "from_id string, to_id string, id string")
+    names = [str(k) for k in range(80)] + ["none"]
+    starts = spark.createDataFrame([(x,) for x in names], "id string")
+    want, near, used = set(), set(), set()
+    for s in names:
+        frontier, seen = {s}, set()
+        for hop in (1, 2, 3):
+            found = {}
+            for a, b, k in rows:
+                if a in frontier and b not in seen:
+                    found[b] = min(found.get(b, (a, k)), (a, k))
+            want |= {(s, hop, a, k, b) for b, (a, k) in found.items()}
+            frontier, seen = set(found), seen | set(found)
+        level = {s: 0}
+        for hop in (1, 2):
+            for a, b, k in rows:
+                for x, y in ((a, b), (b, a)):
+                    if level.get(x) == hop - 1:
+                        used.add((s, k))
+                        level.setdefault(y, hop)
+        near |= {(s, x, h) for x, h in level.items()}
+    assert {tuple(r) for r in G.expand(e, starts, 3).collect()} == want
+    seen, edges = G.surroundings(e, starts, 2)
+    assert {tuple(r) for r in seen.select("start", "id", "hop").collect()} == near
+    assert {tuple(r) for r in edges.select("start", "edge").collect()} == used
+    masks, who = walks.within(e, starts, 2)
+    both = masks[0].union(masks[1]).union(masks[2])
+    assert {tuple(r) for r in walks.count_bits(both, who).collect()} == {(s, len([1 for x in near if x[0] == s])) for s in names}
+
+
+def test_batches_are_full(spark):
+    d = G.batches(spark.range(1003).selectExpr("CAST(id AS STRING) AS id").repartition(7), "id", 64)
+    sizes = sorted(r["count"] for r in d.groupBy("batch").count().collect())
+    assert sizes == [1003 % 64] + [64] * 15 and d.agg(F.max("batch")).first()[0] == 15
+    order = [r.id for r in d.orderBy("batch", "id").collect()]
+    assert order == sorted(order)
+    assert G.batches(spark.range(0).selectExpr("CAST(id AS STRING) AS id"), "id", 64).count() == 0
+
+
+def test_keyword_search_reads_the_description(spark):
+    n = nodes_of(spark, ["Acme", "Blue"]).withColumn("description", F.when(F.col("canonical_name") == "Blue", "all about Widgets"))
+    assert [r.canonical_name for r in G.keyword_search(n, ["widgets"]).collect()] == ["Blue"]
 
 
 def test_resolver_without_types(spark):
