@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions.numeric import lookup, nz, rnd
-from ..operators import graph as G, kg as K
+from ..operators import graph as G, kg as K, vectors as V
 from ..sources import landing as L, store as B
 from ..sources.tables import GRAPH_AS_OF
 from .oracle import fragment
@@ -223,6 +223,13 @@ def topk_threshold(m):
     return G.vector_search(m.embeddings, asked_vectors(m), 5, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
 
 
+@query("vector_cells", best_sql(20, "WHERE s>=0.35"))
+def vector_cells(m):
+    """Cosine search with threshold .35 over a cell index"""
+    index = V.build(m.embeddings, 64)
+    return V.search(index, asked_vectors(m), 20, 0.35).select("query_id", "vec_id", rnd(c("score"), 5).alias("score"))
+
+
 @query("embed_backlog", "SELECT id, (row_number() OVER (ORDER BY id) - 1)//64 AS batch FROM gnodes WHERE entity_type<>'Part'")
 def embed_backlog(m):
     """Nodes without a vector in full batches of 64"""
