@@ -10,7 +10,7 @@ from . import indicators as I
 
 c = F.col
 
-# Name, direction, strength, explanation; list order breaks ties.
+# Name, direction, strength, explanation; list order breaks ties. {} is the measured value.
 PATTERNS = [
     ("Bollinger Squeeze", "neutral", 0.7, "Bands compressed — a sharp move is imminent."),
     ("Bollinger Breakout (Upper)", "bearish", 0.6, "Price above upper band — overbought, watch for pullback."),
@@ -19,9 +19,9 @@ PATTERNS = [
     ("MACD Bearish Crossover", "bearish", 0.75, "MACD crossed below signal — momentum turning negative."),
     ("Golden Cross", "bullish", 0.9, "50-DMA crossed above 200-DMA — long-term bullish."),
     ("Death Cross", "bearish", 0.9, "50-DMA crossed below 200-DMA — long-term bearish."),
-    ("RSI Overbought", "bearish", 0.65, "RSI above 75 — overbought, risk of reversal."),
-    ("RSI Oversold", "bullish", 0.65, "RSI below 25 — oversold, bounce opportunity."),
-    ("Volume Spike", None, 0.8, "Volume far above 20d avg — strong institutional interest."),
+    ("RSI Overbought", "bearish", 0.65, "RSI at {} — overbought, risk of reversal."),
+    ("RSI Oversold", "bullish", 0.65, "RSI at {} — oversold, bounce opportunity."),
+    ("Volume Spike", None, 0.8, "Volume {}x above 20d avg — strong institutional interest."),
     ("Hammer", "bullish", 0.7, "Hammer — potential reversal from downtrend."),
     ("Shooting Star", "bearish", 0.7, "Shooting star — potential reversal from uptrend."),
     ("Doji", "neutral", 0.7, "Doji — indecision between buyers and sellers."),
@@ -48,10 +48,11 @@ PRIORITY = {name: k for k, (name, *_) in enumerate(sorted(PATTERNS, key=lambda p
 _BEARISH_SPIKE = len(PATTERNS)      # the volume spike takes its direction from the bar
 
 
-def _row(name: str, test: Column, fact: Column | None = None, at: Column | None = None) -> Column:
-    """A hit: its place by strength, which fact row it uses and when it happened."""
+def _row(name: str, test: Column, fact: Column | None = None, at: Column | None = None, value: Column | None = None) -> Column:
+    """A hit: its place by strength, which fact row it uses, when it happened and the value to tell."""
+    told = F.lit(None).cast("string") if value is None else F.bround(value, 1).cast("decimal(20,1)").cast("string")
     return F.when(test, F.struct(F.lit(PRIORITY[name]).alias("priority"), (F.lit(RANK[name]) if fact is None else fact).alias("fact"),
-                                 (F.unix_timestamp("ts") if at is None else at).alias("at")))
+                                 (F.unix_timestamp("ts") if at is None else at).alias("at"), told.alias("told")))
 
 
 def _facts() -> Column:
@@ -133,7 +134,7 @@ class Rsi(_Group):
         pass
 
     def rows(self):
-        return [_row("RSI Overbought", c("rsi") > 75), _row("RSI Oversold", c("rsi") < 25)]
+        return [_row("RSI Overbought", c("rsi") > 75, value=c("rsi")), _row("RSI Oversold", c("rsi") < 25, value=c("rsi"))]
 
 
 class VolumeSpike(_Group):
@@ -147,7 +148,7 @@ class VolumeSpike(_Group):
 
     def rows(self):
         fact = F.when(c("close") > c("prev_close"), RANK["Volume Spike"]).otherwise(_BEARISH_SPIKE)
-        return [_row("Volume Spike", (c("vol_mean") > 0) & (c("volume") > 2.5 * c("vol_mean")), fact)]
+        return [_row("Volume Spike", (c("vol_mean") > 0) & (c("volume") > 2.5 * c("vol_mean")), fact, value=c("volume") / F.nullif(c("vol_mean"), F.lit(0.0)))]
 
 
 class Candles(_Group):
@@ -316,8 +317,12 @@ def latest_patterns(bars: DataFrame, groups=ALL, min_bars: int = 1, best: bool =
     hits = F.array_compact(F.array(*rows))
     hits = F.array_compact(F.array(F.array_min(hits))) if best else hits
     hits = d.select("symbol", "ts", hits.alias("hits"), _facts().alias("facts"))
+    def fact(h, k):
+        text = F.element_at("facts", h["fact"] + 1)[k]
+        return F.replace(text, F.lit("{}"), F.coalesce(h["told"], F.lit("{}"))) if k == "explanation" else text
+
     named = F.transform("hits", lambda h: F.struct(*[
-        F.element_at("facts", h["fact"] + 1)[k].alias(k) for k in ("name", "direction", "explanation", "strength")],
+        fact(h, k).alias(k) for k in ("name", "direction", "explanation", "strength")],
         day(F.timestamp_seconds(h["at"])).alias("date"), F.element_at("facts", h["fact"] + 1)["rank"].alias("rank")))
     return hits.select("symbol", "ts", named.alias("patterns"))
 

@@ -11,9 +11,9 @@ c = F.col
 COLS = ["symbol", "name", "direction", "strength", "date"]
 
 
-def _reg(name, groups, fragment_name):
-    query(name, f"SELECT symbol, name, direction, strength, date FROM {fragment_name}")(
-        lambda m: P.pattern_rows(P.latest_patterns(m.bars, groups)).select(*COLS))
+def _reg(name, groups, fragment_name, *more):
+    query(name, f"SELECT {', '.join([*COLS, *more])} FROM {fragment_name}")(
+        lambda m: P.pattern_rows(P.latest_patterns(m.bars, groups)).select(*COLS, *more))
 
 
 def _hits(tests, src, date="strftime(ts,'%Y-%m-%d')"):
@@ -86,8 +86,8 @@ fragment("p_best", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym
 _reg("pat_bollinger", (P.Bollinger,), "p_bb")
 _reg("pat_macd_cross", (P.MacdCross,), "p_macd")
 _reg("pat_ma_cross", (P.AverageCross,), "p_cross")
-_reg("pat_rsi", (P.Rsi,), "p_rsi")
-_reg("pat_volume", (P.VolumeSpike,), "p_vol")
+_reg("pat_rsi", (P.Rsi,), "(SELECT h.*, 'RSI at ' || printf('%.1f', l.rsi) || CASE WHEN l.rsi>75 THEN ' — overbought, risk of reversal.' ELSE ' — oversold, bounce opportunity.' END AS explanation FROM p_rsi h JOIN plast l USING (symbol))", "explanation")
+_reg("pat_volume", (P.VolumeSpike,), "(SELECT h.*, 'Volume ' || printf('%.1f', v.volume/v.vm) || 'x above 20d avg — strong institutional interest.' AS explanation FROM p_vol h JOIN pvol v USING (symbol))", "explanation")
 _reg("pat_candles", (P.Candles,), "p_cdl")
 _reg("pat_structural", (P.Structural,), "p_stc")
 _reg("pat_all", P.POINTWISE, "p_point")
