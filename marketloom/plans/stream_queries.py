@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import day, lookup, nz, rnd
 from ..operators import indicators as I, signals as S, watches as W
 from ..session import shared_folder
+from ..sources import store as B
 from ..streaming import ordered as O, streams as Z, watching
 from . import functions_catalog as C
 from .oracle import fragment, recursions
@@ -204,6 +205,33 @@ def catalog(m):
     return m.table("supplier").select("s_suppkey", F.expr("normalize_name(s_name)").alias("norm_name"), F.expr("feed_symbol(s_name)").alias("feed_symbol"))
 
 
+def function_views(m):
+    """Builders of the views that the table functions read."""
+    from .news_queries import N, all_alerts, items
+    return {"nodes": lambda: m.nodes, "edges": lambda: m.edges, "signals": lambda: S.simple_signals(m.bars), "sentiment": lambda: N.sentiment(items(m)),
+            "alerts": lambda: all_alerts(m), "macro": lambda: B.latest_and_previous(m.bars), "holdings": lambda: m.holdings}
+
+
+@query("function_calls", """SELECT 'company_info' AS name, upper(id) AS argument, name AS result, 1::BIGINT AS total FROM gnodes WHERE entity_type='Supplier'
+ UNION ALL SELECT 'technical_signals', symbol, act, 1 FROM simple UNION ALL SELECT 'news_sentiment', q.ticker, CAST(q.n AS VARCHAR), 1 FROM sent0 q JOIN supplier ON q.ticker='S' || CAST(s_suppkey AS VARCHAR)
+ UNION ALL SELECT 'explore_connections', id, relation_type || ' ' || direction, count(*) FROM (SELECT from_id AS id, relation_type, 'out' AS direction FROM gedges UNION ALL SELECT to_id, relation_type, 'in' FROM gedges) GROUP BY ALL
+ UNION ALL SELECT 'graph_overview', entity_type, 'nodes', count(*) FROM gnodes GROUP BY 2 UNION ALL SELECT 'macro_latest', symbol, CASE WHEN close>pc THEN 'up' ELSE 'down' END, 1 FROM pb WHERE i=n-1
+ UNION ALL SELECT 'holding', 'S' || CAST(l_suppkey AS VARCHAR), CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR), 1 FROM lineitem WHERE l_suppkey%5=0 GROUP BY l_suppkey
+ UNION ALL (SELECT 'search_nodes', id, name, 1 FROM gnodes WHERE contains(lower(name),'ring') ORDER BY id LIMIT 20)""")
+def function_calls(m):
+    """Every table function that needs no alerts, called for all its arguments"""
+    C.install_tables(m.spark, function_views(m), [f.name for f in C.TABLE_FUNCTIONS if f.name != "radar_alerts"])
+    m.symbols.createOrReplaceTempView("symbols_view")
+    return m.spark.sql("""SELECT 'company_info' AS name, s.symbol AS argument, f.canonical_name AS result, 1L AS total FROM symbols_view s, LATERAL company_info(s.symbol) f
+ UNION ALL SELECT 'technical_signals', s.symbol, f.suggested_action, 1L FROM symbols_view s, LATERAL technical_signals(s.symbol) f
+ UNION ALL SELECT 'news_sentiment', s.symbol, string(f.articles_found), 1L FROM symbols_view s, LATERAL news_sentiment(s.symbol) f
+ UNION ALL SELECT 'explore_connections', n.id, concat(f.relation_type, ' ', f.direction), count(*) FROM nodes_view n, LATERAL explore_connections(n.id) f GROUP BY ALL
+ UNION ALL SELECT 'graph_overview', entity_type, 'nodes', total FROM graph_overview()
+ UNION ALL SELECT 'macro_latest', s.symbol, CASE WHEN f.pct_change > 0 THEN 'up' ELSE 'down' END, 1L FROM symbols_view s, LATERAL macro_latest(s.symbol) f
+ UNION ALL SELECT 'holding', s.symbol, string(bigint(f.quantity)), 1L FROM symbols_view s, LATERAL holding(s.symbol) f
+ UNION ALL SELECT 'search_nodes', id, canonical_name, 1L FROM search_nodes('ring', 20)""")
+
+
 @query("batch_score", "SELECT doc_id, CAST(length(text) % 7 AS DOUBLE) AS score FROM documents")
 def batch_score(m):
     """Injected batch scorer over whole texts"""

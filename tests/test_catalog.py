@@ -53,3 +53,31 @@ def test_plan_of_the_flagship(spark):
 def test_top_per_group_limits_before_the_exchange(spark):
     plan = QUERIES["topk_per_group"](spark, SMALL)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("WindowGroupLimit") == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_every_table_function_can_be_called_as_described(spark):
+    from marketloom.plans import functions_catalog as C
+    from marketloom.plans.stream_queries import function_views
+    from marketloom.sources.tables import Market
+
+    m = Market(spark, SMALL)
+    made = C.install_tables(spark, function_views(m))
+    told = {r.name: r for r in C.functions(spark).collect()}
+    assert sorted(made) == sorted(told)
+    first = {"ticker": "'S1'", "series": "'S1'", "node": "'s1'", "wanted": "'S5'", "k": "2"}
+    for name, row in told.items():
+        got = spark.sql(f"SELECT * FROM {name}({', '.join(first[a] for a in row.arguments)})")
+        assert ", ".join(f"{n} {t.upper()}" for n, t in got.dtypes) == row.returns
+        got.collect()
+    assert [r.id for r in spark.sql("SELECT id FROM search_nodes('SUPPLIER', 2)").collect()] == ["s0", "s1"]
+    assert spark.sql("SELECT * FROM company_info(NULL)").collect() == [] == spark.sql("SELECT * FROM holding('no such')").collect()
+
+
+def test_a_function_whose_view_is_missing_is_refused(spark):
+    from marketloom.plans import functions_catalog as C
+
+    assert C.install_tables(spark, {}) == []
+    for names in (["graph_overview"], ["unheard of"]):
+        with pytest.raises(KeyError):
+            C.install_tables(spark, {}, names)
