@@ -140,8 +140,8 @@ fragment("al_conf", f"""SELECT ticker, 'TA_BSNM_CONFLUENCE' AS alert_type, ticke
 UNION ALL SELECT ticker, 'TA_BSNM_BEAR_CONFLUENCE', ticker || ': Bearish Signal — Consider Exiting',
  'TA sell signal (score ' || {F2.format('score')} || ') combined with negative news (' || {SG.format('news')} || '). ' || summary, least((conf+abs(news))/2,1), 'bearish', 'SELL' FROM sigj WHERE act='SELL' AND news<-0.25""")
 _EXPL = "CASE name " + " ".join("WHEN '%s' THEN '%s'" % (n, t.replace("'", "''")) for n, _, _, t in P.PATTERNS) + " END"
-fragment("al_pat", f"""SELECT p.symbol AS ticker, 'CHART_PATTERN' AS alert_type, p.symbol || ': ' || name || ' Detected' AS title, {_EXPL} AS body, strength*greatest(R4(s.conf),0.65) AS strength,
- direction, CASE direction WHEN 'bullish' THEN 'BUY' WHEN 'bearish' THEN 'SELL' ELSE 'WATCH' END AS suggested_action FROM p_best p JOIN simple s USING (symbol) WHERE strength>=0.75""")
+fragment("al_pat", f"""SELECT p.symbol AS ticker, 'CHART_PATTERN' AS alert_type, p.symbol || ': ' || name || ' Detected' AS title, replace({_EXPL}, '{{}}', coalesce(printf('%.1f', v.volume/v.vm), '')) AS body, strength*greatest(R4(s.conf),0.65) AS strength,
+ direction, CASE direction WHEN 'bullish' THEN 'BUY' WHEN 'bearish' THEN 'SELL' ELSE 'WATCH' END AS suggested_action FROM p_best p JOIN simple s USING (symbol) LEFT JOIN (SELECT symbol, volume, vm FROM pvol WHERE vm>0) v USING (symbol) WHERE strength>=0.75""")
 fragment("al_news", """SELECT e.ticker, 'STRONG_NEWS' AS alert_type, e.ticker || ': Strong ' || CASE WHEN e.score>0 THEN 'Positive' ELSE 'Negative' END || ' News Flow' AS title, e.summary AS body,
  least(abs(e.score),1)*0.7 AS strength, CASE WHEN e.score>0 THEN 'bullish' ELSE 'bearish' END AS direction, CASE WHEN s.act='HOLD' THEN 'WATCH' WHEN e.score>0 THEN 'BUY' ELSE 'SELL' END AS suggested_action
 FROM sent e LEFT JOIN simple s ON s.symbol=e.ticker WHERE abs(e.score)>=0.5""")
