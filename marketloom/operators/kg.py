@@ -145,31 +145,80 @@ def name_index(nodes: DataFrame) -> DataFrame:
 
 
 # ── resolution ──────────────────────────────────────────────────────────────────────
-def _grams(t: Column, q: int = 3) -> Column:
-    """Distinct substrings of length 1 (only for matching needles shorter than q), 2 and q."""
+#: Texts that may share one gram before the gram counts as common.
+GRAM_GROUP = 2000
+#: A common gram holds more than this part of all rows as well, so there are fewer common grams than this.
+GRAM_SHARE = 1000
+#: Parts into which the texts of a common gram are dealt.
+GRAM_SALTS = 64
+SHORT, LONG = 3, 8
+
+
+def _grams(t: Column, lengths) -> Column:
+    """Distinct substrings of the given lengths."""
     def cut(n):
         at = F.sequence(F.lit(1), F.length(t) - (n - 1))
         return F.when(F.length(t) >= n, F.transform(at, lambda k: F.substr(t, k, F.lit(n)))).otherwise(
             F.array().cast("array<string>"))
 
-    parts = [cut(n) for n in (1, 2, q)]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[cut(n) for n in lengths]))
+
+
+def _dealt(h: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """Texts per gram (`h`) with a part number, (by, g, df, common) of every gram, and whether any
+    is common. Texts of a common gram are dealt out by hash, the others all have part 0. Common
+    grams number under GRAM_SHARE by their definition, so their table may be broadcast."""
+    freq = cut_lineage(h.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df")))
+    rows = freq.agg(F.sum("df")).first()[0] or 0
+    freq = freq.withColumn("common", c("df") > max(GRAM_GROUP, rows / GRAM_SHARE))
+    common = freq.where("common").select(*by, "g", "common")
+    part = F.when(c("common"), F.pmod(F.xxhash64("hay"), F.lit(GRAM_SALTS))).otherwise(0).cast("int")
+    h = h.join(F.broadcast(common), [*by, "g"], "left").withColumn("part", part)
+    return h, freq, not common.isEmpty()
+
+
+def _rarest(needles: DataFrame, grams: Column, freq: DataFrame, by: list[str]) -> DataFrame:
+    """Every needle with its rarest gram; a needle with a gram that no text holds is left out."""
+    n = needles.withColumn("g", F.explode(grams)).join(freq, [*by, "g"], "left")
+    n = n.groupBy(*needles.columns).agg(F.min(F.struct(nz(c("df"), 0).alias("df"), "g", "common")).alias("_r"))
+    return n.where(c("_r.df") > 0).select(*needles.columns, "_r.g", "_r.common")
+
+
+def inside(needles: DataFrame, hay: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of `needles` (by, needle, …) beside the rows of `hay` (by, hay, …) whose text holds the
+    needle. Texts must be distinct within `by`; null and empty needles lie nowhere.
+
+    A needle can only lie inside a text that has all its grams, so it is looked up under its rarest
+    one of three letters (or as a whole when shorter) and verified. When even that one is common,
+    the needle is looked up under its rarest one of eight letters, or as a whole when shorter. Texts
+    of grams that are still common are dealt into parts, and their needles visit every part, so no
+    group grows with the share of texts that hold a gram. Every pair appears once."""
+    n = needles.where(c("needle") != "")
+    keep = hay.columns
+    h, freq, any_common = _dealt(hay.withColumn("g", F.explode(_grams(c("hay"), range(1, SHORT + 1)))), by)
+    size = F.length("needle")
+    own = F.when(size < SHORT, F.array("needle")).otherwise(_grams(c("needle"), [SHORT]))
+    n = _rarest(n, own, freq, by)
+    h = h.select(*keep, "g", "part", "common")
+    if any_common:
+        n = cut_lineage(n)
+        climbs = c("common") & (size > SHORT)
+        asked = n.where(climbs).select(*by, "g").distinct()  # common grams: under GRAM_SHARE rows
+        tall = (h.where("common").join(F.broadcast(asked), [*by, "g"], "left_semi").select(*keep).dropDuplicates([*by, "hay"])
+                .withColumn("g", F.explode(_grams(c("hay"), range(SHORT + 1, LONG + 1)))))
+        tall, freq, _ = _dealt(tall, by)
+        own = F.when(size <= LONG, F.array("needle")).otherwise(_grams(c("needle"), [LONG]))
+        n = n.where(~climbs).unionByName(_rarest(n.where(climbs).select(*needles.columns), own, freq, by))
+        h = h.unionByName(tall.select(*keep, "g", "part", "common"))
+    parts = F.when(c("common"), F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    n = n.withColumn("part", F.explode(parts)).drop("common")
+    return n.join(h.drop("common"), [*by, "g", "part"]).where(F.contains("hay", c("needle"))).drop("g", "part")
 
 
 def contained(needles: DataFrame, hay: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct (by, text) needles inside distinct (by, text) hays as (by, needle, hay) rows.
-
-    A needle can only lie inside a text that has all its q-grams, so it is looked up under its
-    rarest one (or as a whole when shorter than q) and verified; no pair list per group."""
-    q = 3
-    h = hay.select(*by, c("text").alias("hay")).distinct().withColumn("g", F.explode(_grams(c("hay"))))
-    freq = h.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"))
-    n = needles.select(*by, c("text").alias("needle")).distinct().where(c("needle") != "")
-    own = F.when(F.length("needle") < q, F.array("needle")).otherwise(
-        F.filter(_grams(c("needle")), lambda g: F.length(g) == q))
-    n = n.withColumn("g", F.explode(own)).join(freq, [*by, "g"], "left").withColumn("df", nz(c("df"), 0))
-    rare = n.groupBy(*by, "needle").agg(F.min(F.struct("df", "g")).alias("r")).where(c("r.df") > 0).select(*by, "needle", c("r.g").alias("g"))
-    return rare.join(h, [*by, "g"]).where(F.contains("hay", c("needle"))).select(*by, "needle", "hay").distinct()
+    """Distinct (by, text) needles inside distinct (by, text) hays as (by, needle, hay) rows."""
+    n, h = (d.select(*by, c("text").alias(x)).distinct() for d, x in ((needles, "needle"), (hay, "hay")))
+    return inside(n, h, by).select(*by, "needle", "hay")
 
 
 def similar(left: DataFrame, right: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -222,10 +271,10 @@ def resolve(queries: DataFrame, nodes: DataFrame, tiers: tuple[int, ...] = (1, 2
         d = cut_lineage(d)
     rest = d.where(c("id1").isNull() & c("id2").isNull() & (c("norm") != "")).select(*by, "norm").distinct()
     if 3 in tiers:
-        asked = rest.select(*by, c("norm").alias("text"))
-        pair = (contained(asked, text, by).select(*by, c("needle").alias("norm"), c("hay").alias("text"))
-                .union(contained(text, asked, by).select(*by, c("hay").alias("norm"), c("needle").alias("text"))))
-        hit = pair.join(text, [*by, "text"]).groupBy(*by, "norm").agg(F.min("id").alias("id3"))
+        held = inside(rest.withColumnRenamed("norm", "needle"), text.withColumnRenamed("text", "hay"), by)
+        holds = inside(text.withColumnRenamed("text", "needle"), rest.withColumnRenamed("norm", "hay"), by)
+        hit = (held.select(*by, c("needle").alias("norm"), "id").union(holds.select(*by, c("hay").alias("norm"), "id"))
+               .groupBy(*by, "norm").agg(F.min("id").alias("id3")))
         d = d.join(hit, [*by, "norm"], "left")
     else:
         d = d.withColumn("id3", none)

@@ -408,6 +408,19 @@ def resolve_two_tiers(m):
     return K.resolve(asked, m.nodes.where(c("entity_type") == "Part"), tiers=(1, 3)).select("name", "tier", "id")
 
 
+_QA = "CASE length(canonical_name)%4 WHEN 0 THEN upper(canonical_name) WHEN 1 THEN canonical_name || ' Ltd.' WHEN 2 THEN substr(canonical_name,3) ELSE 'new ' || canonical_name || ' deluxe' END"
+fragment("ask_all", f"SELECT DISTINCT entity_type, name, {NN} AS norm FROM (SELECT entity_type, {_QA.replace('canonical_name', 'name')} AS name FROM gnodes)")
+fragment("known_all", f"SELECT entity_type, {NN} AS text, min(id) AS id FROM gnodes GROUP BY 1, 2")
+
+
+@query("resolve_contained", """SELECT a.entity_type, a.name, CASE WHEN min(k.id) FILTER (k.text=a.norm) IS NOT NULL THEN 1 ELSE 3 END AS tier, coalesce(min(k.id) FILTER (k.text=a.norm), min(k.id)) AS id
+ FROM ask_all a JOIN known_all k ON k.entity_type=a.entity_type AND (contains(a.norm, k.text) OR contains(k.text, a.norm)) WHERE a.norm<>'' AND k.text<>'' GROUP BY a.entity_type, a.name""")
+def resolve_contained(m):
+    """Exact name, else containment, for spellings of the nodes of every type"""
+    asked = m.nodes.select(e(_QA).alias("name"), "entity_type")
+    return K.resolve(asked, m.nodes, tiers=(1, 3)).select("entity_type", "name", "tier", "id")
+
+
 fragment("deg", "SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM gedges UNION ALL SELECT to_id FROM gedges) GROUP BY 1")
 fragment("dup", f"""SELECT id, entity_type, first_value(id) OVER (PARTITION BY entity_type, key ORDER BY confidence + CAST(0.001 AS DOUBLE)*coalesce(degree,0) DESC, id) AS survivor
 FROM (SELECT n.id, entity_type, confidence, degree, array_to_string(list_sort(list_distinct(string_split({NN},' '))),' ') AS key FROM gnodes n LEFT JOIN deg USING (id))""")

@@ -93,6 +93,29 @@ def test_containment_equals_brute_force(spark):
     assert got == {(x, y) for x in a for y in b if x and x in y}
 
 
+@pytest.mark.parametrize("group", [1, 4, 2000])
+def test_containment_with_common_grams(spark, monkeypatch, group):
+    """Three of four texts share a stem, needles are stems, their parts and longer names."""
+    monkeypatch.setattr(K, "GRAM_GROUP", group)
+    monkeypatch.setattr(K, "GRAM_SALTS", 3)
+    texts = [f"customer {k:04d}" for k in range(90)] + [f"part {k}" for k in range(30)] + ["", "a", "customer", None]
+    asked = ["customer", "custom", "c", "us", "ust", "mer 0", "customer 00", "customer 0042", "omer 0042 x", "", "zzz", "ztomer", None]
+    hay = spark.createDataFrame([(k, t, f"{i:03d}") for k in "xy" for i, t in enumerate(texts)], "kind string, hay string, id string")
+    needles = spark.createDataFrame([("x", t) for t in asked] + [("z", "customer")], "kind string, needle string")
+    got = sorted((r.needle, r.id) for r in K.inside(needles, hay, ["kind"]).collect())
+    assert got == sorted((n, f"{i:03d}") for n in asked if n for i, t in enumerate(texts) if t and n in t)
+    turned = K.inside(needles.select("kind", "needle"), hay.where("hay like 'q%'"), ["kind"])
+    assert turned.count() == 0
+
+
+def test_common_grams_are_split(spark, monkeypatch):
+    """A gram that all texts hold is dealt out: no key of the join holds a large part of them."""
+    monkeypatch.setattr(K, "GRAM_GROUP", 50)
+    hay = spark.range(3000).select(F.concat(F.lit("customer "), F.col("id").cast("string")).alias("hay"))
+    h, _, found = K._dealt(hay.withColumn("g", F.explode(K._grams(F.col("hay"), [3]))), [])
+    assert found and h.groupBy("g", "part").count().agg(F.max("count")).first()[0] < 3000 / K.GRAM_SALTS * 2.5
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
 def test_similar_equals_brute_force(spark, threshold):
     sets = {tuple(sorted(set(x.split()))) for x in random_names(3, 150, 1, 9)}
