@@ -46,19 +46,30 @@ def first_edges(edges: DataFrame, nodes: DataFrame, arrival: str) -> DataFrame:
     return top_rank(live_edges(edges, nodes), ["from_id", "to_id", "relation_type"], [c(arrival)], 1)
 
 
-def best_edges(edges: DataFrame, nodes: DataFrame | None = None, arrival: str = "id") -> DataFrame:
-    """Edge insert where the higher confidence wins, a tie keeps the earlier edge, and sources
-    are always merged (G06). The aggregate combines on the map side, so a third of all rows
-    being copies of one edge still reaches the reducers as one row per task."""
+EDGE = ["from_id", "to_id", "relation_type"]
+
+
+def winning_edges(edges: DataFrame, nodes: DataFrame | None = None, arrival: str = "id") -> DataFrame:
+    """One edge per (from, to, type) without its sources: the higher confidence wins, a tie keeps the
+    earlier edge (G06). Each map task keeps one row per edge, so copies of a hot edge are not moved."""
     d = edges if nodes is None else live_edges(edges, nodes)
-    keys = ["from_id", "to_id", "relation_type"]
-    rest = [x for x in d.columns if x not in keys + ["sources", arrival]]
-    best = F.min_by(F.struct(arrival, *rest), F.struct(-c("confidence"), c(arrival)))
-    aggs = [best.alias("_e")]
-    if "sources" in d.columns:
-        aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
-    g = d.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, "_e.*", *(["sources"] if "sources" in d.columns else []))
+    rest = [x for x in d.columns if x not in [*EDGE, "sources", arrival]]
+    return top_rank(d, EDGE, [-c("confidence"), c(arrival)], 1).select(*EDGE, arrival, *rest)
+
+
+def edge_sources(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Provenance as a table: distinct (from, to, type, source), however many sources an edge has."""
+    d = edges if nodes is None else live_edges(edges, nodes)
+    return d.select(*EDGE, F.explode("sources").alias("source")).where(c("source").isNotNull()).distinct()
+
+
+def best_edges(edges: DataFrame, nodes: DataFrame | None = None, arrival: str = "id") -> DataFrame:
+    """`winning_edges`, each with the sorted list of its sources when the edges have sources."""
+    best = winning_edges(edges, nodes, arrival)
+    if "sources" not in edges.columns:
+        return best
+    lists = edge_sources(edges, nodes).groupBy(*EDGE).agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    return best.join(lists, EDGE, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
 # ── look-ups ────────────────────────────────────────────────────────────────────────

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 from decimal import Decimal
 from math import gcd
 
@@ -101,23 +102,52 @@ def admit_entities(extractions: DataFrame, types: DataFrame, allowed: DataFrame)
 PLAIN = ["description", "ticker", "created_at", "updated_at"]
 
 
-def merge_rows(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
-    """Merge rows of one entity (E02, E04): name and first value of every attribute by rank,
-    union of aliases and sources, highest confidence, first known description, ticker and
-    times. All aggregates combine map-side."""
+@dataclass(frozen=True)
+class Merged:
+    """Entities of equal key as tables (E02, E04). `entities` has the key, the name and rank (`first`)
+    of the first row, the highest confidence and the first known plain columns; `names`, `sources` and
+    `attributes` hold one row per (key, name), (key, source) and (key, field) with the first value."""
+    key: list[str]
+    entities: DataFrame
+    names: DataFrame
+    sources: DataFrame
+    attributes: DataFrame
+    plain: list[str]
+
+    def nodes(self) -> DataFrame:
+        """Node rows with lists: names besides the canonical one are aliases."""
+        def listed(d, values, name):
+            return d.groupBy(*self.key).agg(values.alias(name))
+
+        d = self.entities.join(listed(self.names, F.array_sort(F.collect_list("name")), "names"), self.key, "left")
+        d = d.join(listed(self.sources, F.array_sort(F.collect_list("source")), "sources"), self.key, "left")
+        fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))
+        d = d.join(listed(self.attributes, fields, "attributes"), self.key, "left")
+        none = F.array().cast("array<string>")
+        return d.select(*self.key, "canonical_name", F.coalesce(F.array_remove("names", c("canonical_name")), none).alias("aliases"),
+                        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+                        F.coalesce("sources", none).alias("sources"), "confidence", *self.plain)
+
+
+def merge_tables(rows: DataFrame, key: list[str], rank: str) -> Merged:
+    """Merge rows of one entity into tables. First values are taken by rank; a map task keeps one row
+    per key and field, and names and sources are distinct rows, so neither a hot entity nor its
+    provenance becomes one large row or group."""
     plain = [x for x in PLAIN if x in rows.columns]
-    attrs = (rows.select(*key, rank, F.explode("attributes").alias("k", "v")).groupBy(*key, "k")
-             .agg(F.min_by("v", rank).alias("v")).groupBy(*key)
-             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes")))
-    g = rows.groupBy(*key).agg(
-        F.min_by("canonical_name", rank).alias("canonical_name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(all_names(c("canonical_name"), c("aliases")))))).alias("names"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        F.max("confidence").alias("confidence"),
-        *[F.min_by(x, F.when(c(x).isNotNull(), c(rank))).alias(x) for x in plain])
-    g = g.join(attrs, key, "left")
-    return g.select(*key, "canonical_name", F.array_remove("names", c("canonical_name")).alias("aliases"),
-                    F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"), "sources", "confidence", *plain)
+    first = top_rank(rows.select(*key, "canonical_name", c(rank).alias("first")), key, [c("first")], 1)
+    d = first.join(rows.groupBy(*key).agg(F.max("confidence").alias("confidence")), key)
+    for x in plain:
+        known = rows.where(c(x).isNotNull()).select(*key, x, c(rank).alias("_rank"))
+        d = d.join(top_rank(known, key, [c("_rank")], 1).drop("_rank"), key, "left")
+    fields = rows.select(*key, c(rank).alias("_rank"), F.explode("attributes").alias("field", "value"))
+    return Merged(key, d, rows.select(*key, F.explode(all_names(c("canonical_name"), c("aliases"))).alias("name")).distinct(),
+                  rows.select(*key, F.explode("sources").alias("source")).distinct(),
+                  top_rank(fields, [*key, "field"], [c("_rank")], 1).drop("_rank"), plain)
+
+
+def merge_rows(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """`merge_tables` as node rows."""
+    return merge_tables(rows, key, rank).nodes()
 
 
 def admit_relations(extractions: DataFrame, relations: DataFrame, local: DataFrame, resolver: DataFrame) -> DataFrame:
@@ -316,13 +346,13 @@ def duplicate_map(nodes: DataFrame, edges: DataFrame, threshold: float = DEDUP_J
         root = components(pair).select(c("node").alias("_v"), F.substring_index("component", "\x01", -1).alias("_root"))
         merged = (n.join(root, F.concat("entity_type", sep, "key") == c("_v"), "left")
                   .withColumn("cluster", F.coalesce("_root", "key")).drop("_v", "_root"))
-    keep = merged.groupBy("entity_type", "cluster").agg(F.min(F.struct(-c("score"), c("id")))["id"].alias("survivor"))
-    return merged.join(keep, ["entity_type", "cluster"]).select("id", "entity_type", "survivor")
+    keep = top_rank(merged.select("entity_type", "cluster", "score", c("id").alias("survivor")), ["entity_type", "cluster"], [-c("score"), c("survivor")], 1)
+    return merged.join(keep.drop("score"), ["entity_type", "cluster"]).select("id", "entity_type", "survivor")
 
 
 def rewrite(nodes: DataFrame, edges: DataFrame, dup: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge losers into survivors and redirect, collapse and clean their edges."""
-    m = dup.select("id", "survivor")
+    m = cut_lineage(dup.select("id", "survivor"))
     rows = nodes.join(m, "id").withColumn("rank", F.struct((c("id") != c("survivor")).cast("int").alias("loser"), "id"))
     kinds = nodes.select("id", "entity_type", "domain").withColumnRenamed("id", "survivor")
     plain = [x for x in PLAIN if x in nodes.columns]
@@ -474,7 +504,7 @@ def build(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, types: Dat
     asked = extractions.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.from_entity", "r.to_entity")).alias("name")).distinct()
     new_edges = admit_relations(extractions, relations, local, resolve(asked, all_nodes).select("name", "id"))
     all_edges = cut_lineage(best_edges(_whole_edges(edges).unionByName(_whole_edges(new_edges)), all_nodes))
-    final_nodes, final_edges = rewrite(all_nodes, all_edges, cut_lineage(duplicate_map(all_nodes, all_edges)))
+    final_nodes, final_edges = rewrite(all_nodes, all_edges, duplicate_map(all_nodes, all_edges))
     final_nodes, final_edges = cut_lineage(final_nodes), cut_lineage(final_edges)
 
     def edge(df, kind, weight, conf):

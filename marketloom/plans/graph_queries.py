@@ -79,11 +79,13 @@ def edge_dedup_first(m):
     return G.first_edges(raw_edges(m), m.nodes, "arrival").select("from_id", "to_id", "weight")
 
 
-@query("edge_dedup_conf", """SELECT from_id, to_id, arg_min(weight, row(-confidence, o)) AS weight, max(confidence) AS confidence, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM raw_e WHERE to_id LIKE 'p%' GROUP BY 1,2""")
+@query("edge_dedup_conf", """SELECT from_id, to_id, weight, confidence, src AS source FROM (SELECT from_id, to_id, arg_min(weight, row(-confidence, o)) AS weight, max(confidence) AS confidence FROM raw_e WHERE to_id LIKE 'p%' GROUP BY 1,2)
+ JOIN (SELECT DISTINCT from_id, to_id, src FROM raw_e) USING (from_id, to_id)""")
 def edge_dedup_conf(m):
-    """Most confident edge per (from, to, type), sources merged"""
-    d = G.best_edges(raw_edges(m), m.nodes, "arrival")
-    return d.select("from_id", "to_id", "weight", "confidence", F.array_join("sources", ",").alias("sources"))
+    """Most confident edge per (from, to, type) beside each of its sources"""
+    raw = raw_edges(m)
+    d = G.winning_edges(raw, m.nodes, "arrival").join(G.edge_sources(raw), G.EDGE)
+    return d.select("from_id", "to_id", "weight", "confidence", "source")
 
 
 @query("edges_of", "SELECT id, 'out' AS direction FROM gedges WHERE from_id='n1' UNION ALL SELECT id, 'in' FROM gedges WHERE to_id='n1'")
@@ -354,9 +356,10 @@ NN = NORM.format("name")
 def merge_entities(m):
     """Entities of one normalised name merged into one row"""
     d = admitted(m).withColumn("norm_name", X.normalize_name(c("canonical_name"))).where(c("norm_name") != "").withColumn("sources", F.array("source_url"))
-    g = K.merge_rows(d, ["entity_type", "norm_name"], "source_url")
-    return g.select("entity_type", "norm_name", F.size("sources").cast("bigint").alias("sources"), "confidence",
-                    F.when(c("entity_type") == "Organization", c("attributes")["sector"]).alias("sector"))
+    g = K.merge_tables(d, ["entity_type", "norm_name"], "source_url")
+    count = g.sources.groupBy(*g.key).agg(F.count(F.lit(1)).alias("sources"))
+    sector = g.attributes.where((c("field") == "sector") & (c("entity_type") == "Organization")).select(*g.key, c("value").alias("sector"))
+    return g.entities.join(count, g.key).join(sector, g.key, "left").select(*g.key, "sources", "confidence", "sector")
 
 
 @query("admit_relations", """SELECT relation_type, from_name, to_name, max(weight) AS weight, count(DISTINCT url) AS sources FROM (
@@ -375,8 +378,19 @@ def admit_relations(m):
 def entity_upsert(m):
     """Add-or-merge by exact normalised name and type"""
     d = m.nodes.withColumn("norm_name", X.normalize_name(c("canonical_name"))).withColumn("sources", F.array("id"))
-    g = K.merge_rows(d, ["entity_type", "norm_name"], "id")
-    return g.select("entity_type", "norm_name", F.size("sources").cast("bigint").alias("copies"), rnd(c("confidence"), 4).alias("confidence"), F.element_at("sources", 1).alias("id"))
+    g = K.merge_tables(d, ["entity_type", "norm_name"], "id")
+    count = g.sources.groupBy(*g.key).agg(F.count(F.lit(1)).alias("copies"))
+    return g.entities.join(count, g.key).select(*g.key, "copies", rnd(c("confidence"), 4).alias("confidence"), c("first").alias("id"))
+
+
+@query("entity_provenance", f"""SELECT entity_type, norm_name, 'source' AS kind, url AS value FROM (SELECT ty AS entity_type, {NN} AS norm_name, url FROM ents) WHERE norm_name<>'' GROUP BY ALL
+UNION ALL SELECT entity_type, norm_name, 'name', value FROM (SELECT ty AS entity_type, {NN} AS norm_name, unnest([name, alias]) AS value FROM ents) WHERE norm_name<>'' AND value<>'' GROUP BY ALL""")
+def entity_provenance(m):
+    """Every source and every name of every merged entity"""
+    d = admitted(m).withColumn("norm_name", X.normalize_name(c("canonical_name"))).where(c("norm_name") != "").withColumn("sources", F.array("source_url"))
+    g = K.merge_tables(d, ["entity_type", "norm_name"], "source_url")
+    return (g.sources.select(*g.key, F.lit("source").alias("kind"), c("source").alias("value"))
+            .union(g.names.select(*g.key, F.lit("name"), "name")))
 
 
 @query("name_index", f"SELECT {NN} AS norm_name, id FROM gnodes")

@@ -28,6 +28,33 @@ def test_best_edges(spark):
     assert got == {("n000", "n001"): ("e0", ["s0", "s1", "s2"]), ("n001", "n001"): ("e4", ["s4"])}
 
 
+def test_provenance_is_rows(spark):
+    """Ties keep the earlier edge, an unknown confidence wins as before, null sources vanish."""
+    e = spark.createDataFrame([("e2", "R", "a", "b", 1.0, 0.5, ["y", None]), ("e1", "R", "a", "b", 2.0, 0.5, ["x", "y"]), ("e3", "R", "a", "c", 3.0, 0.1, None),
+                               ("e4", "R", "a", "c", 4.0, None, [])], "id string, relation_type string, from_id string, to_id string, weight double, confidence double, sources array<string>")
+    assert sorted((r.to_id, r.id) for r in G.winning_edges(e).collect()) == [("b", "e1"), ("c", "e4")]
+    assert sorted((r.to_id, r.source) for r in G.edge_sources(e).collect()) == [("b", "x"), ("b", "y")]
+    assert {r.to_id: r.sources for r in G.best_edges(e).collect()} == {"b": ["x", "y"], "c": []}
+
+
+def test_merged_entities_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("pqr"), k, rng.choice(["N", "n", "Nn"]), rng.sample(["N", "o", "w", ""], rng.randint(0, 3)), {f: str(k) for f in rng.sample("fgh", rng.randint(0, 2))},
+             rng.sample(["s", "t", "u"], rng.randint(0, 2)), rng.random(), rng.choice([None, f"d{k}"])) for k in range(60)]
+    d = spark.createDataFrame(rows, "k string, rank int, canonical_name string, aliases array<string>, attributes map<string,string>, sources array<string>, confidence double, description string")
+    got = {r.k: r for r in K.merge_rows(d.repartition(7), ["k"], "rank").collect()}
+    for key in "pqr":
+        mine = [r for r in rows if r[0] == key]
+        fields = {}
+        for r in mine:
+            for f, v in r[4].items():
+                fields.setdefault(f, v)
+        names = {x for r in mine for x in [r[2], *r[3]] if x} - {mine[0][2]}
+        want = (mine[0][2], sorted(names), fields, sorted({x for r in mine for x in r[5]}), max(r[6] for r in mine), next(r[7] for r in mine if r[7]))
+        r = got[key]
+        assert (r.canonical_name, r.aliases, r.attributes, r.sources, r.confidence, r.description) == want
+
+
 def test_expand_revisits_start_once(spark):
     e = edges_of(spark, [("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("c", "c", 1), ("a", "b", 1)])
     s = spark.createDataFrame([("a",)], "id string")
