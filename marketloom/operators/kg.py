@@ -199,12 +199,14 @@ def _dealt(h: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, bool]:
     is common. Texts of a common gram are dealt out by hash, the others all have part 0. Common
     grams number under GRAM_SHARE by their definition, so their table may be broadcast."""
     freq = cut_lineage(h.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df")))
-    rows = freq.agg(F.sum("df")).first()[0] or 0
-    freq = freq.withColumn("common", c("df") > max(GRAM_GROUP, rows / GRAM_SHARE))
+    rows, most = freq.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    bound = max(GRAM_GROUP, rows / GRAM_SHARE)
+    freq = freq.withColumn("common", c("df") > bound)
+    if most <= bound:
+        return h.withColumns({"common": F.lit(False), "part": F.lit(0)}), freq, False
     common = freq.where("common").select(*by, "g", "common")
     part = F.when(c("common"), F.pmod(F.xxhash64("hay"), F.lit(GRAM_SALTS))).otherwise(0).cast("int")
-    h = h.join(F.broadcast(common), [*by, "g"], "left").withColumn("part", part)
-    return h, freq, not common.isEmpty()
+    return h.join(F.broadcast(common), [*by, "g"], "left").withColumn("part", part), freq, True
 
 
 def _rarest(needles: DataFrame, grams: Column, freq: DataFrame, by: list[str]) -> DataFrame:
