@@ -42,10 +42,10 @@ def land(df: DataFrame, slices: list[Column]) -> str:
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 16, only: str | None = None) -> DataFrame:
+    """Files of a folder as a stream, or those of the table named `only` in it, be it one file or a folder of them."""
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if only:
-        r = r.option("pathGlobFilter", only)
-    return r.parquet(path)
+    # a pattern, since a plain path must be a folder and a filter of names leaves out the files of a folder
+    return r.parquet(f"{path}/{{{only}}}" if only else path)
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:

@@ -57,3 +57,12 @@ def test_late_bar_is_left_out(spark, walk):
     got = Z.run_available(Z.indicators(stream, ["ema50"])).select("symbol", "ts", "ema50").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     want = I.kernels(I.clustered(bars.where(~late)), ["ema50"]).select("symbol", "ts", "ema50").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_a_table_is_followed_as_a_file_and_as_a_folder(spark, tmp_path):
+    d = spark.range(40).selectExpr("id", "CAST(id % 3 AS STRING) AS name")
+    d.repartition(4).write.parquet(f"{tmp_path}/parts.parquet")
+    d.toPandas().to_parquet(f"{tmp_path}/one.parquet")
+    for name in ("parts", "one"):
+        got = Z.run_available(Z.follow(spark, str(tmp_path), d.schema, files_per_batch=2, only=f"{name}.parquet"))
+        assert sorted(r.id for r in got.collect()) == list(range(40))
