@@ -87,3 +87,14 @@ def test_watch_predicates(spark):
                               "k int, metric string, operator string, threshold_num double, threshold_str string, price double, pct_change double, score double, action string")
     got = {r.k: r.m for r in d.select("k", W.met().alias("m")).collect()}
     assert got == {k: x[-1] for k, x in enumerate(cases)}
+
+
+def test_one_decimal_text_is_rounded_by_the_exact_value(spark):
+    import random
+
+    from marketloom.functions.numeric import f1
+
+    rng = random.Random(5)
+    values = [(2 * k + 1) / 20 for k in range(3000)] + [0.0, 3.25, 3.75, 3.45, 0.3, 0.29999999999999998, 99.95] + [rng.uniform(0, 100) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", f1(F.col("v")).alias("t")).collect()
+    assert [r for r in got if r.t != "%.1f" % r.v] == []
