@@ -16,6 +16,8 @@ import numpy as np
 f32 = np.float32
 #: Rows of scores at once.
 ROWS = 2048
+#: States that wait until their outputs are told at once.
+WAITING = 32_768
 
 
 @dataclass(frozen=True)
@@ -90,9 +92,18 @@ def softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pick: np.
 
 
 class Lanes:
-    """Documents side by side: every lane is a row of whole documents, the longest lanes first."""
-
-    def __init__(self, ids: np.ndarray, first: np.ndarray, n_lanes: int, end: int):
+    """Documents side by side: every lane is a row of whole documents, the longest lanes first.
+
+    With cut, a longer document is laid out in parts of that many tokens. Every part but the first follows the
+    token before it, with a fresh state."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, n_lanes: int, end: int, cut: int | None = None):
+        before = np.r_[end, ids[:-1]][:len(ids)]
+        before[first[:-1]] = end
+        if cut:
+            parts = -(-np.diff(first) // cut)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.r_[np.repeat(first[:-1], parts) + nth * cut, first[-1]]
         lengths = np.diff(first)
         heap = [(0, lane) for lane in range(max(1, min(n_lanes, len(lengths))))]
         lanes: list[list[int]] = [[] for _ in heap]
@@ -105,10 +116,10 @@ class Lanes:
         size = lengths[order]
         starts = np.cumsum(size) - size
         self.doc = np.repeat(order, size)
-        self.target = ids[np.arange(len(ids)) - np.repeat(starts, size) + np.repeat(first[order], size)]
+        source = np.arange(len(ids)) - np.repeat(starts, size) + np.repeat(first[order], size)
+        self.target, self.given = ids[source], before[source]
         self.begin = np.zeros(len(ids), bool)
         self.begin[starts] = True
-        self.given = np.where(self.begin, end, np.r_[self.target[:1], self.target[:-1]])
         self.length = np.array([int(lengths[docs].sum()) for docs in lanes], dtype=np.int64)
         self.offset = np.cumsum(self.length) - self.length
 
@@ -267,9 +278,18 @@ def log_likelihood(net: Network, table: np.ndarray, ids: np.ndarray, first: np.n
     """Natural log-probability of every document; ids of document i are first[i]..first[i + 1], its end included."""
     lanes, out = Lanes(ids, first, n_lanes, end), np.zeros(len(first) - 1)
     h = np.zeros((len(lanes.length), net.shape.hidden), f32)
+    held, waiting = [], 0
+
+    def add():
+        here = np.concatenate([x for x, _ in held])
+        logp, _ = net.output(np.concatenate([x for _, x in held]), lanes.target[here])
+        return np.bincount(lanes.doc[here], logp, len(out))
+
     for at, exists in lanes.windows(steps):
         states, h, _ = net.run(lanes.given[at], lanes.begin[at], h[:at.shape[1]], table)
-        here = at[exists]
-        logp, _ = net.output(states[exists], lanes.target[here])
-        out += np.bincount(lanes.doc[here], logp, len(out))
-    return out
+        held.append((at[exists], states[exists]))
+        waiting += len(held[-1][0])
+        if waiting >= WAITING:  # the windows of long documents hold few lanes, so their outputs are told together
+            out += add()
+            held, waiting = [], 0
+    return out + add() if held else out

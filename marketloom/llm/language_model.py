@@ -8,11 +8,11 @@ less an absolute discount; the discounts of all words of an outline are the shar
 as one event. So every text has a proper log-probability over all words seen in training and one
 unseen event per outline, and only sums over rare words need the table of counts.
 
-Training: the documents that learn and whose identifier hashes into one of every `SHARE` parts take
-part, so the work grows with the corpus. In each of `ROUNDS` rounds tasks train on their own documents
-from the same start (documents side by side in lanes, truncated backpropagation over windows, state
-carried from window to window), and the parameters are averaged by tokens, tree-wise. Biases start at
-the log frequencies of the whole training corpus.
+Training: every document that learns takes part in one of `ROUNDS` rounds, with its whole text. In a
+round tasks train on their own documents from the same start (parts of at most `CUT` tokens side by side
+in lanes, truncated backpropagation over windows, state carried from window to window), and the
+parameters are averaged by tokens, tree-wise. Biases start at the log frequencies of the whole
+training corpus.
 
 Scoring is one pass: the state is carried through the whole document, whatever its length. Counts of
 the `WARM` commonest words (a few megabytes) travel to the tasks; rarer words of a document, which are
@@ -36,8 +36,8 @@ from .common import release, stored
 
 #: Words predicted one by one, words of a class, words whose counts travel to the tasks.
 HEAD, CLASS, WARM = 4096, 64, 131_072
-#: Hidden units, lanes and steps of a training window, rate of its steps, rounds, one of how many parts trains.
-HIDDEN, LANES, STEPS, RATE, ROUNDS, SHARE = 32, 256, 16, 0.015, 3, 4
+#: Hidden units, lanes and steps of a training window, tokens of a lane's part, rate of its steps, rounds, one of how many parts trains (1: all).
+HIDDEN, LANES, STEPS, CUT, RATE, ROUNDS, SHARE = 32, 256, 16, 1024, 0.015, 3, 1
 #: Bytes of text that a task scans at once.
 SLICE = 4 << 20
 OUTLINES = 24
@@ -144,7 +144,7 @@ def sequences(w: textscan.Words, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """Parameters after all rounds over the parts of docs (doc_id, text) that train."""
+    """Parameters after all rounds; together they pass over all docs (doc_id, text)."""
     sc, shape = docs.sparkSession.sparkContext, vocab.shape()
     flat = gru.initial(shape, vocab.frequencies())
     words = sc.broadcast(vocab)
@@ -157,7 +157,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
                 for part in textscan.slices(batch, 0, SLICE):
                     w = textscan.scan(part.column(0), lower=True)
                     ids, first = sequences(w, words.value.find(w, outlines(w))[0])
-                    trainer.learn(gru.Lanes(ids, first, LANES, 0), STEPS)
+                    trainer.learn(gru.Lanes(ids, first, LANES, 0, CUT), STEPS)
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.net.flat.tobytes()], pa.binary()), pa.array([trainer.tokens], pa.int64())], ["flat", "tokens"])
 

@@ -167,3 +167,19 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     got = L.score_all(frame(spark, [(i, "a b") for i in only], 1), held()).collect()
     assert len(got) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0 and r.score < 0 for r in got)
     assert L.score_all(frame(spark, [], 1), held()).count() == 0
+
+
+def test_parts_of_long_documents_follow_the_token_before_them():
+    ids, first = np.array([5, 6, 7, 8, 0, 9, 0, 4, 3, 2, 1, 7, 6, 0]), np.array([0, 5, 7, 14])
+    lanes = gru.Lanes(ids, first, 2, 0, 3)
+    before = {0: 0, 5: 0, 7: 0, **{i: ids[i - 1] for i in (1, 2, 3, 4, 6, 8, 9, 10, 11, 12, 13)}}
+    assert sorted(zip(lanes.given.tolist(), lanes.target.tolist())) == sorted((int(before[i]), int(ids[i])) for i in range(14))
+    assert lanes.begin.sum() == 2 + 1 + 3 and max(np.bincount(lanes.doc)) == 3
+
+
+def test_every_training_document_teaches(spark):
+    rows = [(i, "a b c d " * 30) for i in range(6)]
+    vocab = L.vocabulary(L.word_counts(frame(spark, rows)).cache(), len(rows))
+    start = gru.initial(vocab.shape(), vocab.frequencies())
+    for row in rows:
+        assert not np.array_equal(L.train(frame(spark, [row], 1).select("doc_id", "text"), vocab), start)
