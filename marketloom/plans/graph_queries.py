@@ -73,14 +73,14 @@ def raw_edges(m):
         c("l_quantity").alias("weight"), c("l_discount").alias("confidence"), F.array("l_returnflag").alias("sources"))
 
 
-@query("edge_dedup_first", "SELECT from_id, to_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY o) AS r FROM raw_e WHERE to_id LIKE 'p%') WHERE r=1")
+@query("edge_dedup_first", "SELECT from_id, to_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY o) AS r FROM raw_e WHERE to_id LIKE 'p%') WHERE r=1", bounded=True)
 def edge_dedup_first(m):
     """First edge per (from, to, type), dangling edges dropped"""
     return G.first_edges(raw_edges(m), m.nodes, "arrival").select("from_id", "to_id", "weight")
 
 
 @query("edge_dedup_conf", """SELECT from_id, to_id, weight, confidence, src AS source FROM (SELECT from_id, to_id, arg_min(weight, row(-confidence, o)) AS weight, max(confidence) AS confidence FROM raw_e WHERE to_id LIKE 'p%' GROUP BY 1,2)
- JOIN (SELECT DISTINCT from_id, to_id, src FROM raw_e) USING (from_id, to_id)""")
+ JOIN (SELECT DISTINCT from_id, to_id, src FROM raw_e) USING (from_id, to_id)""", bounded=True)
 def edge_dedup_conf(m):
     """Most confident edge per (from, to, type) beside each of its sources"""
     raw = raw_edges(m)
@@ -95,14 +95,14 @@ def edges_of(m):
             .union(m.edges.where(c("to_id") == "n1").select("id", F.lit("in"))))
 
 
-@query("one_hop", f"SELECT g.id, t.name AS target, t.entity_type AS target_type, R6({EFF}) AS effective_weight FROM gedges g JOIN gnodes t ON t.id=g.to_id WHERE g.from_id LIKE 's%'")
+@query("one_hop", f"SELECT g.id, t.name AS target, t.entity_type AS target_type, R6({EFF}) AS effective_weight FROM gedges g JOIN gnodes t ON t.id=g.to_id WHERE g.from_id LIKE 's%'", bounded=True)
 def one_hop(m):
     """Targets one hop from every supplier with decayed weight"""
     d = G.one_hop(m.edges, m.nodes, suppliers(m), now())
     return d.select("id", "target", "target_type", rnd(c("effective_weight"), 6).alias("effective_weight"))
 
 
-@query("edge_decay", f"SELECT g.id, R6({EFF}) AS effective_weight FROM gedges g")
+@query("edge_decay", f"SELECT g.id, R6({EFF}) AS effective_weight FROM gedges g", bounded=True)
 def edge_decay(m):
     """Decayed weight of every edge"""
     return m.edges.select("id", rnd(G.edge_weight(now()), 6).alias("effective_weight"))
@@ -121,7 +121,7 @@ def walk_edges(m):
     return loc.union(back)
 
 
-@query("khop_directed", """SELECT start, hop, v[1] AS src, v[2] AS edge, tgt FROM (SELECT start, 1 AS hop, tgt, v FROM hop1 UNION ALL SELECT start, 2, tgt, v FROM hop2 UNION ALL SELECT start, 3, tgt, v FROM hop3)""")
+@query("khop_directed", """SELECT start, hop, v[1] AS src, v[2] AS edge, tgt FROM (SELECT start, 1 AS hop, tgt, v FROM hop1 UNION ALL SELECT start, 2, tgt, v FROM hop2 UNION ALL SELECT start, 3, tgt, v FROM hop3)""", bounded=True)
 def khop_directed(m):
     """Three-hop breadth-first tree from every customer"""
     starts = m.nodes.where(c("entity_type") == "Customer").select("id")
@@ -132,7 +132,7 @@ def khop_directed(m):
  SELECT n_nationkey, 'n'||CAST(n_nationkey AS VARCHAR) AS id FROM nation UNION ALL SELECT n_nationkey, 'r'||CAST(n_regionkey AS VARCHAR) FROM nation
  UNION ALL SELECT a.n_nationkey, 'n'||CAST(b.n_nationkey AS VARCHAR) FROM nation a JOIN nation b USING (n_regionkey)
  UNION ALL SELECT c_nationkey, 'c'||CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT s_nationkey, 's'||CAST(s_suppkey AS VARCHAR) FROM supplier
- UNION ALL SELECT s_nationkey, 'p'||CAST(l_partkey AS VARCHAR) FROM lineitem JOIN supplier ON l_suppkey=s_suppkey)) GROUP BY 1""")
+ UNION ALL SELECT s_nationkey, 'p'||CAST(l_partkey AS VARCHAR) FROM lineitem JOIN supplier ON l_suppkey=s_suppkey)) GROUP BY 1""", bounded=True)
 def khop_undirected(m):
     """Nodes within two undirected hops of every nation"""
     seen, _ = G.surroundings(m.edges, nations(m), 2)
@@ -155,7 +155,7 @@ def edges_between(m):
 @query("ego_graph", """SELECT start, count(*) AS edges FROM (SELECT DISTINCT start, edge FROM (
  SELECT 's'||CAST(s_suppkey AS VARCHAR) AS start, 'LOCATED_IN:s'||CAST(s_suppkey AS VARCHAR)||':n'||CAST(s_nationkey AS VARCHAR) AS edge FROM supplier
  UNION ALL SELECT from_id, id FROM gedges WHERE relation_type='SUPPLIES'
- UNION ALL SELECT 's'||CAST(s_suppkey AS VARCHAR), 'IN_REGION:n'||CAST(n_nationkey AS VARCHAR)||':r'||CAST(n_regionkey AS VARCHAR) FROM supplier JOIN nation ON n_nationkey=s_nationkey)) GROUP BY 1""")
+ UNION ALL SELECT 's'||CAST(s_suppkey AS VARCHAR), 'IN_REGION:n'||CAST(n_nationkey AS VARCHAR)||':r'||CAST(n_regionkey AS VARCHAR) FROM supplier JOIN nation ON n_nationkey=s_nationkey)) GROUP BY 1""", bounded=True)
 def ego_graph(m):
     """Size of every supplier's two-hop view"""
     return G.ego_graph(m.edges, suppliers(m)).groupBy("start").agg(F.count(F.lit(1)).alias("edges"))
@@ -245,7 +245,7 @@ def score_batches(m):
     return G.batches(m.edges, "id", 20).select("id", "batch")
 
 
-@query("typed_neighbors", "SELECT from_id, to_id, strftime(created_at,'%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY created_at DESC, to_id) AS r FROM gedges WHERE relation_type='SUPPLIES') WHERE r<=10")
+@query("typed_neighbors", "SELECT from_id, to_id, strftime(created_at,'%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY created_at DESC, to_id) AS r FROM gedges WHERE relation_type='SUPPLIES') WHERE r<=10", bounded=True)
 def typed_neighbors(m):
     """Ten newest parts of every supplier"""
     d = G.typed_neighbors(m.edges, m.nodes, "SUPPLIES", 10)
@@ -254,7 +254,7 @@ def typed_neighbors(m):
 
 @query("connections", f"""SELECT start, hop, src_name, tgt_name, relation_type, weight FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, src, tgt) AS r FROM (
  SELECT x.start, x.hop, x.v[1] AS src, x.tgt, a.name AS src_name, b.name AS tgt_name, g.relation_type, R3({EFF}) AS weight FROM (
-  SELECT start, 1 AS hop, tgt, v FROM h1 UNION ALL SELECT start, 2, tgt, v FROM h2) x JOIN gedges g ON g.id=x.v[2] JOIN gnodes a ON a.id=x.v[1] JOIN gnodes b ON b.id=x.tgt)) WHERE r<=30""")
+  SELECT start, 1 AS hop, tgt, v FROM h1 UNION ALL SELECT start, 2, tgt, v FROM h2) x JOIN gedges g ON g.id=x.v[2] JOIN gnodes a ON a.id=x.v[1] JOIN gnodes b ON b.id=x.tgt)) WHERE r<=30""", bounded=True)
 def connections(m):
     """Readable two-hop connections of every supplier"""
     d = G.connections(m.edges, m.nodes, suppliers(m), 2, now())

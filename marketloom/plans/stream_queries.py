@@ -217,7 +217,7 @@ def function_views(m):
  UNION ALL SELECT 'explore_connections', id, relation_type || ' ' || direction, count(*) FROM (SELECT from_id AS id, relation_type, 'out' AS direction FROM gedges UNION ALL SELECT to_id, relation_type, 'in' FROM gedges) GROUP BY ALL
  UNION ALL SELECT 'graph_overview', entity_type, 'nodes', count(*) FROM gnodes GROUP BY 2 UNION ALL SELECT 'macro_latest', symbol, CASE WHEN close>pc THEN 'up' ELSE 'down' END, 1 FROM pb WHERE i=n-1
  UNION ALL SELECT 'holding', 'S' || CAST(l_suppkey AS VARCHAR), CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR), 1 FROM lineitem WHERE l_suppkey%5=0 GROUP BY l_suppkey
- UNION ALL (SELECT 'search_nodes', id, name, 1 FROM gnodes WHERE contains(lower(name),'ring') ORDER BY id LIMIT 20)""")
+ UNION ALL (SELECT 'search_nodes', id, name, 1 FROM gnodes WHERE contains(lower(name),'ring') ORDER BY id LIMIT 20)""", bounded=True)
 def function_calls(m):
     """Every table function that needs no alerts, called for all its arguments"""
     C.install_tables(m.spark, function_views(m), [f.name for f in C.TABLE_FUNCTIONS if f.name != "radar_alerts"])
