@@ -84,7 +84,9 @@ def tree(edges: DataFrame, starts: DataFrame, depth: int = 2, exclude_start: boo
         new = hops[hop].select(c("id").alias("tgt"), "block", c("mask").alias("new"))
         via = adjacency.along(hops[hop - 1]).join(new, ["tgt", "block"])
         via = via.withColumn("mask", c("mask").bitwiseAND(c("new"))).where("mask != 0")
-        step = unpacked(via, who, "tgt", "src", "edge").groupBy("start", "tgt").agg(F.min(F.struct("src", "edge")).alias("via"))
+        # Grouped by (tgt, block, bit) the rows stay where the join by (tgt, block) has put them.
+        bits = via.withColumn("bit", F.explode(F.expr(BITS.format("mask")))).groupBy("tgt", "block", "bit")
+        step = bits.agg(F.min(F.struct("src", "edge")).alias("via")).join(who.withColumnRenamed("id", "start"), ["block", "bit"])
         step = step.select("start", F.lit(hop).alias("hop"), "via.src", "via.edge", "tgt")
         out = step if out is None else out.union(step)
     return out
