@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -37,6 +37,8 @@ BUCKETS, MANTISSA, EMPTY = 128, 10, 0xFFFF
 COLD, REPRESENTATIVES, LINEAR = 32, 3, 4
 #: Room below the threshold for the estimate, five standard deviations of 128 registers.
 ROOM = 0.2
+#: Words of 64 bits that mark a set's shared sequences where open sets are compared.
+BITS = [f"bits{i}" for i in range(8)]
 SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>, registers binary"
 
 
@@ -259,19 +261,35 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     members: cid, n, component and outer. A set that reaches the threshold with another one shares all
     but a few of its sequences, so one with more sequences of its own has no partner. Of the shared
     sequences of the others, rarest first, the first common one of a pair lies so early on both sides
-    that enough of them follow."""
+    that enough of them follow. Places marked in one set's bitmap and not in the other's are sequences they
+    do not share, so like texts below the threshold mostly do not become pairs; no pair at it is lost."""
     single = _values(texts.join(members.select("cid"), "cid", "left_semi"), k).groupBy("value").agg(F.count("*").alias("uses"), F.min("cid").alias("cid")).filter("uses = 1")
     lonely = single.groupBy("cid").agg(F.count("*").alias("lonely"))
     able = stored(members.join(lonely, "cid", "left").filter((F.col("n") - F.coalesce("lonely", F.lit(0))) * 100 >= F.col("n") * percent).drop("lonely"), "able-sets")
     values = stored(_values(texts.join(able.select("cid"), "cid", "left_semi"), k), "able-values")
-    shared = values.join(values.groupBy("value").agg(F.count("*").alias("uses")).filter("uses > 1"), "value").join(able, "cid")
+    shared = values.join(values.groupBy("value").agg(F.count("*").alias("uses")).filter("uses > 1"), "value")
+    able = able.join(shared.groupBy("cid").agg(F.count("*").alias("in_common"), *_bitmap(F.col("value"))), "cid")
+    shared = shared.join(able, "cid")
     own = Window.partitionBy("cid")
     ranked = shared.withColumn("place", F.row_number().over(own.orderBy("uses", "value"))).withColumn("after", F.count("*").over(own) - F.col("place") + 1)
-    prefix = stored(ranked.filter(F.col("after") * 100 >= F.col("n") * percent).select("value", "cid", "n", "component", "outer", "after"), "prefixes")
+    prefix = stored(ranked.filter(F.col("after") * 100 >= F.col("n") * percent).select("value", "cid", "n", "component", "outer", "after", "in_common", *BITS), "prefixes")
     discard(values)
-    x = prefix.filter("outer").select("value", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("after").alias("after_x"))
-    both = x.join(prefix, "value").filter("c_x != component").filter(F.least("after_x", "after") * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent)
-    return both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
+    x = prefix.filter("outer").select(*[F.col(c).alias(f"{c}_x") for c in prefix.columns if c not in ("value", "outer")], "value")
+    most = F.least("after_x", "after", F.col("in_common_x") - _beyond("_x", ""), F.col("in_common") - _beyond("", "_x"))
+    both = x.join(prefix, "value").filter("component_x != component").filter(most * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent)
+    return both.select(F.least("cid_x", "cid").alias("a"), F.greatest("cid_x", "cid").alias("b")).distinct()
+
+
+def _bitmap(value: Column) -> list[Column]:
+    """Aggregates that mark the places of values among 64 bits of each of `BITS`."""
+    place = F.xxhash64(value)
+    word, bit = F.pmod(F.shiftright(place, 6), F.lit(len(BITS))), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(name) for i, name in enumerate(BITS)]
+
+
+def _beyond(one: str, other: str) -> Column:
+    """Bits of one side that the other lacks: at least so many values are not shared."""
+    return sum((F.bit_count(F.col(b + one).bitwiseAND(F.bitwise_not(F.col(b + other)))) for b in BITS), F.lit(0))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

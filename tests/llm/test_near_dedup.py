@@ -52,6 +52,21 @@ def test_prefix_pairs_miss_none_at_the_threshold(spark, share):
     assert share > 0.9 or len(found) < 100  # a family below the threshold: 11,175 pairs in all
 
 
+def test_prefix_pairs_of_a_family_below_the_threshold_are_few(spark):
+    # every edit occurs in many texts, so no set is told apart by sequences of its own
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(110)]
+    rows = [(i, " ".join(w if rng.random() < 0.97 else w + "x" for w in base)) for i in range(200)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j:j + 3]) for j in range(len(w) - 2)}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(i, len(s), i, True) for i, s in sets.items()], "cid long, n long, component long, outer boolean")
+    found = {tuple(r) for r in near_dedup._prefix_pairs(members, spark.createDataFrame(rows, "cid long, text string"), 3, 85).collect()}
+    assert alike <= found and len(found) < 2 * len(alike)
+
+
 def test_clashing_columns_pass_through(spark):
     docs = spark.createDataFrame(corpus()[:40], "doc_id long, text string").selectExpr("*", "'k' AS kept_id", "'g' AS gone", "1 AS row", "2 AS n", "'u' AS uid", "'m' AS may")
     kept = near_dedup.drop_copies(docs, 3, 85)
