@@ -69,8 +69,7 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 7) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
+    """The sigmoid of -x, in place."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -80,6 +79,11 @@ def softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pick: np.
     """(log-probability of the picked output, probabilities before division, their sum) of each row of scores."""
     x = np.matmul(states, weights, out=buffer)
     x += bias
+    return picked(x, pick)
+
+
+def picked(x: np.ndarray, pick: np.ndarray):
+    """softmax of scores, which are overwritten."""
     rows = np.arange(len(x))
     own = x[rows, pick].astype(np.float64)
     if not np.abs(x[:, :8]).max(initial=0) < 60 or x.max(initial=0) > 60:  # else no row can overflow
@@ -138,18 +142,22 @@ class Network:
 
     def run(self, given: np.ndarray, begin: np.ndarray, h: np.ndarray, table: np.ndarray, keep: bool = False):
         """States after every step of a window, and what backpropagation needs."""
-        H, U = self.shape.hidden, self.p["U"]
-        states, kept = np.empty((*given.shape, H), self.flat.dtype), []
+        H = self.shape.hidden
+        U = self.turned(self.p["U"])
+        size, kind = given.shape, self.flat.dtype
+        states, x, r = np.empty((*size, H), kind), np.empty((size[1], 3 * H), table.dtype), np.empty((size[1], 3 * H), kind)
+        kept = tuple(np.empty((*size, n), kind) for n in (H, 2 * H, H, H)) if keep else ()
         fresh = begin.any(1)
         for t in range(len(given)):
             prev = np.where(begin[t][:, None], f32(0), h) if fresh[t] else h
-            x, r = table[given[t]], prev @ U
-            zr = x[:, :2 * H] + r[:, :2 * H]
+            np.take(table, given[t], axis=0, out=x, mode="clip")
+            np.matmul(prev, U, out=r)
+            zr = x[:, :2 * H]
+            zr += r[:, :2 * H]
             sigmoid(zr)
             z, gate, inner = zr[:, :H], zr[:, H:], r[:, 2 * H:]
             g = gate * inner
             g += x[:, 2 * H:]
-            g *= 2
             sigmoid(g)  # tanh by one exponential
             g *= 2
             g -= 1
@@ -157,13 +165,18 @@ class Network:
             np.subtract(prev, g, out=h)
             h *= z
             h += g
-            if keep:
-                kept.append((prev, zr, inner, g))
+            for whole, part in zip(kept, (prev, zr, inner, g)):
+                whole[t] = part
         return states, h, kept
 
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """What is added to the gates with the sign, and for tanh the factor, that their exponentials need; both are exact."""
+        H = self.shape.hidden
+        return x * np.repeat(np.array([-1, -2], x.dtype), [2 * H, H])
+
     def table(self, tokens=slice(None)) -> np.ndarray:
-        """What every token adds to the gates."""
-        return self.p["E"][tokens] @ self.p["W"] + self.p["b"]
+        """What every token adds to the gates, turned."""
+        return self.turned(self.p["E"][tokens] @ self.p["W"] + self.p["b"])
 
     def output(self, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
         """Natural log-probability of each target after its state; with grad, also the gradient to the states (of the negative sum)."""
@@ -185,44 +198,61 @@ class Network:
             grad["cb"] += e.sum(0)
             back = e @ p["C"].T
         order = np.flatnonzero(single)
-        order = order[np.argsort(cls[order], kind="stable")]
-        edges = np.searchsorted(cls[order], np.arange(s.word_classes + 1))
-        for c in range(s.word_classes):
-            at = order[edges[c]:edges[c + 1]]
-            if not len(at):
-                continue
-            own, place = states[at], target[at] - c * s.size
-            found, e, total = softmax(own, p["O"][c], p["ob"][c], place)
-            logp[at] += found
-            if grad is not None:
-                e /= total[:, None]
-                e[np.arange(len(at)), place] -= 1
-                grad["O"][c] += own.T @ e
-                grad["ob"][c] += e.sum(0)
-                back[at] += e @ p["O"][c].T
+        order = order[np.argsort(cls[order].astype(np.min_scalar_type(s.word_classes)), kind="stable")]
+        edges = np.searchsorted(cls[order], np.arange(s.word_classes + 1)).tolist()
+        classes = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        own, place = states[order], target[order] % s.size
+        if grad is None:
+            for c, a, b in classes:
+                logp[order[a:b]] += softmax(own[a:b], p["O"][c], p["ob"][c], place[a:b])[0]
+            return logp, back
+        scores, more = np.empty((len(order), s.size), states.dtype), np.empty_like(own)
+        for c, a, b in classes:
+            np.matmul(own[a:b], p["O"][c], out=scores[a:b])
+            scores[a:b] += p["ob"][c]
+        found, e, total = picked(scores, place)
+        logp[order] += found
+        e /= total[:, None]
+        e[np.arange(len(order)), place] -= 1
+        for c, a, b in classes:
+            grad["O"][c] += own[a:b].T @ e[a:b]
+            grad["ob"][c] += e[a:b].sum(0)
+            np.matmul(e[a:b], p["O"][c].T, out=more[a:b])
+        back[order] += more
         return logp, back
 
-    def backward(self, tokens: np.ndarray, given: np.ndarray, begin: np.ndarray, kept: list, back: np.ndarray, grad: dict) -> None:
+    def backward(self, tokens: np.ndarray, given: np.ndarray, begin: np.ndarray, kept: tuple, back: np.ndarray, grad: dict) -> None:
         """Truncated backpropagation through one window; given: places in tokens, back: gradient to each state."""
-        H, U = self.shape.hidden, self.p["U"]
-        dtable = np.empty((*given.shape, 3 * H), f32)
+        H, turned = self.shape.hidden, np.ascontiguousarray(self.p["U"].T)
+        prev, zr, inner, g = kept
+        z, gate = np.ascontiguousarray(zr[..., :H]), np.ascontiguousarray(zr[..., H:])
+        # what each step multiplies, for all steps at once
+        rest = 1 - z
+        update = (prev - g) * z * rest
+        toward = rest * (1 - g * g)
+        reset = f32(-0.5) * inner * gate * (1 - gate)  # inner is turned
+        dtable, dr = (np.empty((*given.shape, 3 * H), f32) for _ in range(2))
         dh = np.zeros_like(back[0])
+        fresh = begin.any(1)
         for t in range(len(given) - 1, -1, -1):
-            prev, zr, inner, g = kept[t]
-            z, gate = zr[:, :H], zr[:, H:]
-            dh = dh + back[t]
-            dg = dh * (1 - z) * (1 - g * g)
-            dgate = dg * inner
-            d = dtable[t]
-            d[:, :H] = dh * (prev - g) * z * (1 - z)
-            d[:, H:2 * H] = dgate * gate * (1 - gate)
+            dh += back[t]
+            d, e = dtable[t], dr[t]
+            dg = dh * toward[t]
+            np.multiply(dh, update[t], out=d[:, :H])
+            np.multiply(dg, reset[t], out=d[:, H:2 * H])
             d[:, 2 * H:] = dg
-            dr = np.concatenate([d[:, :2 * H], dg * gate], 1)
-            grad["U"] += prev.T @ dr
-            dh = np.where(begin[t][:, None], f32(0), dh * z + dr @ U.T)
-        order = np.argsort(given, axis=None, kind="stable")
-        used, starts = np.unique(given.ravel()[order], return_index=True)
-        sums = np.add.reduceat(dtable.reshape(-1, 3 * H)[order], starts)
+            e[:, :2 * H] = d[:, :2 * H]
+            np.multiply(dg, gate[t], out=e[:, 2 * H:])
+            dh *= z[t]
+            dh += e @ turned
+            if fresh[t]:
+                dh[begin[t]] = 0
+        grad["U"] += prev.reshape(-1, H).T @ dr.reshape(-1, 3 * H)
+        flat = given.ravel()
+        order = np.argsort(flat.astype(np.min_scalar_type(len(tokens))), kind="stable")
+        counts = np.bincount(flat, minlength=len(tokens))
+        used = np.flatnonzero(counts)
+        sums = np.add.reduceat(dtable.reshape(-1, 3 * H)[order], (np.cumsum(counts) - counts)[used])
         grad["b"] += sums.sum(0)
         grad["W"] += self.p["E"][tokens[used]].T @ sums
         grad["E"][tokens[used]] += sums @ self.p["W"].T
@@ -245,8 +275,9 @@ class Trainer:
 
     def window(self, given, target, begin, exists, h):
         net, n = self.net, int(exists.sum())
-        tokens, given = np.unique(given, return_inverse=True)
-        given = given.reshape(target.shape)
+        seen = np.zeros(len(net.p["E"]), bool)
+        seen[given] = True
+        tokens, given = np.flatnonzero(seen), (np.cumsum(seen) - 1)[given]
         states, h, kept = net.run(given, begin, h, net.table(tokens), keep=True)
         self.grad_flat[:] = 0
         _, out = net.output(states[exists], target[exists], self.grad)

@@ -38,8 +38,8 @@ from .common import release, stored
 HEAD, CLASS, WARM = 4096, 64, 131_072
 #: Hidden units, lanes and steps of a training window, tokens of a lane's part, rate of its steps, rounds, one of how many parts trains (1: all).
 HIDDEN, LANES, STEPS, CUT, RATE, ROUNDS, SHARE = 32, 256, 16, 1024, 0.015, 3, 1
-#: Bytes of text that a task scans at once.
-SLICE = 4 << 20
+#: Bytes of text that a task scans at once, and that it scores at once: the more, the fewer steps have few lanes.
+SLICE, SCORED = 4 << 20, 8 << 20
 OUTLINES = 24
 PARTIAL = ("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
            "rare_value array<long>, rare_code array<int>")
@@ -180,7 +180,7 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> Data
         v, net = words.value, gru.Network(shape, weights.value)
         table, (discount, _) = net.table(), v.discounts()
         for batch in batches:
-            for part in textscan.slices(batch, 3, SLICE):
+            for part in textscan.slices(batch, 3, SCORED):
                 n = part.num_rows
                 w = textscan.scan(part.column(3), lower=True)
                 outline = outlines(w)

@@ -96,6 +96,18 @@ def test_gradient_by_differences():
         gru.f32 = old
 
 
+def test_a_window_tells_all_its_classes_at_once(monkeypatch):
+    shape, flat = tiny()
+    rng, told = np.random.default_rng(2), []
+    states, target = rng.normal(size=(400, 5)).astype(np.float32), rng.integers(0, 14, 400)
+    picked = gru.picked
+    monkeypatch.setattr(gru, "picked", lambda x, pick: told.append(len(x)) or picked(x, pick))
+    net = gru.Network(shape, flat)
+    logp, _ = net.output(states, target, shape.split(np.zeros_like(flat)))
+    assert told == [400, int((target < 11).sum())]  # not once for each class
+    assert np.allclose(logp, net.output(states, target)[0], atol=1e-5)
+
+
 def test_windows_and_lanes_do_not_change_the_likelihood():
     shape, flat = tiny()
     net, rng = gru.Network(shape, flat), np.random.default_rng(5)
